@@ -5,9 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tensorloom.llm.bpe import bpe_decode, bpe_encode
 from tensorloom.llm.common import documents
 from tensorloom.llm.line_dedup import line_dedup
+from tensorloom.llm.ngram_join import jaccard_components
 from tensorloom.llm.quality import quality_rules
+from tensorloom.llm.toxicity import toxicity
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer_path()
+    out = bpe_decode(bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    return out.select("doc_id", "n_tokens", F.sha2("ids_packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), n=4, percent=85)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +39,18 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_ngram_join": op2_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 
 LINES_SQL = """
