@@ -23,7 +23,8 @@ positives cost transport and nothing else.
 
 Defined results: null, empty or wordless texts have no n-gram and link with
 nothing; shorter texts than n words have one; equal texts and repeated rows
-share their component; an empty table gives an empty result.
+share their component; rows without an id take part with no say in the smallest
+id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -168,7 +169,7 @@ def _postings(n: int, percent: int, order):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(np.concatenate([np.zeros(len(tok), np.int8), np.ones(k, np.int8)])),
-                    pa.array(np.concatenate([tok, np.array(ids, np.int64)])),
+                    pa.chunked_array([pa.array(tok), pa.array(ids, pa.int64())]).combine_chunks(),
                     pa.array(np.concatenate([np.empty(0, np.int64), *owner, np.array(nodes, np.int64)])),
                     pa.array(np.concatenate([np.empty(0, np.int32), *owner_n, np.array(sizes, np.int32)])),
                 ],

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tensorloom.llm.bpe import bpe_decode, bpe_encode
 from tensorloom.llm.common import documents
 from tensorloom.llm.line_dedup import line_dedup
+from tensorloom.llm.mixing import mix
 from tensorloom.llm.ngram_join import jaccard_components
 from tensorloom.llm.quality import quality_rules
 from tensorloom.llm.toxicity import toxicity
@@ -39,6 +40,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix(documents(spark, sf_dir).select("doc_id", "source", "text"), budget=1.0, target_entropy=0.97, max_repeats=4.0)
+    return out.select("doc_id", "source", "n_tokens", "weight", "epoch", "mix_key")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
@@ -50,6 +56,7 @@ QUERIES = {
     "op2_ngram_join": op2_ngram_join,
     "op4_quality_rules": op4_quality_rules,
     "op6_line_dedup": op6_line_dedup,
+    "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
 
