@@ -10,6 +10,7 @@ from tensorloom.llm.common import documents
 from tensorloom.llm.line_dedup import line_dedup
 from tensorloom.llm.mixing import mix
 from tensorloom.llm.ngram_join import jaccard_components
+from tensorloom.llm.pii import KINDS, find_pii, span_text
 from tensorloom.llm.quality import quality_rules
 from tensorloom.llm.toxicity import toxicity
 
@@ -35,6 +36,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = {f"n_{kind}": F.size(F.filter("base", lambda s, k=k: s["k"] == k)).cast("long") for k, kind in enumerate(KINDS)}
+    return out.withColumns(counts).select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -55,6 +62,7 @@ QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_ngram_join": op2_ngram_join,
     "op4_quality_rules": op4_quality_rules,
+    "op5_pii": op5_pii,
     "op6_line_dedup": op6_line_dedup,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
