@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.bpe import bpe_decode, bpe_encode
 from tensorloom.llm.common import documents
+from tensorloom.llm.fingerprint import edited_fingerprints, resemblance, written
 from tensorloom.llm.line_dedup import line_dedup
 from tensorloom.llm.mixing import mix
 from tensorloom.llm.ngram_join import jaccard_components
 from tensorloom.llm.pii import KINDS, find_pii, span_text
 from tensorloom.llm.quality import quality_rules
+from tensorloom.llm.sharding import shard_documents
 from tensorloom.llm.toxicity import toxicity
 
 
@@ -47,6 +49,24 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = edited_fingerprints(documents(spark, sf_dir))
+    a, b, c = F.col("a"), F.col("b"), F.col("c")
+    return out.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        written(a).alias("fingerprint"),
+        written(b).alias("edited_fingerprint"),
+        resemblance(a, b).alias("near_edited"),
+        resemblance(a, c).alias("near_next"),
+    )
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(documents(spark, sf_dir).select("doc_id", "source", "text"), budget=1.0, target_entropy=0.97, max_repeats=4.0)
     return out.select("doc_id", "source", "n_tokens", "weight", "epoch", "mix_key")
@@ -64,6 +84,8 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_line_dedup": op6_line_dedup,
+    "op7_sharding": op7_sharding,
+    "op8_fingerprints": op8_fingerprints,
     "op9_mixing": op9_mixing,
     "op10_toxicity": op10_toxicity,
 }
