@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tensorloom.llm.bpe import bpe_decode, bpe_encode
 from tensorloom.llm.common import documents
 from tensorloom.llm.fingerprint import edited_fingerprints, resemblance, written
+from tensorloom.llm.license_scan import license_scan
 from tensorloom.llm.line_dedup import line_dedup
 from tensorloom.llm.mixing import mix
 from tensorloom.llm.ngram_join import jaccard_components
@@ -33,6 +34,12 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), n=4, percent=85)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree per source, sixteen to a folder."""
+    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.expr("doc_id div 256"), F.expr("doc_id div 16"), F.concat("doc_id", F.lit(".txt")))
+    return license_scan(documents(spark, sf_dir).select("doc_id", path.alias("path"), "text"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -81,6 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_ngram_join": op2_ngram_join,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_pii": op5_pii,
     "op6_line_dedup": op6_line_dedup,
