@@ -17,9 +17,11 @@
    fewer than m links however many pairs agree.
 4. Links are contracted to components.
 
-Results are exact up to 64-bit hashing.  The sets travel only for nodes that
-meet another; those are found by a bit filter of fixed size, whose false
-positives cost transport and nothing else.
+Before sets travel, the nodes of a group compare parity bitmaps of their sets:
+the bits in which two differ are a lower bound of the symmetric difference, so
+what this rules out cannot link.  Sets are made again only for the documents of
+nodes that are left; those are told by a bit filter of fixed size, whose false
+positives cost time and nothing else.  Results are exact up to 64-bit hashing.
 
 Defined results: null, empty or wordless texts have no n-gram and link with
 nothing; shorter texts than n words have one; equal texts and repeated rows
@@ -42,8 +44,8 @@ from tensorloom.llm.components import components
 
 #: Ranked n-grams (12 bytes each in the broadcast), and the ranges in which they are counted.
 ORDERED, RANGES = 1 << 20, 512
-#: Bits of the filter of meeting nodes, and nodes in a block of a large group.
-FILTER_BITS, BLOCK = 1 << 26, 2048
+#: Bits of the filter of documents whose sets are needed, nodes in a block of a large group, bits of a bitmap.
+FILTER_BITS, BLOCK, BITMAP = 1 << 26, 2048, 1024
 CACHE = 500_000
 
 _M = [np.uint64(x | 1) for x in np.frombuffer(hashlib.sha512(b"n-gram multipliers").digest() * 2, "<u8")]
@@ -146,20 +148,40 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of the number of hashes that fall on each bit."""
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+
+
+def may_link(bits: np.ndarray, sizes: np.ndarray, percent: int, cross: int | None = None) -> np.ndarray:
+    """Which rows have a partner that sizes and bitmaps do not rule out; with ``cross``, across that position only."""
+    out = np.zeros(len(sizes), bool)
+    for k in range(len(sizes) if cross is None else cross):
+        at = k + 1 if cross is None else cross
+        n, m = int(sizes[k]), sizes[at:]
+        ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.bitwise_count(bits[k] ^ bits[at:]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n + m))
+        if ok.any():
+            out[k] = True
+            out[at:] |= ok
+    return out
+
+
 def _postings(n: int, percent: int, order):
     def emit(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Per document a row with its id; per new node its first n-grams."""
         cache, (fps, counts), seen = _WordHash(), order.value, set()
         for b in parts:
-            ids, nodes, sizes, toks, owner, owner_n = [], [], [], [], [], []
+            ids, nodes, sizes, bits, toks, owner, owner_n = [], [], [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = grams(t, n, cache)
                 node = node_of(s)
                 ids.append(i)
                 nodes.append(node)
                 sizes.append(len(s))
+                bits.append(None)
                 if len(s) and node not in seen:
                     seen.add(node)
+                    bits[-1] = bitmap(s)
                     p = ordered(s, fps, counts)[: prefix_length(len(s), percent)]
                     toks.append(p.view(np.int64))
                     owner.append(np.full(len(p), node, np.int64))
@@ -172,29 +194,35 @@ def _postings(n: int, percent: int, order):
                     pa.chunked_array([pa.array(tok), pa.array(ids, pa.int64())]).combine_chunks(),
                     pa.array(np.concatenate([np.empty(0, np.int64), *owner, np.array(nodes, np.int64)])),
                     pa.array(np.concatenate([np.empty(0, np.int32), *owner_n, np.array(sizes, np.int32)])),
+                    pa.chunked_array([pa.nulls(len(tok), pa.binary()), pa.array(bits, pa.binary())]).combine_chunks(),
                 ],
-                ["kind", "x", "node", "n"],
+                ["kind", "x", "node", "n", "bits"],
             )
 
     return emit
 
 
 
-def _sets(n: int, order, met):
-    """Node, size and ordered set of the nodes that the filter lets through, with the filter's slots."""
+def _sets(n: int, order, wanted):
+    """Node and ordered set of the documents that the filter lets through."""
 
     def emit(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (fps, counts), (slots, masks), seen = _WordHash(), order.value, met.value, set()
+        cache, (fps, counts), (slots, masks), seen = _WordHash(), order.value, wanted.value, set()
         for b in parts:
+            ids = b.column(0)
+            bit = np.mod(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64), FILTER_BITS)
+            if len(slots):
+                at = np.minimum(np.searchsorted(slots, bit >> 6), len(slots) - 1)
+                held = (slots[at] == bit >> 6) & ((masks[at] >> (bit & 63).astype(np.uint64)) & np.uint64(1)).astype(bool)
+            else:
+                held = np.zeros(len(bit), bool)
+            # A row without an id can not be told: its set is made.
+            held |= ids.is_null().to_numpy(zero_copy_only=False)
             nodes, blobs = [], []
-            for t in b.column(0).to_pylist():
+            for t in b.column(1).filter(pa.array(held)).to_pylist():
                 s = grams(t, n, cache)
-                if not len(s):
-                    continue
                 node = node_of(s)
-                bit = node % FILTER_BITS
-                at = np.searchsorted(slots, bit >> 6)
-                if at < len(slots) and slots[at] == bit >> 6 and int(masks[at]) >> (bit & 63) & 1 and node not in seen:
+                if len(s) and node not in seen:
                     seen.add(node)
                     nodes.append(node)
                     blobs.append(ordered(s, fps, counts).tobytes())
@@ -344,39 +372,46 @@ def links(sets: list[np.ndarray], percent: int, cross: int | None = None) -> lis
     return out
 
 
+def _tasks(parts: Iterable[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows (lead, i, j, own, node, ...) sorted by lead, i, j: the rows of one group, or of one pair of its blocks, first block first."""
+    now, rows = None, []
+    for b in parts:
+        for r in zip(*[b.column(k).to_pylist() for k in range(b.num_columns)], strict=True):
+            if r[:3] != now and rows:
+                yield sorted(rows, key=lambda x: x[3] != x[1])
+                rows = []
+            now = r[:3]
+            rows.append(r)
+    if rows:
+        yield sorted(rows, key=lambda x: x[3] != x[1])
+
+
+def _cross(rows: list[tuple]) -> int | None:
+    """Where the second block begins, if the task is a pair of blocks."""
+    return None if rows[0][1] == rows[0][2] else sum(r[3] == r[1] for r in rows)
+
+
+def _pruning(percent: int):
+    def prune(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tasks(parts):
+            bits = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
+            keep = [r[:5] for r, ok in zip(rows, may_link(bits, np.array([r[5] for r in rows]), percent, _cross(rows)), strict=True) if ok]
+            if keep:
+                lead, i, j, own, node = zip(*keep, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(own, pa.int32()), pa.array(node, pa.int64())], ["lead", "i", "j", "own", "node"])
+
+    return prune
+
+
 def _joining(percent: int):
     def join(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by task key; all rows of a key are one group or one pair of blocks."""
-
-        def solve(rows: list[tuple]) -> tuple[list[int], list[int]]:
-            key = rows[0][0]
-            first = [r for r in rows if r[1] == key[1]]
-            rest = [r for r in rows if r[1] != key[1]]
-            every = first + rest
-            nodes = [r[2] for r in every]
-            sets = [np.frombuffer(r[3], np.uint64) for r in every]
-            if len(sets) < 2 or key[1] != key[2] and not (first and rest):
-                return [], []
-            found = links(sets, percent, None if key[1] == key[2] else len(first))
-            return [nodes[a] for a, _ in found], [nodes[b] for _, b in found]
-
-        now, rows = None, []
-        for b in parts:
-            c = [b.column(k).to_pylist() for k in range(6)]
-            a_out, b_out = [], []
-            for lead, i, j, own, node, blob in zip(*c, strict=True):
-                if (lead, i, j) != now and rows:
-                    x, y = solve(rows)
-                    a_out += x
-                    b_out += y
-                    rows = []
-                now = (lead, i, j)
-                rows.append((now, own, node, blob))
-            if a_out:
-                yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], ["a", "b"])
-        if rows:
-            x, y = solve(rows)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+        for rows in _tasks(parts):
+            cross = _cross(rows)
+            if len(rows) < 2 or cross in (0, len(rows)):
+                continue
+            found = links([np.frombuffer(r[5], np.uint64) for r in rows], percent, cross)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[a][4] for a, _ in found], pa.int64()), pa.array([rows[b][4] for _, b in found], pa.int64())], ["a", "b"])
 
     return join
 
@@ -397,22 +432,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by = np.argsort(fps)
     order = spark.sparkContext.broadcast((fps[by], np.minimum(counts[by], 2**31 - 1).astype(np.int32)))
 
-    posted = materialize(src.mapInArrow(_postings(n, percent, order), "kind byte, x long, node long, n int"), "postings")
+    posted = materialize(src.mapInArrow(_postings(n, percent, order), "kind byte, x long, node long, n int, bits binary"), "postings")
     docs = posted.where("kind = 1").select(F.col("x").alias("id"), "node", "n")
     held = posted.where("kind = 0").select(F.col("x").alias("tok"), "node", "n").repartition(parts, "tok").dropDuplicates(["tok", "node"])
     # The smallest node of each n-gram's group, without gathering the group.
     lead = held.groupBy("tok").agg(F.min(F.struct("n", "node")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("tok", F.col("lead.node").alias("lead"))
     met = materialize(held.join(lead, "tok").select("lead", "node").distinct(), "met")
 
-    slot, mask = F.floor(F.pmod("node", F.lit(FILTER_BITS)) / 64).cast("int"), F.expr(f"shiftleft(1L, cast(pmod(node, {FILTER_BITS}) % 64 as int))")
-    bits = met.select(slot.alias("s"), mask.alias("m")).groupBy("s").agg(F.expr("bit_or(m)").alias("m")).orderBy("s").toArrow()
-    sent = spark.sparkContext.broadcast((bits.column("s").to_numpy(), bits.column("m").to_numpy().astype(np.int64).view(np.uint64)))
-    sets = src.select("text").mapInArrow(_sets(n, order, sent), "node long, grams binary").dropDuplicates(["node"])
-
     sizes = met.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = met.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
-    tasks = placed.join(sets, "node").select("lead", F.explode(meets).alias("t"), "own", "node", "grams").select("lead", "t.i", "t.j", "own", "node", "grams")
+    bits = posted.where("kind = 1 and bits is not null").dropDuplicates(["node"]).select("node", "n", "bits")
+    drawn = placed.join(bits, "node").select("lead", F.explode(meets).alias("t"), "own", "node", "n", "bits").select("lead", "t.i", "t.j", "own", "node", "n", "bits")
+    drawn = drawn.repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+    left = materialize(drawn.mapInArrow(_pruning(percent), "lead long, i int, j int, own int, node long"), "left")
+
+    # One document for each node that is left: at most FILTER_BITS / 64 slots of a bit filter.
+    wanted = docs.join(left.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id")).where("id is not null")
+    slot = F.floor(F.pmod("id", F.lit(FILTER_BITS)) / 64).cast("int")
+    filled = wanted.groupBy(slot.alias("s")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(id, {FILTER_BITS}) % 64 as int)))").alias("m")).orderBy("s").toArrow()
+    sent = spark.sparkContext.broadcast((filled.column("s").to_numpy(), filled.column("m").to_numpy().astype(np.int64).view(np.uint64)))
+    sets = src.mapInArrow(_sets(n, order, sent), "node long, grams binary").dropDuplicates(["node"])
+    tasks = left.join(sets, "node").select("lead", "i", "j", "own", "node", "grams")
     tasks = tasks.repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
     edges = tasks.mapInArrow(_joining(percent), "a long, b long")
 
@@ -422,5 +463,5 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_root = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_node = materialize(named.join(of_root, "root").select("node", "component_id"), "nodes")
     out = docs.join(of_node, "node", "left")
-    discard(met)
+    discard(met, left)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
