@@ -230,8 +230,8 @@ def classify(x: Column) -> Column:
     """Kind of a float: nan, inf, neginf, zero, negzero, subnormal or normal."""
     x = x.cast("double")
     tiny = 2.2250738585072014e-308
-    # Only the arc tangent tells the zeros apart.
-    negative_zero = F.atan2(x, F.lit(-1.0)) < 0
+    # Only its text tells a negative zero from the other.
+    negative_zero = x.cast("string") == "-0.0"
     return (
         F.when(F.isnan(x), "nan")
         .when(x == INF, "inf")
