@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm.common import discard, materialize
 
-SHARDS, ROUNDS, SLICES = 8, 3, 1024
+SHARDS, ROUNDS, SLICES = 8, 10, 1024
 #: Documents in a numbering bucket, about.
 BUCKET = 5_000
 
@@ -40,15 +40,24 @@ def cut_edges(df: DataFrame) -> DataFrame:
 
 
 def _granted(asks: DataFrame, room: DataFrame) -> DataFrame:
-    """(shard, to, granted slices): whole hash slices of askers while they fit the room of ``to``."""
-    counts = asks.groupBy("to", "s").agg(F.count("*").alias("n"))
-    # At most SHARDS * SLICES rows.
-    run = counts.withColumn("run", F.sum("n").over(Window.partitionBy("to").orderBy("s")))
-    return run.join(F.broadcast(room), run["to"] == room["shard"]).where(F.col("run") <= F.col("room")).select("to", "s")
+    """(shard, to, s): whole hash slices of askers while they fit their quota.
+
+    The quota from one shard to another is what asks to come the other way (an
+    exchange keeps both sizes) and a share of the room in the target.
+    """
+    counts = asks.groupBy("shard", "to", "s").agg(F.count("*").alias("n"))
+    # At most n_shards ** 2 rows, and n_shards ** 2 * SLICES in counts.
+    pairs = counts.groupBy("shard", "to").agg(F.sum("n").alias("n"))
+    back = pairs.select(F.col("shard").alias("to"), F.col("to").alias("shard"), F.col("n").alias("back"))
+    alone = pairs.join(back, ["shard", "to"], "left").withColumn("swap", F.least("n", F.coalesce("back", F.lit(0)))).withColumn("more", F.col("n") - F.col("swap"))
+    share = F.col("more") / F.greatest(F.sum("more").over(Window.partitionBy("to")), F.lit(1))
+    quota = alone.join(room.select(F.col("shard").alias("to"), "room"), "to").withColumn("quota", F.col("swap") + F.floor(F.greatest("room", F.lit(0)) * share)).select("shard", "to", "quota")
+    run = counts.withColumn("run", F.sum("n").over(Window.partitionBy("shard", "to").orderBy("s")))
+    return run.join(F.broadcast(quota), ["shard", "to"]).where("run <= quota").select("shard", "to", "s")
 
 
 def propagate(rows: DataFrame, n_shards: int, total: int, rounds: int = ROUNDS) -> DataFrame:
-    """Linked rows (rid, grp) with a shard each; no shard gets more than its share of ``total``."""
+    """Linked rows (rid, grp) with a shard each; sizes stay at their share of ``total``, but for what one slice may add."""
     spark = rows.sparkSession
     cap = -(-total // n_shards)
     shards = spark.range(n_shards).select(F.col("id").cast("int").alias("shard"))
@@ -57,29 +66,33 @@ def propagate(rows: DataFrame, n_shards: int, total: int, rounds: int = ROUNDS)
         held = now.groupBy("grp", "shard").agg(F.count("*").alias("n"))
         # Ties are broken by a hash that differs between groups, lest they all ask for shard 0.
         best = held.groupBy("grp").agg(F.max(F.struct("n", F.xxhash64("grp", "shard").alias("x"), "shard")).alias("b")).select("grp", F.col("b.shard").alias("to"))
-        asked = now.join(best, "grp").withColumn("s", _slice("grp", F.lit(k)) if k == 0 else _slice("rid", F.lit(k)))
+        # Members of a group are granted together in one round and alone in the next, so that large groups move too.
+        asked = now.join(best, "grp").withColumn("s", _slice("rid", F.lit(k)) if k % 2 else _slice("grp", F.lit(k)))
         asks = asked.where("shard <> to")
+        if not asks.take(1):
+            break
         room = shards.join(now.groupBy("shard").count(), "shard", "left").select("shard", (F.lit(cap) - F.coalesce("count", F.lit(0))).alias("room"))
         grants = _granted(asks, room).withColumn("ok", F.lit(True))
-        moved = asked.join(F.broadcast(grants), ["to", "s"], "left").withColumn("shard", F.when(F.col("ok"), F.col("to")).otherwise(F.col("shard"))).select("rid", "grp", "shard")
+        moved = asked.join(F.broadcast(grants), ["shard", "to", "s"], "left").withColumn("shard", F.when(F.col("ok"), F.col("to")).otherwise(F.col("shard"))).select("rid", "grp", "shard")
         then = materialize(moved, "shards")
         discard(now)
         now = then
     return now
 
 
-def numbered(df: DataFrame, by: str, first: Column, key: str, out: str) -> DataFrame:
+def numbered(df: DataFrame, by: str, first: Column, key: str, out: str, together: Column | None = None) -> DataFrame:
     """``df`` plus a gapless number from 0 within each ``by``, rows with the smallest ``first`` (0 or 1) first.
 
     Buckets are numbered on their own and shifted by the sums of those before.
+    Rows with the same ``together`` share a bucket and stand side by side in it.
     """
     n = df.count()
     buckets = max(1, -(-n // BUCKET))
-    cut = df.withColumn("_b", first.cast("int") * buckets + F.pmod(F.xxhash64(F.lit(5), key), F.lit(buckets)).cast("int"))
+    cut = df.withColumn("_b", first.cast("int") * buckets + F.pmod(F.xxhash64(F.lit(5), key if together is None else together), F.lit(buckets)).cast("int"))
     sums = cut.groupBy(by, "_b").agg(F.count("*").alias("_n"))
     # Rows of the table of sums: one per bucket and shard, a few for each BUCKET documents.
     shift = sums.withColumn("_shift", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(by, "_b", "_shift")
-    inside = F.row_number().over(Window.partitionBy(by, "_b").orderBy(key)) - 1
+    inside = F.row_number().over(Window.partitionBy(by, "_b").orderBy(*([] if together is None else [together]), key)) - 1
     return cut.withColumn("_i", inside).join(shift, [by, "_b"]).withColumn(out, (F.col("_i") + F.col("_shift")).cast("long")).drop("_b", "_i", "_shift")
 
 
@@ -90,7 +103,7 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     grp = F.struct(F.xxhash64(text).alias("h"), F.hash(text).alias("g"), F.octet_length(text).alias("l"))
     base = materialize(df.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text).alias("crc"), F.xxhash64(grp).alias("grp"), F.monotonically_increasing_id().alias("rid")), "docs")
     total = base.count()
-    many = base.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1").select("grp")
+    many = base.groupBy("grp").agg(F.count("*").alias("m")).where("m > 1")
     linked = propagate(base.join(many, "grp", "left_semi").select("rid", "grp"), n_shards, total, rounds)
     loose = base.join(many, "grp", "left_anti").select("rid", "grp")
 
@@ -105,12 +118,15 @@ def shard_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     room = room.withColumn("upto", F.sum("room").over(over)).withColumn("since", F.col("upto") - F.col("room"))
     seats = numbered(loose.withColumn("all", F.lit(0)), "all", F.lit(0), "rid", "seat").drop("all")
     seated = seats.join(F.broadcast(room.select("shard", "since", "upto")), (F.col("seat") >= F.col("since")) & (F.col("seat") < F.col("upto"))).select("rid", "grp", "shard")
-    placed = linked.withColumn("loose", F.lit(0)).unionByName(seated.withColumn("loose", F.lit(1)))
+    # Groups stand together, so that a full shard gives up whole ones; those over a bucket are cut into several.
+    salt = F.when(F.col("m") > BUCKET, F.pmod(F.xxhash64("rid"), F.ceil(F.col("m") / BUCKET))).otherwise(0)
+    linked = linked.join(many, "grp").select("rid", "grp", "shard", F.xxhash64("grp", salt).alias("with"))
+    placed = linked.withColumn("loose", F.lit(0)).unionByName(seated.withColumn("loose", F.lit(1)).withColumn("with", F.col("rid")))
 
     # What exceeds a shard's goal fills the gaps of others, so that slots stay gapless.
-    slots = materialize(numbered(placed, "shard", F.col("loose"), "rid", "slot").join(F.broadcast(goal), "shard"), "slots")
+    slots = materialize(numbered(placed, "shard", F.col("loose"), "rid", "slot", F.col("with")).join(F.broadcast(goal), "shard"), "slots")
     fits = slots.where("slot < goal").select("rid", "shard", "slot")
-    spill = numbered(slots.where("slot >= goal").withColumn("all", F.lit(0)), "all", F.lit(0), "rid", "seat")
+    spill = numbered(slots.where("slot >= goal").withColumn("all", F.lit(0)), "all", F.lit(0), "rid", "seat", F.col("with"))
     have = slots.where("slot < goal").groupBy("shard").count()
     gaps = goal.join(have, "shard", "left").withColumn("have", F.coalesce("count", F.lit(0))).withColumn("gap", F.col("goal") - F.col("have"))
     gaps = gaps.withColumn("upto", F.sum("gap").over(over)).withColumn("since", F.col("upto") - F.col("gap")).select(F.col("shard").alias("to"), "have", "since", "upto")
