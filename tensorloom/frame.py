@@ -81,6 +81,15 @@ class TensorFrame:
         rows = [(*map(int, at), x) for at, x in zip(np.ndindex(*a.shape), a.ravel().tolist(), strict=True)]
         return cls(spark.createDataFrame(rows, f"{cols}, v {kind}"), a.shape)
 
+    @classmethod
+    def from_arrow(cls, spark: SparkSession, a: np.ndarray) -> TensorFrame:
+        """From an array on the driver, handed over as Arrow columns without a Python object per value."""
+        import pyarrow as pa
+
+        at = np.unravel_index(np.arange(a.size), a.shape)
+        cols = {f"i{k}": pa.array(x.astype(np.int64)) for k, x in enumerate(at)}
+        return cls(spark.createDataFrame(pa.table({**cols, "v": pa.array(np.ascontiguousarray(a).ravel())})), a.shape)
+
     @classmethod
     def from_wide(cls, df: DataFrame, row: str, columns: Sequence[str], n: int) -> TensorFrame:
         """Rows are numbered by the dense id ``row``; columns become axis 1."""
@@ -137,6 +146,28 @@ class TensorFrame:
         out[tuple(rows[c].to_numpy() for c in self.axes)] = rows["v"].to_numpy()
         return out
 
+    def items(self):
+        """(coordinates, value) in row-major order, fetched partition by partition."""
+        for r in self.dense().df.select(*self.axes, "v").orderBy(*self.axes).toLocalIterator():
+            yield tuple(r[:-1]), r[-1]
+
+    def distinct_values(self) -> DataFrame:
+        return self.df.select("v").distinct()
+
+    def apply_axis(self, f: Callable[[np.ndarray], np.ndarray], axis: int) -> TensorFrame:
+        """``f`` of each vector along an axis, which keeps its length; a vector must fit one task."""
+        k = self._axis(axis)
+        axes = self.axes
+        others = [c for c in axes if c != f"i{k}"]
+
+        def run(pdf):
+            pdf = pdf.sort_values(f"i{k}")
+            return pdf.assign(v=np.asarray(f(pdf["v"].to_numpy()), dtype=float))[[*axes, "v"]]
+
+        schema = ", ".join(f"{c} bigint" for c in self.axes) + ", v double"
+        df = self.dense().df.select(*self.axes, F.col("v").cast("double").alias("v"))
+        return TensorFrame(df.groupBy(*others).applyInPandas(run, schema), self.shape)
+
     def item(self):
         if self.size != 1:
             raise IndexError("item() needs one element")

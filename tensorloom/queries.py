@@ -289,6 +289,47 @@ def fold_embeddings(spark, d):
     return e.select(c("vec_id").alias("i0"), F.round(F.reduce(F.slice(a, 2, 63), F.element_at(a, 1), lambda s, x: s * 0.5 + x), 8).alias("folded"))
 
 
+@query(f"SELECT i0, i1, round(v - (SELECT avg(b.v) FROM {E_SQL} b WHERE b.i0 = a.i0), 6) + 0.0 AS v FROM {E_SQL} a WHERE i0 < 20")
+def apply_axis_embeddings(spark, d):
+    return vectors(spark, d)[Span(0, 19)].apply_axis(lambda v: v - v.mean(), 1).df.select("i0", "i1", r(c("v")).alias("v"))
+
+
+@query(f"SELECT i0, round(v, 1) AS v FROM {E_SQL} WHERE i1 = 5")
+def at_embeddings(spark, d):
+    return vectors(spark, d).at(Span(), 5).df.select("i0", F.round("v", 1).alias("v"))
+
+
+@query(f"SELECT i0, i1, CASE WHEN i0 BETWEEN 2 AND 8 AND i0 % 2 = 0 AND i1 BETWEEN 10 AND 20 THEN -1.0 ELSE v END AS v FROM {E_SQL} WHERE i0 < 50")
+def slice_assign_embeddings(spark, d):
+    return vectors(spark, d)[Span(0, 49)].put((Span(2, 8, 2), Span(10, 20)), -1.0).df
+
+
+@query(f"SELECT i0, i1, CASE i1 WHEN 3 THEN 30.0 WHEN 60 THEN 600.0 ELSE v END AS v FROM {E_SQL} WHERE i0 < 50")
+def index_fill_embeddings(spark, d):
+    return vectors(spark, d)[Span(0, 49)].index_fill(1, [3, 60], [30.0, 600.0]).df
+
+
+@query(f"SELECT i0, i1, v - (SELECT list(b.v ORDER BY b.i1)[3] FROM {E_SQL} b WHERE b.i0 = a.i0) AS v FROM {E_SQL} a WHERE i0 < 30")
+def broadcast_column_embeddings(spark, d):
+    e = vectors(spark, d)[Span(0, 29)]
+    return (e - e[..., Span(2, 2)]).df
+
+
+@query(f"SELECT i0, 0::BIGINT AS i1, round(stddev_samp(v), 6) AS v FROM {E_SQL} GROUP BY i0")
+def axis_std_embeddings(spark, d):
+    return vectors(spark, d).std(1).df.select("i0", "i1", F.round("v", 6).alias("v"))
+
+
+@query(f"SELECT i0, 0::BIGINT AS i1, round(quantile_cont(v, 0.3), 6) + 0.0 AS v FROM {E_SQL} GROUP BY i0")
+def axis_percentile_embeddings(spark, d):
+    return vectors(spark, d).percentile(30, 1).df.select("i0", "i1", r(c("v")).alias("v"))
+
+
+@query(f"SELECT 0::BIGINT AS i0, i1, bool_and(v <> 0) AS v FROM {E_SQL} GROUP BY i1")
+def axis_all_embeddings(spark, d):
+    return vectors(spark, d).all(0).df
+
+
 # -- selection and shape ---------------------------------------------------------------
 
 

@@ -135,3 +135,12 @@ def test_random_shapes(spark, shape, axis):
     same(t.sum(k), a.sum(k, keepdims=True))
     same(t.transpose(), a.T)
     same(t.roll(2, k), np.roll(a, 2, k))
+
+
+def test_arrow_items_and_axes(spark):
+    a = np.random.default_rng(1).random((3, 4))
+    t = TensorFrame.from_arrow(spark, a)
+    same(t, a)
+    assert [v for _, v in t.items()] == a.ravel().tolist()
+    same(t.apply_axis(lambda v: v - v.mean(), 1), a - a.mean(1, keepdims=True))
+    assert t.distinct_values().count() == 12
