@@ -36,7 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tensorloom.llm.common import discard, materialize
@@ -44,9 +44,12 @@ from tensorloom.llm.components import components
 
 #: Ranked n-grams (12 bytes each in the broadcast), and the ranges in which they are counted.
 ORDERED, RANGES = 1 << 20, 512
-#: Bits of the filter of documents whose sets are needed, nodes in a block of a large group, bits of a bitmap.
-FILTER_BITS, BLOCK, BITMAP = 1 << 26, 2048, 1024
-CACHE = 500_000
+#: Bits of the filter of documents whose sets are needed, and nodes in a block of a large group.
+FILTER_BITS, BLOCK = 1 << 26, 512
+#: Low bits of an n-gram's row that hold the size of its set; larger sizes meet all.
+SIZE_BITS = 20
+TOP_SIZE = (1 << SIZE_BITS) - 1
+CACHE = 200_000
 
 _M = [np.uint64(x | 1) for x in np.frombuffer(hashlib.sha512(b"n-gram multipliers").digest() * 2, "<u8")]
 
@@ -105,7 +108,7 @@ def _counting(n: int):
             if len(s):
                 held.append((s >> np.uint64(32)).astype(np.uint32))
                 size += len(s)
-            if size > 8_000_000:
+            if size > 4_000_000:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -149,20 +152,41 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Parity of the number of hashes that fall on each bit."""
-    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % BITMAP, minlength=BITMAP) & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of hashes that fall on each bit; about one bit for one or two hashes, a power of two in all."""
+    bits = 1 << max(6, len(s).bit_length() - 1)
+    return np.packbits((np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def may_link(bits: np.ndarray, sizes: np.ndarray, percent: int, cross: int | None = None) -> np.ndarray:
-    """Which rows have a partner that sizes and bitmaps do not rule out; with ``cross``, across that position only."""
+def may_link(bitmaps: list[bytes], sizes: np.ndarray, percent: int, cross: int | None = None) -> np.ndarray:
+    """Which rows have a partner that sizes and bitmaps do not rule out; with ``cross``, across that position only.
+
+    Partners' bitmaps have the same length or one is twice as long: then its
+    halves are folded onto each other, which keeps parities.
+    """
     out = np.zeros(len(sizes), bool)
-    for k in range(len(sizes) if cross is None else cross):
-        at = k + 1 if cross is None else cross
-        n, m = int(sizes[k]), sizes[at:]
-        ok = (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & ((100 + percent) * np.bitwise_count(bits[k] ^ bits[at:]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n + m))
-        if ok.any():
-            out[k] = True
-            out[at:] |= ok
+    length = np.array([len(b) for b in bitmaps])
+    side = np.zeros(len(sizes), bool) if cross is None else np.arange(len(sizes)) >= cross
+    rows = {n: np.flatnonzero(length == n) for n in np.unique(length).tolist()}
+    words = {n: np.frombuffer(b"".join(bitmaps[k] for k in at), np.uint64 if n >= 8 else np.uint8).reshape(len(at), -1) for n, at in rows.items()}
+
+    def meet(k: int, own: np.ndarray, others: np.ndarray, bits: np.ndarray) -> None:
+        n, m = int(sizes[k]), sizes[others]
+        ok = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
+        if cross is not None:
+            ok &= side[others] != side[k]
+        some = np.flatnonzero(ok)
+        if len(some):
+            near = (100 + percent) * np.bitwise_count(own ^ bits[some]).sum(axis=1, dtype=np.int64) <= (100 - percent) * (n + m[some])
+            if near.any():
+                out[k] = True
+                out[others[some[near]]] = True
+
+    for n, at in rows.items():
+        half = words[n][:, : words[n].shape[1] // 2] ^ words[n][:, words[n].shape[1] // 2 :] if n // 2 in rows else None
+        for i, k in enumerate(at.tolist()):
+            meet(k, words[n][i], at[i + 1 :], words[n][i + 1 :])
+            if half is not None:
+                meet(k, half[i], rows[n // 2], words[n // 2])
     return out
 
 
@@ -171,7 +195,7 @@ def _postings(n: int, percent: int, order):
         """Per document a row with its id; per new node its first n-grams."""
         cache, (fps, counts), seen = _WordHash(), order.value, set()
         for b in parts:
-            ids, nodes, sizes, bits, toks, owner, owner_n = [], [], [], [], [], [], []
+            ids, nodes, sizes, bits, toks, owner = [], [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = grams(t, n, cache)
                 node = node_of(s)
@@ -183,9 +207,9 @@ def _postings(n: int, percent: int, order):
                     seen.add(node)
                     bits[-1] = bitmap(s)
                     p = ordered(s, fps, counts)[: prefix_length(len(s), percent)]
-                    toks.append(p.view(np.int64))
+                    # The size takes the place of the low bits: a shorter n-gram hash only makes more candidates.
+                    toks.append(((p >> np.uint64(SIZE_BITS) << np.uint64(SIZE_BITS)) | np.uint64(min(len(s), TOP_SIZE))).view(np.int64))
                     owner.append(np.full(len(p), node, np.int64))
-                    owner_n.append(np.full(len(p), len(s), np.int32))
             tok = np.concatenate([np.empty(0, np.int64), *toks])
             k = len(ids)
             yield pa.RecordBatch.from_arrays(
@@ -193,7 +217,7 @@ def _postings(n: int, percent: int, order):
                     pa.array(np.concatenate([np.zeros(len(tok), np.int8), np.ones(k, np.int8)])),
                     pa.chunked_array([pa.array(tok), pa.array(ids, pa.int64())]).combine_chunks(),
                     pa.array(np.concatenate([np.empty(0, np.int64), *owner, np.array(nodes, np.int64)])),
-                    pa.array(np.concatenate([np.empty(0, np.int32), *owner_n, np.array(sizes, np.int32)])),
+                    pa.chunked_array([pa.nulls(len(tok), pa.int32()), pa.array(sizes, pa.int32())]).combine_chunks(),
                     pa.chunked_array([pa.nulls(len(tok), pa.binary()), pa.array(bits, pa.binary())]).combine_chunks(),
                 ],
                 ["kind", "x", "node", "n", "bits"],
@@ -394,8 +418,7 @@ def _cross(rows: list[tuple]) -> int | None:
 def _pruning(percent: int):
     def prune(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _tasks(parts):
-            bits = np.frombuffer(b"".join(r[6] for r in rows), np.uint64).reshape(len(rows), -1)
-            keep = [r[:5] for r, ok in zip(rows, may_link(bits, np.array([r[5] for r in rows]), percent, _cross(rows)), strict=True) if ok]
+            keep = [r[:5] for r, ok in zip(rows, may_link([r[6] for r in rows], np.array([r[5] for r in rows]), percent, _cross(rows)), strict=True) if ok]
             if keep:
                 lead, i, j, own, node = zip(*keep, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(own, pa.int32()), pa.array(node, pa.int64())], ["lead", "i", "j", "own", "node"])
@@ -434,10 +457,18 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     posted = materialize(src.mapInArrow(_postings(n, percent, order), "kind byte, x long, node long, n int, bits binary"), "postings")
     docs = posted.where("kind = 1").select(F.col("x").alias("id"), "node", "n")
-    held = posted.where("kind = 0").select(F.col("x").alias("tok"), "node", "n").repartition(parts, "tok").dropDuplicates(["tok", "node"])
-    # The smallest node of each n-gram's group, without gathering the group.
-    lead = held.groupBy("tok").agg(F.min(F.struct("n", "node")).alias("lead"), F.count("*").alias("m")).where("m > 1").select("tok", F.col("lead.node").alias("lead"))
-    met = materialize(held.join(lead, "tok").select("lead", "node").distinct(), "met")
+    # Nodes with an n-gram in common, by size: a group ends where the next size is out of reach for all before.
+    # Each group is named after its first node, in one pass over rows dealt by n-gram; groups are not gathered.
+    held = posted.where("kind = 0").select("x", "node").repartition(parts, F.expr(f"shiftright(x, {SIZE_BITS})"))
+    held = held.select(F.expr(f"shiftright(x, {SIZE_BITS})").alias("tok"), F.expr(f"x & {TOP_SIZE}").alias("n"), "node")
+    w = Window.partitionBy("tok").orderBy("n", "node")
+    apart = (100 * F.col("n") < percent * F.lead("n").over(w)) & (F.lead("n").over(w) < TOP_SIZE)
+    held = held.withColumn("ends", F.coalesce(apart, F.lit(False)))
+    opens = F.coalesce(F.lag("ends").over(w), F.lit(True))
+    pairs = held.withColumn("lead", F.last(F.when(opens, F.col("node")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = pairs.where("node <> lead").select("node", "lead").distinct()
+    pairs = materialize(pairs.select("lead", "node"), "pairs")
+    met = pairs.unionAll(pairs.select("lead", F.col("lead").alias("node")).distinct())
 
     sizes = met.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     placed = met.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -463,5 +494,5 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_root = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_node = materialize(named.join(of_root, "root").select("node", "component_id"), "nodes")
     out = docs.join(of_node, "node", "left")
-    discard(met, left)
+    discard(pairs, left)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
