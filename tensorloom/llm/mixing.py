@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import materialize, without, words
+from tensorloom.llm.common import SPACE_RE, materialize, without
 
 #: Documents per block, about; and the most sources that one mix may have.
 BLOCK_DOCS, MAX_SOURCES = 500, 100_000
@@ -82,28 +82,31 @@ def choose_exponent(tokens: dict, budget: float | None = 1.0, target_entropy: fl
 
 
 def token_count(text: Column) -> Column:
-    return F.size(words(text)).cast("long")
+    """Words of the text, counted without making them."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(f"[^{SPACE_RE[1:-2]}]+")).cast("long")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget: float | None = 1.0, target_entropy: float | None = None, max_repeats: float | None = 4.0, seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", budget: float | None = 1.0, target_entropy: float | None = None, max_repeats: float | None = 4.0, seed: int = 7, tokens_col: str | None = None) -> DataFrame:
     """One row per copy of a document in the mix: the columns of ``df`` plus n_tokens, weight, epoch and mix_key.
 
+    Tokens are the words of the text, or what ``tokens_col`` says.
+
     Ordering by mix_key (0 to 1) deals the sources out side by side at their weights.
     """
     spark = df.sparkSession
-    df = without(df, "n_tokens", "weight", "epoch", "mix_key", "_block")
-    tagged = df.withColumn("n_tokens", token_count(F.col(text_col)))
+    tokens = token_count(F.col(text_col)) if tokens_col is None else F.coalesce(F.col(tokens_col), F.lit(0)).cast("long")
+    tagged = without(df.withColumn("_tokens", tokens), "n_tokens", "weight", "epoch", "mix_key", "_block").withColumnRenamed("_tokens", "n_tokens")
     per = tagged.groupBy(F.col(source_col).alias("s")).agg(F.sum("n_tokens").alias("t"), F.count("*").alias("d")).limit(MAX_SOURCES + 1).collect()
     if len(per) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    tokens = {r["s"]: r["t"] or 0 for r in per}
-    live = {k: n for k, n in tokens.items() if n}
+    have = {r["s"]: r["t"] or 0 for r in per}
+    live = {k: n for k, n in have.items() if n}
     a = choose_exponent(live, budget, target_entropy, max_repeats)
     w = weights(live, a) if live else {}
     deal = budget_of(live, w, budget)
     rows = []
     for r in per:
-        n = tokens[r["s"]]
+        n = have[r["s"]]
         goal = round(w[r["s"]] * deal) if n else 0
         # Rounding must not cut a whole pass short.
         goal = n * round(goal / n) if n and abs(goal / n - round(goal / n)) < 1e-9 else goal
