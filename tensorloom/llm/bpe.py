@@ -27,14 +27,16 @@ import unicodedata
 from array import array
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
+
+from tensorloom.llm.common import without
 
 #: Most words (and most table entries) that one worker remembers.
-CACHE = 400_000
+CACHE = 150_000
 
 _FOREVER = 1 << 60
 
@@ -265,48 +267,53 @@ def codec(spec: str) -> Codec:
     return _codecs[key]
 
 
-class Tokenizer:
-    """Columns of ids and of text by the tokenizer file at ``path``.
+#: Rows that a worker turns into Python objects at a time.
+ROWS = 256
 
-    The file's text is broadcast: its size is that of the vocabulary and does
-    not depend on the data.
-    """
 
-    def __init__(self, spark, path: str):
-        with open(path, encoding="utf-8") as f:
-            self._spec = spark.sparkContext.broadcast(f.read())
+def _sent(df: DataFrame, path: str):
+    """The tokenizer file, broadcast: its size is that of the vocabulary, whatever the data."""
+    with open(path, encoding="utf-8") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
 
-    def encode(self, text: Column) -> Column:
-        """Binary column of ids, packed as little-endian unsigned 32-bit integers."""
-        spec = self._spec
 
-        @F.pandas_udf(BinaryType())
-        def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            c = codec(spec.value)
-            for s in parts:
-                yield pd.Series([c.encode(t) for t in s], dtype=object)
+def _mapped(df: DataFrame, path: str, column: str, added: dict[str, str], make) -> DataFrame:
+    """``df`` plus columns made from one column, a slice of each Arrow batch at a time."""
+    spec, df = _sent(df, path), without(df, *added)
+    at = [c.lower() for c in df.columns].index(column.lower())
+    types = {"binary": pa.binary(), "string": pa.string()}
 
-        return encode(text)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(spec.value)
+        for b in parts:
+            for k in range(0, b.num_rows, ROWS):
+                piece = b.slice(k, ROWS)
+                new = zip(*[make(c, x) for x in piece.column(at).to_pylist()], strict=True)
+                yield pa.RecordBatch.from_arrays([*piece.columns, *[pa.array(x, types[t]) for x, t in zip(new, added.values(), strict=True)]], [*piece.schema.names, *added])
 
-    def decode(self, packed: Column) -> Column:
-        spec = self._spec
+    schema = StructType([*df.schema.fields, *[StructField(n, BinaryType() if t == "binary" else StringType()) for n, t in added.items()]])
+    return df.mapInArrow(run, schema)
 
-        @F.pandas_udf(StringType())
-        def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            c = codec(spec.value)
-            for s in parts:
-                yield pd.Series([c.decode(t) for t in s], dtype=object)
 
-        return decode(packed)
+def _counted(df: DataFrame) -> DataFrame:
+    return df.withColumn("n_tokens", F.floor(F.octet_length("ids_packed") / 4).cast("long"))
 
 
 def bpe_encode(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``df`` plus ids_packed (binary) and n_tokens (long)."""
-    t = Tokenizer(df.sparkSession, path)
-    out = df.withColumn("ids_packed", t.encode(F.col(text_col)))
-    return out.withColumn("n_tokens", F.floor(F.octet_length("ids_packed") / 4).cast("long"))
+    """``df`` plus ids_packed (binary; little-endian unsigned 32-bit integers) and n_tokens (long)."""
+    return _counted(_mapped(without(df, "n_tokens"), path, text_col, {"ids_packed": "binary"}, lambda c, t: (c.encode(t),)))
 
 
 def bpe_decode(df: DataFrame, path: str, ids_col: str = "ids_packed") -> DataFrame:
     """``df`` plus decoded (string)."""
-    return df.withColumn("decoded", Tokenizer(df.sparkSession, path).decode(F.col(ids_col)))
+    return _mapped(df, path, ids_col, {"decoded": "string"}, lambda c, x: (c.decode(x),))
+
+
+def bpe_round_trip(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
+    """``df`` plus ids_packed, n_tokens and decoded, which is made from the ids: both ways in one worker."""
+
+    def both(c: Codec, t: str | None) -> tuple[bytes, str]:
+        ids = c.encode(t)
+        return ids, c.decode(ids)
+
+    return _counted(_mapped(without(df, "n_tokens"), path, text_col, {"ids_packed": "binary", "decoded": "string"}, both))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.bpe import bpe_decode, bpe_encode
-from tensorloom.llm.common import documents
+from tensorloom.llm.bpe import bpe_round_trip
+from tensorloom.llm.common import documents, materialize
 from tensorloom.llm.fingerprint import edited_fingerprints, resemblance, written
 from tensorloom.llm.license_scan import license_scan
 from tensorloom.llm.line_dedup import line_dedup
-from tensorloom.llm.mixing import mix
+from tensorloom.llm.mixing import mix, token_count
 from tensorloom.llm.ngram_join import jaccard_components
 from tensorloom.llm.pii import KINDS, find_pii, span_text
 from tensorloom.llm.quality import quality_rules
@@ -25,8 +25,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = tokenizer_path()
-    out = bpe_decode(bpe_encode(documents(spark, sf_dir).select("doc_id", "text"), path), path)
+    out = bpe_round_trip(documents(spark, sf_dir).select("doc_id", "text"), tokenizer_path())
     return out.select("doc_id", "n_tokens", F.sha2("ids_packed", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -75,7 +74,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mix(documents(spark, sf_dir).select("doc_id", "source", "text"), budget=1.0, target_entropy=0.97, max_repeats=4.0)
+    # The texts are read once, for their sizes.
+    docs = materialize(documents(spark, sf_dir).select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")), "sizes")
+    out = mix(docs, budget=1.0, target_entropy=0.97, max_repeats=4.0, tokens_col="n_tokens")
     return out.select("doc_id", "source", "n_tokens", "weight", "epoch", "mix_key")
 
 
