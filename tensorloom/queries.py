@@ -294,6 +294,11 @@ def apply_axis_embeddings(spark, d):
     return vectors(spark, d)[Span(0, 19)].apply_axis(lambda v: v - v.mean(), 1).df.select("i0", "i1", r(c("v")).alias("v"))
 
 
+@query(f"SELECT i0, i1, round(v - avg(v) OVER (PARTITION BY i0), 6) + 0.0 AS v FROM {E_SQL}")
+def apply_axis_all_embeddings(spark, d):
+    return vectors(spark, d).apply_axis(lambda v: v - v.mean(), 1).df.select("i0", "i1", r(c("v")).alias("v"))
+
+
 @query(f"SELECT i0, round(v, 1) AS v FROM {E_SQL} WHERE i1 = 5")
 def at_embeddings(spark, d):
     return vectors(spark, d).at(Span(), 5).df.select("i0", F.round("v", 1).alias("v"))
@@ -304,17 +309,34 @@ def slice_assign_embeddings(spark, d):
     return vectors(spark, d)[Span(0, 49)].put((Span(2, 8, 2), Span(10, 20)), -1.0).df
 
 
+@query(f"SELECT i0, i1, CASE WHEN i0 >= 2 AND i0 % 2 = 0 AND i1 BETWEEN 10 AND 20 THEN -1.0 ELSE v END AS v FROM {E_SQL}")
+def slice_assign_all_embeddings(spark, d):
+    e = vectors(spark, d)
+    return e.put((Span(2, e.shape[0] - 1, 2), Span(10, 20)), -1.0).df
+
+
 @query(f"SELECT i0, i1, CASE i1 WHEN 3 THEN 30.0 WHEN 60 THEN 600.0 ELSE v END AS v FROM {E_SQL} WHERE i0 < 50")
 def index_fill_embeddings(spark, d):
     return vectors(spark, d)[Span(0, 49)].index_fill(1, [3, 60], [30.0, 600.0]).df
 
 
+@query(f"SELECT i0, i1, CASE i1 WHEN 3 THEN 30.0 WHEN 60 THEN 600.0 ELSE v END AS v FROM {E_SQL}")
+def index_fill_all_embeddings(spark, d):
+    return vectors(spark, d).index_fill(1, [3, 60], [30.0, 600.0]).df
+
+
 @query(f"SELECT i0, i1, v - (SELECT list(b.v ORDER BY b.i1)[3] FROM {E_SQL} b WHERE b.i0 = a.i0) AS v FROM {E_SQL} a WHERE i0 < 30")
 def broadcast_column_embeddings(spark, d):
     e = vectors(spark, d)[Span(0, 29)]
     return (e - e[..., Span(2, 2)]).df
 
 
+@query(f"SELECT i0, i1, v - max(CASE WHEN i1 = 2 THEN v END) OVER (PARTITION BY i0) AS v FROM {E_SQL}")
+def broadcast_column_all_embeddings(spark, d):
+    e = vectors(spark, d)
+    return (e - e[..., Span(2, 2)]).df
+
+
 @query(f"SELECT i0, 0::BIGINT AS i1, round(stddev_samp(v), 6) AS v FROM {E_SQL} GROUP BY i0")
 def axis_std_embeddings(spark, d):
     return vectors(spark, d).std(1).df.select("i0", "i1", F.round("v", 6).alias("v"))
@@ -380,11 +402,21 @@ def transpose_embeddings(spark, d):
     return vectors(spark, d)[Span(0, 19)].transpose().df
 
 
+@query(f"SELECT i1 AS i0, i0 AS i1, v FROM {E_SQL}")
+def transpose_all_embeddings(spark, d):
+    return vectors(spark, d).transpose().df
+
+
 @query(f"SELECT (i0 * 64 + i1) // 128 AS i0, ((i0 * 64 + i1) // 16) % 8 AS i1, (i0 * 64 + i1) % 16 AS i2, v FROM {E_SQL} WHERE i0 < 100")
 def reshape_embeddings(spark, d):
     return vectors(spark, d)[Span(0, 99)].reshape((50, 8, -1)).df
 
 
+@query(f"SELECT (i0 * 64 + i1) // 16 AS i0, ((i0 * 64 + i1) // 4) % 4 AS i1, (i0 * 64 + i1) % 4 AS i2, v FROM {E_SQL}")
+def reshape_all_embeddings(spark, d):
+    return vectors(spark, d).reshape((-1, 4, 4)).df
+
+
 @query(f"SELECT i0, v FROM {V_SQL} UNION ALL SELECT i0 + (SELECT count(*) FROM events), -v FROM {V_SQL}")
 def concat_events(spark, d):
     v = series(spark, d)
@@ -410,6 +442,11 @@ def roll_embeddings(spark, d):
     return vectors(spark, d)[Span(0, 49)].roll(5, 1).df
 
 
+@query(f"SELECT i0, (i1 + 5) % 64 AS i1, v FROM {E_SQL}")
+def roll_all_embeddings(spark, d):
+    return vectors(spark, d).roll(5, 1).df
+
+
 @query("SELECT (r_regionkey * 3 + k)::BIGINT AS i0, r_regionkey::BIGINT AS v, 'repeat' AS how FROM region, range(3) t(k) UNION ALL SELECT r_regionkey + 5 * k, r_regionkey, 'tile' FROM region, range(3) t(k)")
 def repeat_tile_region(spark, d):
     k = c("r_regionkey").cast("bigint")
@@ -450,6 +487,11 @@ def upsample_embeddings(spark, d):
     return vectors(spark, d)[Span(0, 49)].upsample(2, phase=1).df
 
 
+@query(f"SELECT i0, i1 * 2 + k AS i1, CASE WHEN k = 1 THEN v ELSE 0 END AS v FROM {E_SQL}, range(2) t(k)")
+def upsample_all_embeddings(spark, d):
+    return vectors(spark, d).upsample(2, phase=1).df
+
+
 @query("SELECT i::BIGINT AS i0, j::BIGINT AS i1, round(1.0 / (i + j + 1), 10) AS hilbert, round(pow(i + 1, j), 4) AS vander, ((i - j + 12) % 6)::BIGINT AS circulant FROM range(6) a(i), range(6) b(j)")
 def special_matrices(spark, d):
     x = create.arange(spark, 1, 7)

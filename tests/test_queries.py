@@ -29,3 +29,13 @@ def test_entry_module_imports():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+WHOLE = ["apply_axis", "slice_assign", "index_fill", "broadcast_column", "transpose", "reshape", "roll", "upsample"]
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_tensor_queries_leave_no_row_out(spark, sf_dir, name):
+    n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
+    got = core.QUERIES[f"{name}_all_embeddings"](spark, sf_dir)
+    assert n > 100 and got.count() == n * (128 if name == "upsample" else 64)
