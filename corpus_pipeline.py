@@ -4,8 +4,10 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; ``run`` writes each stage's rows to the shared folder and reads them again,
 so a lost executor never costs more than the stage at hand.
 
-Defined results: see the operators; null texts are empty texts, repeated ids
-leave one row after the near-duplicate stage, and an empty table passes through.
+Defined results: see the operators; null texts are empty texts, and an empty
+table passes through.  The near-copy stage goes by rows, not by ids: of each group
+of near copies one row stays, so rows that share an id but not their text all
+stay, and so do rows without an id that are unlike all others.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from tensorloom.llm.queries import tokenizer_path
 from tensorloom.llm.toxicity import toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+ROW_STRIDE = 41_473_391
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +39,30 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def with_row_key(docs: DataFrame) -> DataFrame:
+    """``docs`` plus _row, a unique number per row; written once, so that all who read it see the same."""
+    # Partitions start far apart modulo the bits of the join's filter, so that their rows seldom share a bit.
+    key = F.monotonically_increasing_id() + F.spark_partition_id().cast("long") * ROW_STRIDE
+    return materialize(docs.select(*COLUMNS).withColumn("_row", key), "rows")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest id."""
-    found = jaccard_components(docs, n=5, percent=80)
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One row of each group of near copies stays: the one with the smallest id, or any if none has an id.
+
+    Groups are found by row: a text without n-grams is its own group, whatever its id.
+    """
+    rows = with_row_key(docs)
+    found = jaccard_components(rows, id_col="_row", n=5, percent=80)
+    ids = rows.select("_row", F.col("doc_id").isNull().alias("_none"), "doc_id")
+    first = found.join(ids, "_row").groupBy("component_id").agg(F.min(F.struct("_none", "doc_id", "_row")).alias("_first"))
+    return rows.join(first.select(F.col("_first._row").alias("_row")), "_row", "left_semi").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are repeated up to half a pass more; every document is seen at least once."""
-    return mix(docs.select(*COLUMNS), budget=None, max_repeats=1.5).select(*COLUMNS)
+    # Rows without an id are dealt by their text, not all into one block.
+    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_mix"))
+    return mix(keyed, id_col="_mix", budget=None, max_repeats=1.5).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

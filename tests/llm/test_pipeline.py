@@ -32,5 +32,17 @@ def test_edge_and_empty(spark, edge_dir, empty_dir, odd_dir):
     assert cp.run(spark, odd_dir).count() > 0
 
 
+def test_near_copies_go_by_rows(spark):
+    a, b, c, d = (" ".join(f"{x}{k}" for k in range(40)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b + " tail"), (5, c), (5, d), (9, a), (7, d), (None, None), (3, None), (3, ""), (4, "e")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    kept = cp.drop_near_copies(spark, docs, "")
+    got = Counter((r["doc_id"], (r["text"] or "")[:2]) for r in kept.collect())
+    assert got == Counter({(9, "a0"): 1, (None, "b0"): 1, (5, "c0"): 1, (5, "d0"): 1, (None, ""): 1, (3, ""): 2, (4, "e"): 1})
+    # Mixing and encoding lose none of them.
+    mixed = cp.materialize(cp.mix_sources(spark, kept, ""))
+    assert {(r["doc_id"], r["text"]) for r in mixed.collect()} == {(r["doc_id"], r["text"]) for r in kept.collect()}
+
+
 def test_names():
     assert [n for n, _ in cp.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "mixing", "bpe"]
