@@ -3,6 +3,7 @@
 A character trigram model is counted over the words of every document.  Words
 that look disguised become lattices: leet signs stand for letters, stretched
 letters for one or two, signs between single letters for nothing or a space.
+Runs and tokens of any length are decoded: time grows with their length only.
 The Viterbi path under the character model and the channel costs is the restored
 word.  Evidence is then taken from restored words: whole words and word
 beginnings whose presence in labelled documents marks the toxic class, joined
@@ -48,7 +49,9 @@ CACHE = 400_000
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 _SIGNS = frozenset(LEET)
 _STRETCHED = re.compile(r"([a-z])\1\1")
-_SPELLED = re.compile(r"(?<!\w)(?:[^\W_][ .\-_*]){3,}[^\W_](?!\w)")
+# Single letters, or signs that stand for one, with one sign between each two; a star beside a star stands for none.
+_SINGLE = r"(?:[^\W_]|[@$!|+(]|(?<!\*)\*(?!\*))"
+_SPELLED = re.compile(rf"(?<!\w)(?:{_SINGLE}[ .\-_*]){{3,}}{_SINGLE}(?!\w)")
 _EDGE = " \t\r\n.,;:?!\"'()[]{}<>«»„“”‚‘’…*#%&$|-_/\\="
 
 
@@ -74,24 +77,33 @@ class CharModel:
         return self.memo[k]
 
     def best(self, lattice: list[list[tuple[str, float]]]) -> tuple[str, float]:
-        """The cheapest string through the lattice and its log probability per letter."""
-        paths = {"  ": (0.0, "")}
+        """The cheapest string through the lattice and its log probability per letter.
+
+        States are the last two letters.  Each keeps a link to its last piece of
+        text, so paths share what they have in common and time is linear.
+        """
+        paths: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
         for options in lattice:
-            after: dict[str, tuple[float, str]] = {}
-            for two, (score, text) in paths.items():
+            after: dict[str, tuple[float, tuple | None]] = {}
+            for two, (score, last) in paths.items():
                 for letters, cost in options:
                     s, t = score - cost, two
                     for c in letters:
                         s += self.logp(t, c)
                         t = t[1] + c
                     if t not in after or s > after[t][0]:
-                        after[t] = (s, text + letters)
+                        after[t] = (s, (last, letters) if letters else last)
             paths = after
-        score, text = max((s + self.logp(t, " "), x) for t, (s, x) in paths.items())
+        score, last = max(((s + self.logp(t, " "), x) for t, (s, x) in paths.items()), key=lambda p: p[0])
+        pieces = []
+        while last is not None:
+            last, piece = last
+            pieces.append(piece)
+        text = "".join(reversed(pieces))
         return text, score / (len(text) + 1)
 
 
-def lattice(token: str, spelled: bool = False) -> list[list[tuple[str, float]]]:
+def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Options (letters, cost) for each run of equal signs of a disguised token."""
     out: list[list[tuple[str, float]]] = []
     i = 0
@@ -100,9 +112,7 @@ def lattice(token: str, spelled: bool = False) -> list[list[tuple[str, float]]]:
         while j < len(token) and token[j] == token[i]:
             j += 1
         c, run = token[i], j - i
-        if spelled and c in GAPS:
-            out.append([("", 0.0), (" ", 2.0)])
-        elif c in _LETTERS:
+        if c in _LETTERS:
             out.append([(c, 0.0 if run == 1 else 0.7)] + ([(c * 2, 0.0)] if run > 1 else []))
         elif c in LEET:
             out.append([(x, 0.7) for x in LEET[c]] + [("", 3.0)])
@@ -112,12 +122,25 @@ def lattice(token: str, spelled: bool = False) -> list[list[tuple[str, float]]]:
     return out
 
 
+def spelled_lattice(run: str) -> list[list[tuple[str, float]]]:
+    """Options for a spelled run: every second sign is a gap; punctuation at its ends may go for nothing."""
+    out: list[list[tuple[str, float]]] = []
+    real = [k for k in range(0, len(run), 2) if run[k].isalnum()]
+    for k, sign in enumerate(run):
+        if k % 2:
+            out.append([("", 0.0), (" ", 2.0)])
+            continue
+        for options in map(lattice, plain(sign)):
+            out += options if real[0] <= k <= real[-1] else [[(x, cost) for x, cost in options[0] if x] + [("", 0.0)]]
+    return out
+
+
 def disguised(core: str) -> bool:
     """Whether a lower-case token mixes letters with leet signs or stretches a letter."""
     if core.isalpha():
         return _STRETCHED.search(core) is not None
     letters = sum(c in _LETTERS for c in core)
-    return 3 <= len(core) <= 40 and letters >= 1 and any(c in _SIGNS for c in core) and letters + sum(c in _SIGNS or c in GAPS for c in core) == len(core)
+    return len(core) >= 3 and letters >= 1 and any(c in _SIGNS for c in core) and letters + sum(c in _SIGNS or c in GAPS for c in core) == len(core)
 
 
 class Restorer:
@@ -141,9 +164,8 @@ class Restorer:
     def spelled(self, text: str) -> Iterator[tuple[int, int, str]]:
         """Runs of single letters with signs between them, restored."""
         for m in _SPELLED.finditer(text):
-            run = plain(m[0])
-            if len(run) <= 200:
-                yield m.start(), m.end(), self.model.best(lattice(run, True))[0]
+            if any(map(str.isalnum, m[0])):
+                yield m.start(), m.end(), self.model.best(spelled_lattice(m[0]))[0]
 
     def text(self, text: str | None) -> str:
         low = (text or "").lower()

@@ -31,6 +31,23 @@ def test_spelled_and_texts(restorer):
     assert restorer.text(None) == ""
 
 
+def test_disguises_of_any_length(restorer):
+    words = "people window table morning nothing bridge little better moron".split() * 40
+    run = " ".join("".join(words))
+    assert len(run) > 3000 and {"moron"} <= set("".join(x for *_, x in restorer.spelled(f"say {run} now")).split())
+    assert restorer.token("m" + "0" * 60 + "ron") == "moron" and restorer.token("1d10" + "t" * 90) == "idiot"
+    assert restorer.token("-".join(["m0r0n"] * 20)) == "moron" * 20
+
+
+@pytest.mark.parametrize("seen, meant", [("i d ! o t", "idiot"), ("s t u p ! d", "stupid"), ("t r @ $ h", "trash"), ("| d i o t", "idiot"), ("m-0-r-*-n", "moron"), ("m o r o n !", "moron")])
+def test_spelled_with_leet_signs(restorer, seen, meant):
+    assert [x for *_, x in restorer.spelled(f"you {seen} now")] == [meant]
+
+
+def test_signs_alone_are_no_spelled_run(restorer):
+    assert not list(restorer.spelled("* * * * * | | | | ! ! ! !  *********"))
+
+
 def test_disguised_words_are_scored(spark):
     bad, good = ["idiot", "moron", "stupid"], "the people had a better window on this little bridge every morning".split()
     docs = [(i, f"{' '.join(good[i % 5 :])} {bad[i % 3] if i % 4 == 0 else 'table'}") for i in range(400)] + [(900, "such an 1d10t there"), (901, "you m o r o n there"), (902, "such a table there"), (903, None)]
