@@ -1,12 +1,14 @@
 """Personal data and the words that give it away.
 
-Base spans of four kinds are found by fixed patterns.  Around them, corpus
-statistics decide what else must go: for each word, the number of documents that
-hold it near an entity of a kind is compared with the number of all documents
-that hold it.  The information that a word carries about an entity being there,
-log2(p(entity | word) / p(entity)), is its disclosure; words above a share of
-the entity's own information content, log2(1 / p(entity)), are sanitised where
-they stand near such an entity: generalised to the name of the kind, or removed.
+Base spans of four kinds are found by fixed patterns.  Corpus statistics decide
+what else must go: for each word, the number of documents that hold it along with
+an entity of a kind, wherever in the text, is compared with the number of all
+documents that hold it.  The information that a word carries about an entity
+being there, log2(p(entity | word) / p(entity)), is its disclosure; words above a
+share of the entity's own information content, log2(1 / p(entity)), are sanitised
+at each place in documents that hold such an entity: generalised to the name of
+the kind, or removed.  p(entity | word) is the lower end of Wilson's interval, so
+rare words take part, at the confidence that their number of documents gives.
 
 Counts cover all documents and are combined before any shuffle; words with
 identical documents share their fate.  The decision table is joined by key, not
@@ -42,6 +44,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\W\d_]{3,40}")
 CACHE = 200_000
+#: Normal quantile of the one-sided confidence of 95 %.
+Z = 1.645
 
 
 def luhn(digits: str) -> bool:
@@ -84,38 +88,49 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     return sorted(out, key=lambda s: (s[0], s[2]))
 
 
-def near_words(text: str, spans: list[tuple[int, int, int]], window: int) -> Iterator[tuple[int, int, str, int]]:
-    """(start, end, lower-case word, kind) of words within ``window`` characters of a span on its line, outside all spans."""
-    covered = [(a, b) for a, b, _ in spans]
-    for a, b, kind in spans:
-        lo = max(text.rfind("\n", 0, a) + 1, a - window)
-        hi = text.find("\n", b)
-        hi = min(len(text) if hi < 0 else hi, b + window)
-        for m in _WORD.finditer(text, lo, hi):
-            # A word that the window cuts is not a whole word.
-            if (m.start() == lo and lo and text[lo - 1].isalpha()) or (m.end() == hi and hi < len(text) and text[hi].isalpha()):
-                continue
-            if not any(x < m.end() and m.start() < y for x, y in covered):
-                yield m.start(), m.end(), m[0].lower(), kind
-
-
-def _detected(window: int):
-    def detect(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Base spans, and words near them, per document with any."""
-        for b in parts:
-            base, words = [], []
-            for t in b.column(0).to_pylist():
-                spans = base_spans(t)
-                base.append([{"s": x, "e": y, "k": k} for x, y, k in spans])
-                found = sorted(set(near_words(t, spans, window))) if spans else []
-                words.append([{"s": x, "e": y, "w": w, "k": k} for x, y, w, k in found])
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(base, _SPANS), pa.array(words, _NEAR)], [*b.schema.names[1:], "base", "near"])
-
-    return detect
+def outside_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, str]]:
+    """(start, end, lower-case word) of the words outside all spans."""
+    covered: list[list[int]] = []
+    for a, b, _ in sorted(spans):
+        if covered and a <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], b)
+        else:
+            covered.append([a, b])
+    k = 0
+    for m in _WORD.finditer(text):
+        while k < len(covered) and covered[k][1] <= m.start():
+            k += 1
+        if k == len(covered) or m.end() <= covered[k][0]:
+            yield m.start(), m.end(), m[0].lower()
+
+
+def _detect(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans, and per document with any its text and the distinct words outside them."""
+    for b in parts:
+        base, words, texts = [], [], []
+        for t in b.column(0).to_pylist():
+            spans = base_spans(t)
+            base.append([{"s": x, "e": y, "k": k} for x, y, k in spans])
+            words.append(sorted({w for _, _, w in outside_words(t, spans)}) if spans else [])
+            texts.append(t if spans else None)
+        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(base, _SPANS), pa.array(words, pa.list_(pa.string())), pa.array(texts, pa.string())], [*b.schema.names[1:], "base", "near", "_text"])
+
+
+def _mark(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Base spans and each occurrence of the document's disclosing words (_gone), in order."""
+    for b in parts:
+        spans = []
+        for base, t, gone in zip(*(b.column(c).to_pylist() for c in ("base", "_text", "_gone")), strict=True):
+            found = [(x["s"], x["e"], x["k"]) for x in base]
+            if gone:
+                gone = set(gone)
+                found += [(x, y, -1) for x, y, w in outside_words(t, found) if w in gone]
+            spans.append([{"s": x, "e": y, "k": k} for x, y, k in sorted(found, key=lambda s: (s[0], s[2] % 8, s[1]))])
+        kept = [c for c in b.schema.names if c not in ("_text", "_gone")]
+        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(spans, _SPANS)], [*kept, "spans"])
 
 
 _SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("k", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("w", pa.string()), ("k", pa.int32())]))
 
 
 def _document_words(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,34 +151,35 @@ def _document_words(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield flush()
 
 
-def disclosing_words(df: DataFrame, found: DataFrame, text_col: str, share: float, min_docs: int) -> DataFrame:
+def disclosing_words(df: DataFrame, found: DataFrame, text_col: str, share: float) -> DataFrame:
     """Words (w) and kinds (k) above the disclosure threshold, with the figures behind it."""
-    near = found.select("_row", F.explode("near").alias("x")).select("_row", "x.w", "x.k").distinct().groupBy("w", "k").agg(F.count("*").alias("together"))
-    kinds = found.select(F.explode(F.array_distinct(F.transform("base", lambda s: s["k"]))).alias("k")).groupBy("k").agg(F.count("*").alias("with_kind"))
-    near = near.where(F.col("together") >= min_docs)
-    # Only words seen near entities need their corpus count: a semi join before the final sum.
+    kinds_of = F.array_distinct(F.transform("base", lambda s: s["k"]))
+    near = found.select("near", F.explode(kinds_of).alias("k")).select("k", F.explode("near").alias("w")).groupBy("w", "k").agg(F.count("*").alias("together"))
+    kinds = found.select(F.explode(kinds_of).alias("k")).groupBy("k").agg(F.count("*").alias("with_kind"))
+    # Only words seen with entities need their corpus count: a semi join before the final sum.
     counted = df.select(text_col).mapInArrow(_document_words, "w string, n long")
     words = counted.groupBy("w").agg(F.sum("n").alias("docs"))
     total = df.count()
     p_kind = F.col("with_kind") / F.lit(float(max(total, 1)))
-    pmi = F.log2((F.col("together") / F.greatest("docs", "together")) / p_kind)
-    out = near.join(words, "w").join(F.broadcast(kinds), "k").withColumn("disclosure", pmi).withColumn("information", -F.log2(p_kind))
+    n = F.greatest("docs", "together").cast("double")
+    p, zz = F.col("together") / n, F.lit(Z * Z)
+    low = (p + zz / (2 * n) - Z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + zz / (4 * n * n))) / (1 + zz / n)
+    out = near.join(words, "w").join(F.broadcast(kinds), "k").withColumn("disclosure", F.log2(low / p_kind)).withColumn("information", -F.log2(p_kind))
     return out.where((F.col("information") > 0) & (F.col("disclosure") >= share * F.col("information")))
 
 
-def find_pii(df: DataFrame, text_col: str = "text", window: int = 48, share: float = 0.8, min_docs: int = 3) -> DataFrame:
+def find_pii(df: DataFrame, text_col: str = "text", share: float = 0.8) -> DataFrame:
     """``df`` without its text, plus base and spans (arrays of s, e, k); k is a kind number or, for words, -1."""
-    keep = [c for c in df.columns if c.lower() not in {text_col.lower(), "base", "near", "spans", "_row"}]
+    keep = [c for c in df.columns if c.lower() not in {text_col.lower(), "base", "near", "spans", "_row", "_text", "_gone"}]
     src = df.select(F.col(text_col), *[F.col(f"`{c}`") for c in keep])
-    fields = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in keep)
-    schema = f"{fields}{', ' if fields else ''}base array<struct<s:int,e:int,k:int>>, near array<struct<s:int,e:int,w:string,k:int>>"
-    found = materialize(src.mapInArrow(_detected(window), schema).withColumn("_row", F.monotonically_increasing_id()), "pii")
-    table = disclosing_words(src, found, text_col, share, min_docs).select("w", "k")
-    hits = found.select("_row", F.explode("near").alias("x")).select("_row", "x.*").join(table, ["w", "k"])
-    added = hits.groupBy("_row").agg(F.collect_set(F.struct("s", "e", F.lit(-1).alias("k"))).alias("_added"))
-    spans = F.concat("base", F.coalesce("_added", F.array().cast("array<struct<s:int,e:int,k:int>>")))
-    spans = F.array_sort(spans, lambda a, b: F.when(a["s"] != b["s"], a["s"] - b["s"]).when(a["k"] != b["k"], F.pmod(a["k"], F.lit(8)) - F.pmod(b["k"], F.lit(8))).otherwise(a["e"] - b["e"]))
-    return found.join(added, "_row", "left").withColumn("spans", spans).drop("_row", "_added", "near")
+    fields = "".join(f"`{c}` {src.schema[c].dataType.simpleString()}, " for c in keep)
+    spans = "array<struct<s:int,e:int,k:int>>"
+    found = materialize(src.mapInArrow(_detect, f"{fields}base {spans}, near array<string>, _text string").withColumn("_row", F.monotonically_increasing_id()), "pii")
+    table = disclosing_words(src, found, text_col, share).select("w", "k")
+    held = found.select("_row", "near", F.explode(F.array_distinct(F.transform("base", lambda s: s["k"]))).alias("k")).select("_row", "k", F.explode("near").alias("w"))
+    gone = held.join(table, ["w", "k"]).groupBy("_row").agg(F.collect_set("w").alias("_gone"))
+    marked = found.drop("near").join(gone, "_row", "left").drop("_row")
+    return marked.mapInArrow(_mark, f"{fields}base {spans}, spans {spans}")
 
 
 def span_text(spans: Column) -> Column:

@@ -81,3 +81,18 @@ def test_disclosing_words_and_sanitising(spark):
     assert clean[0].endswith("[TERM] [TERM] [EMAIL]") and clean[1] == docs[1][1]
     gone = pii.sanitise(df, found, "doc_id", mode="remove").where("doc_id = 0").select(F.trim("text")).first()[0]
     assert gone == docs[0][1].split(" agent")[0]
+
+
+def test_words_on_other_lines_and_each_occurrence(spark):
+    rng = random.Random(5)
+    filler = [f"word{chr(97 + k)}" for k in range(20)]
+    far = " ".join(rng.choices(filler, k=60))
+    docs = [(i, f"Zebulon\n{far}\na.b@c.de\nsigned zebulon" if i % 10 == 0 else far) for i in range(200)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [docs[0][1][s["s"] : s["e"]] for s in got[0]] == ["Zebulon", "a.b@c.de", "signed", "zebulon"] and not got[1]
+
+
+def test_rare_words_disclose_rare_kinds(spark):
+    docs = [(i, "mails of quorx a.b@c.de" if i < 2 else "mails of table") for i in range(400)]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [docs[1][1][s["s"] : s["e"]] for s in got[1]] == ["quorx", "a.b@c.de"] and not got[2]
