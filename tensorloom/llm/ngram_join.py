@@ -160,8 +160,8 @@ def bitmap(s: np.ndarray) -> bytes:
 def may_link(bitmaps: list[bytes], sizes: np.ndarray, percent: int, cross: int | None = None) -> np.ndarray:
     """Which rows have a partner that sizes and bitmaps do not rule out; with ``cross``, across that position only.
 
-    Partners' bitmaps have the same length or one is twice as long: then its
-    halves are folded onto each other, which keeps parities.
+    Of two bitmaps the longer one's halves are folded onto each other until both
+    have the same length, which keeps parities.
     """
     out = np.zeros(len(sizes), bool)
     length = np.array([len(b) for b in bitmaps])
@@ -182,11 +182,16 @@ def may_link(bitmaps: list[bytes], sizes: np.ndarray, percent: int, cross: int |
                 out[others[some[near]]] = True
 
     for n, at in rows.items():
-        half = words[n][:, : words[n].shape[1] // 2] ^ words[n][:, words[n].shape[1] // 2 :] if n // 2 in rows else None
         for i, k in enumerate(at.tolist()):
             meet(k, words[n][i], at[i + 1 :], words[n][i + 1 :])
-            if half is not None:
-                meet(k, half[i], rows[n // 2], words[n // 2])
+        folded, m = np.ascontiguousarray(words[n]).view(np.uint8), n
+        while m > min(rows):
+            m //= 2
+            folded = folded[:, :m] ^ folded[:, m:]
+            if m in rows and 100 * int(sizes[rows[m]].max()) >= percent * int(sizes[at].min()):
+                own = np.ascontiguousarray(folded).view(words[m].dtype)
+                for i, k in enumerate(at.tolist()):
+                    meet(k, own[i], rows[m], words[m])
     return out
 
 

@@ -98,3 +98,14 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), *[(100 + k, 101 + k) for k in range(60)]]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7, 9: 7, **{100 + k: 100 for k in range(61)}}
+
+
+@pytest.mark.parametrize("small, large, percent", [(100, 400, 20), (70, 1100, 6), (120, 200, 60)])
+def test_bitmaps_of_any_two_lengths_meet(small, large, percent):
+    rng = np.random.default_rng(7)
+    b = np.unique(rng.integers(0, 2**63, large, dtype=np.uint64))
+    a = np.sort(b[:small])
+    far = np.unique(rng.integers(0, 2**63, large, dtype=np.uint64))
+    assert nj.may_link([nj.bitmap(x) for x in (a, b)], np.array([len(a), len(b)]), percent).all()
+    assert nj.may_link([nj.bitmap(x) for x in (b, a)], np.array([len(b), len(a)]), percent, 1).all()
+    assert not nj.may_link([nj.bitmap(x) for x in (b, far)], np.array([len(b), len(far)]), 90).any()
