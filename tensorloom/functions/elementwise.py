@@ -311,15 +311,18 @@ def gauss(x: Column, mean, sigma, norm: bool = False) -> Column:
     return out / (_c(sigma) * math.sqrt(2 * math.pi)) if norm else out
 
 
-def _inside(u: Column, y: Column) -> Column:
-    return F.when(F.abs(u) <= 1, y).otherwise(0.0)
+def _inside(u: Column, y: Column, reach: float = 1.0) -> Column:
+    return F.when(F.abs(u) <= reach, y).otherwise(0.0)
 
 
-#: Kernels of unit half-width and area one.
+#: Half-widths of the kernels; the bell curve is cut off there in density estimates.
+REACH: dict[str, float] = {"box": 0.5, "triangular": 1.0, "trigonometric": 0.5, "epanechnikov": 1.0, "gauss": 3.0}
+
+#: Kernels of area one.
 KERNELS: dict[str, Callable[[Column], Column]] = {
-    "box": lambda u: _inside(u, F.lit(0.5)),
+    "box": lambda u: _inside(u, F.lit(1.0), 0.5),
     "triangular": lambda u: _inside(u, 1 - F.abs(u)),
-    "trig": lambda u: _inside(u, math.pi / 4 * F.cos(u * (math.pi / 2))),
+    "trigonometric": lambda u: _inside(u, 1 + F.cos(u * (2 * math.pi)), 0.5),
     "epanechnikov": lambda u: _inside(u, 0.75 * (1 - u * u)),
     "gauss": lambda u: F.exp(-0.5 * u * u) / math.sqrt(2 * math.pi),
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,17 +23,22 @@ def dot(a: Column, b: Column) -> Column:
     return total(F.zip_with(doubles(a), doubles(b), lambda x, y: x * y))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def logsumexp(a: Column) -> Column:
     """Stable in one step: the largest value is taken out first."""
-    top = F.array_max(a).cast("double")
-    return F.when(F.size(a) == 0, -fx.INF).otherwise(F.ln(F.aggregate(doubles(a), F.lit(0.0), lambda s, x: s + F.exp(x - top))) + top)
+    sums = lambda v, top: F.ln(F.aggregate(v, F.lit(0.0), lambda s, x: s + F.exp(x - top))) + top
+    return F.when(F.size(a) == 0, -fx.INF).otherwise(let(doubles(a), lambda v: let(F.array_max(v), lambda top: sums(v, top))))
 
 
 def softmax(a: Column) -> Column:
-    top = F.array_max(a).cast("double")
-    e = F.transform(doubles(a), lambda x: F.exp(x - top))
-    norm = total(e)
-    return F.transform(e, lambda x: x / norm)
+    """Linear in the length: maximum, exponentials and their sum are each made once."""
+    parts = lambda v, top: F.transform(v, lambda x: F.exp(x - top))
+    shares = lambda e: let(total(e), lambda norm: F.transform(e, lambda x: x / norm))
+    return let(doubles(a), lambda v: let(F.array_max(v), lambda top: let(parts(v, top), shares)))
 
 
 def argmax(a: Column) -> Column:

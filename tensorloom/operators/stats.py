@@ -19,11 +19,12 @@ def silverman(df: DataFrame, col: str, adjust: float = 1.0) -> float:
 def kde(df: DataFrame, col: str, samples: DataFrame, x_col: str = "x", kernel: str = "gauss", bandwidth: float | None = None, adjust: float = 1.0, cutoff: float | None = None, weight: str | None = None, normalize: bool = False) -> DataFrame:
     """(x, density) at the sample points.
 
-    Values reach only samples within the cutoff (three bandwidths for the bell
-    curve, one else): both are cut into cells of that width and joined by cell.
+    Values reach only samples within the cutoff (the kernel's own half-width, or
+    three bandwidths for the bell curve): both are cut into cells of that width and
+    joined by cell.
     """
     bw = bandwidth if bandwidth is not None else silverman(df, col, adjust)
-    reach = cutoff if cutoff is not None else (3.0 if kernel == "gauss" else 1.0) * bw
+    reach = cutoff if cutoff is not None else fx.REACH[kernel] * bw
     values = df.select(F.col(col).cast("double").alias("_v"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
     # Equal values are summed first: each distinct value meets its samples once.
     values = values.groupBy("_v").agg(F.sum("_w").alias("_w")).withColumn("_c", F.floor(F.col("_v") / reach))

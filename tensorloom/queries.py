@@ -139,10 +139,10 @@ def ew_compare_nan_guard_events(spark, d):
     return t.select("event_id", gt.alias("gt"), fx.compare("==", c("x"), c("x")).alias("eq"), fx.compare("!=", c("x"), c("x")).alias("ne"), F.isnan("x").alias("bad"), fx.logical("xor", gt, F.isnan("x")).alias("either"))
 
 
-@query("SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate, round(l_quantity - avg(l_quantity) OVER (), 3) AS q, round(l_tax - avg(l_tax) OVER (), 6) AS t FROM lineitem")
+@query("SELECT l_orderkey, l_partkey, l_linenumber, l_shipdate, round(l_quantity - avg(l_quantity) OVER (), 8) AS q, round(l_tax - avg(l_tax) OVER (), 8) AS t FROM lineitem")
 def broadcast_center_lineitem(spark, d):
     x = wide.center(table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", "l_quantity", "l_tax"), ["l_quantity", "l_tax"])
-    return x.select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", r(c("l_quantity"), 3).alias("q"), r(c("l_tax"), 6).alias("t"))
+    return x.select("l_orderkey", "l_partkey", "l_linenumber", "l_shipdate", r(c("l_quantity"), 8).alias("q"), r(c("l_tax"), 8).alias("t"))
 
 
 @query("SELECT p_partkey, round(CASE WHEN p_size = 25 THEN 1 ELSE sin(pi() * (p_size - 25) / 10.0) / (pi() * (p_size - 25) / 10.0) END, 8) AS sc, factorial((p_size % 15)::INTEGER)::BIGINT AS fac, round(1.0 / p_size, 8) AS rec FROM part")
@@ -278,8 +278,8 @@ def softmax_embeddings(spark, d):
 
 @query(f"SELECT round(sum(v * v), 4) AS f FROM {E_SQL}")
 def frobenius_embeddings(spark, d):
-    e = table(spark, d, "embeddings")
-    return e.agg(F.round(F.sum(arrays.dot(c("embedding"), c("embedding"))), 4).alias("f"))
+    e = vectors(spark, d)
+    return e.frobenius(e).df.select(F.round("v", 4).alias("f"))
 
 
 @query(f"SELECT i0, round(list_reduce(list(v ORDER BY i1), lambda s, x: s * 0.5 + x), 8) AS folded FROM {E_SQL} GROUP BY i0")
@@ -289,9 +289,9 @@ def fold_embeddings(spark, d):
     return e.select(c("vec_id").alias("i0"), F.round(F.reduce(F.slice(a, 2, 63), F.element_at(a, 1), lambda s, x: s * 0.5 + x), 8).alias("folded"))
 
 
-@query(f"SELECT i0, i1, round(v - (SELECT avg(b.v) FROM {E_SQL} b WHERE b.i0 = a.i0), 6) + 0.0 AS v FROM {E_SQL} a WHERE i0 < 20")
+@query(f"SELECT i0, i1, round(v / sum(abs(v)) OVER (PARTITION BY i0), 6) + 0.0 AS v FROM {E_SQL}")
 def apply_axis_embeddings(spark, d):
-    return vectors(spark, d)[Span(0, 19)].apply_axis(lambda v: v - v.mean(), 1).df.select("i0", "i1", r(c("v")).alias("v"))
+    return vectors(spark, d).apply_axis(lambda v: v / abs(v).sum(), 1).df.select("i0", "i1", r(c("v")).alias("v"))
 
 
 @query(f"SELECT i0, i1, round(v - avg(v) OVER (PARTITION BY i0), 6) + 0.0 AS v FROM {E_SQL}")
@@ -304,9 +304,9 @@ def at_embeddings(spark, d):
     return vectors(spark, d).at(Span(), 5).df.select("i0", F.round("v", 1).alias("v"))
 
 
-@query(f"SELECT i0, i1, CASE WHEN i0 BETWEEN 2 AND 8 AND i0 % 2 = 0 AND i1 BETWEEN 10 AND 20 THEN -1.0 ELSE v END AS v FROM {E_SQL} WHERE i0 < 50")
+@query(f"SELECT i0, i1, CASE WHEN i0 BETWEEN 2 AND 8 AND i0 % 2 = 0 AND i1 BETWEEN 10 AND 20 THEN -1.0 ELSE v END AS v FROM {E_SQL}")
 def slice_assign_embeddings(spark, d):
-    return vectors(spark, d)[Span(0, 49)].put((Span(2, 8, 2), Span(10, 20)), -1.0).df
+    return vectors(spark, d).put((Span(2, 8, 2), Span(10, 20)), -1.0).df
 
 
 @query(f"SELECT i0, i1, CASE WHEN i0 >= 2 AND i0 % 2 = 0 AND i1 BETWEEN 10 AND 20 THEN -1.0 ELSE v END AS v FROM {E_SQL}")
@@ -315,9 +315,9 @@ def slice_assign_all_embeddings(spark, d):
     return e.put((Span(2, e.shape[0] - 1, 2), Span(10, 20)), -1.0).df
 
 
-@query(f"SELECT i0, i1, CASE i1 WHEN 3 THEN 30.0 WHEN 60 THEN 600.0 ELSE v END AS v FROM {E_SQL} WHERE i0 < 50")
+@query(f"SELECT i0, i1, CASE i0 WHEN 3 THEN 30.0 WHEN 60 THEN 600.0 ELSE v END AS v FROM {E_SQL}")
 def index_fill_embeddings(spark, d):
-    return vectors(spark, d)[Span(0, 49)].index_fill(1, [3, 60], [30.0, 600.0]).df
+    return vectors(spark, d).index_fill(0, [3, 60], [30.0, 600.0]).df
 
 
 @query(f"SELECT i0, i1, CASE i1 WHEN 3 THEN 30.0 WHEN 60 THEN 600.0 ELSE v END AS v FROM {E_SQL}")
@@ -325,10 +325,11 @@ def index_fill_all_embeddings(spark, d):
     return vectors(spark, d).index_fill(1, [3, 60], [30.0, 600.0]).df
 
 
-@query(f"SELECT i0, i1, v - (SELECT list(b.v ORDER BY b.i1)[3] FROM {E_SQL} b WHERE b.i0 = a.i0) AS v FROM {E_SQL} a WHERE i0 < 30")
+@query(f"SELECT i0, i1, v - max(CASE WHEN i0 = 2 THEN v END) OVER (PARTITION BY i1) AS v FROM {E_SQL}")
 def broadcast_column_embeddings(spark, d):
-    e = vectors(spark, d)[Span(0, 29)]
-    return (e - e[..., Span(2, 2)]).df
+    """One row of the matrix is taken from all."""
+    e = vectors(spark, d)
+    return (e - e[Span(2, 2)]).df
 
 
 @query(f"SELECT i0, i1, v - max(CASE WHEN i1 = 2 THEN v END) OVER (PARTITION BY i0) AS v FROM {E_SQL}")
@@ -397,9 +398,9 @@ def ismember_orders(spark, d):
     return TensorFrame(o.select(c("o_orderkey").alias("i0"), c("o_custkey").alias("v")), (0,)).ismember(known).df.select(c("i0").alias("o_orderkey"), "v")
 
 
-@query(f"SELECT i1 AS i0, i0 AS i1, v FROM {E_SQL} WHERE i0 < 20")
+@query(f"SELECT i1 AS i0, i0 AS i1, v * 2 AS v FROM {E_SQL}")
 def transpose_embeddings(spark, d):
-    return vectors(spark, d)[Span(0, 19)].transpose().df
+    return (vectors(spark, d) * 2.0).transpose().df
 
 
 @query(f"SELECT i1 AS i0, i0 AS i1, v FROM {E_SQL}")
@@ -407,9 +408,9 @@ def transpose_all_embeddings(spark, d):
     return vectors(spark, d).transpose().df
 
 
-@query(f"SELECT (i0 * 64 + i1) // 128 AS i0, ((i0 * 64 + i1) // 16) % 8 AS i1, (i0 * 64 + i1) % 16 AS i2, v FROM {E_SQL} WHERE i0 < 100")
+@query(f"SELECT (i0 * 64 + i1) // 128 AS i0, ((i0 * 64 + i1) // 16) % 8 AS i1, (i0 * 64 + i1) % 16 AS i2, v FROM {E_SQL}")
 def reshape_embeddings(spark, d):
-    return vectors(spark, d)[Span(0, 99)].reshape((50, 8, -1)).df
+    return vectors(spark, d).reshape((-1, 8, 16)).df
 
 
 @query(f"SELECT (i0 * 64 + i1) // 16 AS i0, ((i0 * 64 + i1) // 4) % 4 AS i1, (i0 * 64 + i1) % 4 AS i2, v FROM {E_SQL}")
@@ -437,9 +438,9 @@ def chunk_labels(spark, d):
     return t.chunk_labels(7).select(c("v").alias("doc_id"), c("chunk").cast("bigint").alias("chunk"))
 
 
-@query(f"SELECT i0, (i1 + 5) % 64 AS i1, v FROM {E_SQL} WHERE i0 < 50")
+@query(f"SELECT (i0 + 5) % (SELECT count(*) FROM embeddings) AS i0, i1, v FROM {E_SQL}")
 def roll_embeddings(spark, d):
-    return vectors(spark, d)[Span(0, 49)].roll(5, 1).df
+    return vectors(spark, d).roll(5, 0).df
 
 
 @query(f"SELECT i0, (i1 + 5) % 64 AS i1, v FROM {E_SQL}")
@@ -482,9 +483,9 @@ def meshgrid_nation_region(spark, d):
     return a.df.withColumnRenamed("v", "x").join(b.df.withColumnRenamed("v", "y"), ["i0", "i1"])
 
 
-@query(f"SELECT i0, i1 * 2 + k AS i1, CASE WHEN k = 1 THEN v ELSE 0 END AS v FROM {E_SQL}, range(2) t(k) WHERE i0 < 50")
+@query(f"SELECT i0, i1 * 2 + k AS i1, CASE WHEN k = 0 THEN v ELSE 0 END AS v FROM {E_SQL}, range(2) t(k)")
 def upsample_embeddings(spark, d):
-    return vectors(spark, d)[Span(0, 49)].upsample(2, phase=1).df
+    return vectors(spark, d).upsample(2).df
 
 
 @query(f"SELECT i0, i1 * 2 + k AS i1, CASE WHEN k = 1 THEN v ELSE 0 END AS v FROM {E_SQL}, range(2) t(k)")
@@ -702,7 +703,7 @@ def kmeans_assign_embeddings(spark, d):
 @query()
 def kmeans_fit_embeddings(spark, d):
     e = table(spark, d, "embeddings")
-    return neighbors.kmeans(e, "vec_id", "embedding", 4, max_iters=10, n_init=1)[2].select("vec_id", "label", "d2")
+    return neighbors.kmeans(e, "vec_id", "embedding", 4)[2].select("vec_id", "label", "d2")
 
 
 @query(f"SELECT a.id FROM {_POINTS} a, {_POINTS} b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 1.2 GROUP BY a.id HAVING count(*) >= 4")
@@ -721,6 +722,32 @@ def kde_orders(spark, d):
     return stats.kde(table(spark, d, "orders"), "o_totalprice", at, bandwidth=15000.0).select("x", F.round(c("density") * 1e6, 6).alias("density"))
 
 
+_Z = "(x - o_totalprice) / 15000.0"
+_KDE_SQL = {
+    "box": f"CASE WHEN abs({_Z}) <= 0.5 THEN 1.0 ELSE 0.0 END",
+    "triangular": f"CASE WHEN abs({_Z}) <= 1 THEN 1 - abs({_Z}) ELSE 0.0 END",
+    "trigonometric": f"CASE WHEN abs({_Z}) <= 0.5 THEN 1 + cos(2 * pi() * {_Z}) ELSE 0.0 END",
+    "epanechnikov": f"CASE WHEN abs({_Z}) <= 1 THEN 0.75 * (1 - ({_Z}) ** 2) ELSE 0.0 END",
+}
+
+
+@query("WITH s AS (SELECT i * 20000.0 + 7 AS x FROM range(25) t(i)) SELECT x, " + ", ".join(f"round(sum({y}) / (count(*) * 15000.0) * 1e6, 6) AS {k}" for k, y in _KDE_SQL.items()) + " FROM s, orders GROUP BY x")
+def kde_kernels_orders(spark, d):
+    """Every kernel of bounded support."""
+    at = spark.range(25).select((c("id") * 20000.0 + 7).alias("x"))
+    out = at
+    for k in _KDE_SQL:
+        one = stats.kde(table(spark, d, "orders"), "o_totalprice", at, kernel=k, bandwidth=15000.0)
+        out = out.join(one.select("x", F.round(c("density") * 1e6, 6).alias(k)), "x")
+    return out
+
+
+@query("SELECT event_id, CASE WHEN abs(z) <= 0.5 THEN 1.0 ELSE 0.0 END AS box, CASE WHEN abs(z) <= 1 THEN 1 - abs(z) ELSE 0.0 END AS tri, CASE WHEN abs(z) <= 0.5 THEN round(1 + cos(2 * pi() * abs(z)), 8) ELSE 0.0 END AS trig FROM (SELECT event_id, (value - 50) / 40 AS z FROM events)")
+def kernels_events(spark, d):
+    z = (c("value") - 50) / 40
+    return table(spark, d, "events").select("event_id", fx.KERNELS["box"](z).alias("box"), fx.KERNELS["triangular"](z).alias("tri"), F.round(fx.KERNELS["trigonometric"](z), 8).alias("trig"))
+
+
 @query()
 def pca_explained_variance(spark, d):
     p = linalg.pca(table(spark, d, "embeddings"), "vec_id", "embedding", 64, 5)

@@ -93,9 +93,10 @@ def test_kde_reaches_all_kernels(spark):
     at = spark.createDataFrame([(float(x),) for x in range(-2, 13)], "x double")
     for k in fx.KERNELS:
         got = {r["x"]: r["density"] for r in stats.kde(df, "v", at, kernel=k, bandwidth=1.5).collect()}
-        f = {"box": lambda u: 0.5, "triangular": lambda u: 1 - abs(u), "trig": lambda u: math.pi / 4 * math.cos(math.pi / 2 * u), "epanechnikov": lambda u: 0.75 * (1 - u * u), "gauss": lambda u: math.exp(-u * u / 2) / math.sqrt(2 * math.pi)}[k]
+        f = {"box": lambda u: 1.0, "triangular": lambda u: 1 - abs(u), "trigonometric": lambda u: 1 + math.cos(2 * math.pi * u), "epanechnikov": lambda u: 0.75 * (1 - u * u), "gauss": lambda u: math.exp(-u * u / 2) / math.sqrt(2 * math.pi)}[k]
+        reach = {"gauss": 4.5, "box": 0.75, "trigonometric": 0.75}.get(k, 1.5)
         for x, y in got.items():
-            assert math.isclose(y, sum(f((x - v) / 1.5) for v in xs if abs(x - v) <= (4.5 if k == "gauss" else 1.5)) / 6, abs_tol=1e-12)
+            assert math.isclose(y, sum(f((x - v) / 1.5) for v in xs if abs(x - v) <= reach) / 6, abs_tol=1e-12)
 
 
 def test_tokens_and_losses(spark):
