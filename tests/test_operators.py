@@ -87,6 +87,21 @@ def test_kmeans(spark):
     assert labelled.select("label").distinct().count() == 3
 
 
+def test_knn_in_blocks_equals_one_block(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(80, 3)))], "id long, v array<double>")
+    q = df.where("id % 2 = 0")
+    rows = [sorted(map(tuple, neighbors.knn(df, q, "id", "v", 4, exclude_self=True, block=b).collect())) for b in (7, 1000)]
+    assert rows[0] == rows[1] and len(rows[0]) == 160
+
+
+def test_kmeans_keeps_points_of_no_cluster_apart(spark):
+    df = spark.createDataFrame([(i, [1.0, 1.0]) for i in range(5)], "id long, v array<double>")
+    centers, inertia, _ = neighbors.kmeans(df, "id", "v", 3, n_init=2)
+    assert centers == [[1.0, 1.0]] and inertia == 0.0
+    assert neighbors.kmeans(df.where("id < 0"), "id", "v", 3)[2].count() == 0
+
+
 def test_kde_reaches_all_kernels(spark):
     xs = [0.0, 3.0, 7.0, 10.0]
     df = spark.createDataFrame([(x,) for x in xs], "v double")
