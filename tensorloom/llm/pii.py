@@ -1,37 +1,47 @@
 """Personal data and the words that give it away.
 
 Base spans of four kinds are found by fixed patterns.  Corpus statistics decide
-what else must go: for each word, the number of documents that hold it along with
-an entity of a kind, wherever in the text, is compared with the number of all
-documents that hold it.  The information that a word carries about an entity
-being there, log2(p(entity | word) / p(entity)), is its disclosure; words above a
-share of the entity's own information content, log2(1 / p(entity)), are sanitised
-at each place in documents that hold such an entity: generalised to the name of
-the kind, or removed.  p(entity | word) is the lower end of Wilson's interval, so
-rare words take part, at the confidence that their number of documents gives.
-
-Counts cover all documents and are combined before any shuffle; words with
-identical documents share their fate.  The decision table is joined by key, not
-broadcast.
-
-Defined results: null and empty texts hold nothing; overlapping base spans of
-different kinds all stay; a disclosing word inside a base span adds no span of
+what else must go.  The protected entities are the kinds, and personal data of
+any kind.  For each word, the number of documents that hold it along with an
+entity, wherever in the text, is compared with the number of all documents that
+hold it.  The information that a word carries about an entity being there,
+log2(p(entity | word) / p(entity)), is its disclosure; words above a share of the
+entity's own information content, log2(1 / p(entity)), are sanitised at each
+place of every document, whether or not an entity stands beside them there:
+generalised to ``[TERM]``, or removed, as base spans are to the name of their
+kind.  p(entity | word) is the lower end of Wilson's interval, so rare words take
+part, at the confidence that their number of documents gives.
+
+Counts cover all documents and are combined before any shuffle.  A word that
+would fall short even if all its documents held the entity needs no count; the
+others are told by a bit filter of fixed size, whose false positives cost time
+and nothing else.  The words that are left are sent to all tasks if they are few
+(their number is checked), and joined by key if not; both ways give the same rows.
+
+Defined results: null and empty texts hold nothing and are sanitised to ``""``;
+words are runs of three letters or digits or more, of any length, compared in
+lower case; overlapping base spans of different kinds all stay, and where spans
+overlap one name replaces all of them; a word inside a base span adds no span of
 its own; ties at a threshold count as disclosing; repeated rows count as
-documents of their own; an empty table gives an empty result; a missing id is
-kept as null.
+documents of their own; texts are processed whole, however long; an empty table
+gives an empty result; a missing id is kept as null; columns of the input that
+clash with added ones are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from tensorloom.llm.common import materialize, without
+from tensorloom.llm.common import discard, materialize
 
 # The kinds, in the order in which equal starts are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -42,10 +52,14 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]{3,40}")
+_WORD = re.compile(r"[^\W_]{3,}")
 CACHE = 200_000
-#: Normal quantile of the one-sided confidence of 95 %.
-Z = 1.645
+#: Normal quantile of the one-sided confidence of 99 %.
+Z = 2.33
+#: Number of the entity that stands for personal data of any kind.
+ANY = len(KINDS)
+#: Bits of the filter of words to count, and the most words that are sent to every task.
+FILTER_BITS, SENT_WORDS = 1 << 24, 200_000
 
 
 def luhn(digits: str) -> bool:
@@ -104,82 +118,153 @@ def outside_words(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tupl
             yield m.start(), m.end(), m[0].lower()
 
 
-def _detect(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base spans, and per document with any its text and the distinct words outside them."""
+_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("k", pa.int32())]))
+_SPAN_TYPE = ArrayType(StructType([StructField(x, IntegerType()) for x in "sek"]))
+
+
+def _near(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per document with a base span: the entities in it and the distinct words outside its spans."""
     for b in parts:
-        base, words, texts = [], [], []
+        kinds, words = [], []
         for t in b.column(0).to_pylist():
             spans = base_spans(t)
-            base.append([{"s": x, "e": y, "k": k} for x, y, k in spans])
-            words.append(sorted({w for _, _, w in outside_words(t, spans)}) if spans else [])
-            texts.append(t if spans else None)
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(base, _SPANS), pa.array(words, pa.list_(pa.string())), pa.array(texts, pa.string())], [*b.schema.names[1:], "base", "near", "_text"])
-
-
-def _mark(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Base spans and each occurrence of the document's disclosing words (_gone), in order."""
+            if spans:
+                kinds.append([*sorted({k for _, _, k in spans}), ANY])
+                words.append(sorted({w for _, _, w in outside_words(t, spans)}))
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.list_(pa.int32())), pa.array(words, pa.list_(pa.string()))], ["kinds", "near"])
+
+
+def _document_words(filled):
+    """Documents per word that the filter lets through, counted within the task."""
+
+    def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, n = filled.value, Counter()
+
+        class Wanted(dict):
+            def __missing__(self, w: str) -> str | None:
+                at = zlib.crc32(w.lower().encode("utf-8", "replace")) % FILTER_BITS
+                if len(self) >= CACHE:
+                    self.clear()
+                found = self[w] = w.lower() if bits[at >> 3] >> (at & 7) & 1 else None
+                return found
+
+        wanted = Wanted()
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["w", "n"])
+            n.clear()
+            return out
+
+        for b in parts:
+            for t in b.column(0).to_pylist():
+                if t:
+                    n.update({wanted[w] for w in set(_WORD.findall(t))} - {None})
+            if len(n) > CACHE:
+                yield flush()
+        yield flush()
+
+    return count
+
+
+def sanitised(text: str | None, spans: list[tuple[int, int, int]], mode: str) -> str:
+    """``text`` with each group of overlapping spans replaced by the name of the first, or removed."""
+    out, at, text = [], 0, text or ""
+    for s, e, k in spans:
+        if s >= at:
+            out.append(text[at:s])
+            if mode == "generalise":
+                out.append("[TERM]" if k < 0 else f"[{KINDS[k].upper()}]")
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
+def _mark(mode: str, sent=None):
+    """Base spans, all spans and the sanitised text; disclosing words are those sent, or those of column _gone."""
+
+    def mark(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            base, spans, clean = [], [], []
+            texts = b.column("_text").to_pylist()
+            gone = [sent.value] * len(texts) if sent is not None else b.column("_gone").to_pylist()
+            for t, words in zip(texts, gone, strict=True):
+                found = base_spans(t)
+                marked = found
+                if words and t:
+                    words = words if sent is not None else set(words)
+                    if not words.isdisjoint(map(str.lower, _WORD.findall(t))):
+                        marked = sorted([*found, *[(x, y, -1) for x, y, w in outside_words(t, found) if w in words]], key=lambda s: (s[0], s[2] % 8, s[1]))
+                base.append([{"s": x, "e": y, "k": k} for x, y, k in found])
+                spans.append([{"s": x, "e": y, "k": k} for x, y, k in marked])
+                clean.append(sanitised(t, marked, mode))
+            kept = [c for c in b.schema.names if c not in ("_text", "_gone")]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(base, _SPANS), pa.array(spans, _SPANS), pa.array(clean, pa.string())], [*kept, "base", "spans", "sanitised"])
+
+    return mark
+
+
+def _all_words(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Row number and distinct words of each document."""
     for b in parts:
-        spans = []
-        for base, t, gone in zip(*(b.column(c).to_pylist() for c in ("base", "_text", "_gone")), strict=True):
-            found = [(x["s"], x["e"], x["k"]) for x in base]
-            if gone:
-                gone = set(gone)
-                found += [(x, y, -1) for x, y, w in outside_words(t, found) if w in gone]
-            spans.append([{"s": x, "e": y, "k": k} for x, y, k in sorted(found, key=lambda s: (s[0], s[2] % 8, s[1]))])
-        kept = [c for c in b.schema.names if c not in ("_text", "_gone")]
-        yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kept], pa.array(spans, _SPANS)], [*kept, "spans"])
+        words = [sorted(set(map(str.lower, _WORD.findall(t or "")))) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.list_(pa.string()))], ["_row", "words"])
 
 
-_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("k", pa.int32())]))
-
+def _lower_end(hits: Column, n: Column) -> Column:
+    """Lower end of Wilson's interval for hits of n."""
+    n = n.cast("double")
+    p, zz = hits / n, Z * Z
+    return (p + zz / (2 * n) - Z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + zz / (4 * n * n))) / (1 + zz / n)
 
-def _document_words(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents per word, counted within the task."""
-    n: Counter = Counter()
 
-    def flush() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["w", "n"])
-        n.clear()
-        return out
-
-    for b in parts:
-        for t in b.column(0).to_pylist():
-            if t:
-                n.update(set(_WORD.findall(t.lower())))
-        if len(n) > CACHE:
-            yield flush()
-    yield flush()
-
-
-def disclosing_words(df: DataFrame, found: DataFrame, text_col: str, share: float) -> DataFrame:
-    """Words (w) and kinds (k) above the disclosure threshold, with the figures behind it."""
-    kinds_of = F.array_distinct(F.transform("base", lambda s: s["k"]))
-    near = found.select("near", F.explode(kinds_of).alias("k")).select("k", F.explode("near").alias("w")).groupBy("w", "k").agg(F.count("*").alias("together"))
-    kinds = found.select(F.explode(kinds_of).alias("k")).groupBy("k").agg(F.count("*").alias("with_kind"))
-    # Only words seen with entities need their corpus count: a semi join before the final sum.
-    counted = df.select(text_col).mapInArrow(_document_words, "w string, n long")
-    words = counted.groupBy("w").agg(F.sum("n").alias("docs"))
-    total = df.count()
+def disclosing_words(texts: DataFrame, share: float) -> DataFrame:
+    """Words (w) and entities (k) above the disclosure threshold in the one column of ``texts``, with the figures behind it."""
+    spark = texts.sparkSession
+    found = materialize(texts.mapInArrow(_near, "kinds array<int>, near array<string>"), "near")
+    total = texts.count()
+    kinds = found.select(F.explode("kinds").alias("k")).groupBy("k").agg(F.count("*").alias("with_kind"))
     p_kind = F.col("with_kind") / F.lit(float(max(total, 1)))
-    n = F.greatest("docs", "together").cast("double")
-    p, zz = F.col("together") / n, F.lit(Z * Z)
-    low = (p + zz / (2 * n) - Z * F.sqrt(F.greatest(p * (1 - p), F.lit(0.0)) / n + zz / (4 * n * n))) / (1 + zz / n)
-    out = near.join(words, "w").join(F.broadcast(kinds), "k").withColumn("disclosure", F.log2(low / p_kind)).withColumn("information", -F.log2(p_kind))
-    return out.where((F.col("information") > 0) & (F.col("disclosure") >= share * F.col("information")))
-
-
-def find_pii(df: DataFrame, text_col: str = "text", share: float = 0.8) -> DataFrame:
-    """``df`` without its text, plus base and spans (arrays of s, e, k); k is a kind number or, for words, -1."""
-    keep = [c for c in df.columns if c.lower() not in {text_col.lower(), "base", "near", "spans", "_row", "_text", "_gone"}]
-    src = df.select(F.col(text_col), *[F.col(f"`{c}`") for c in keep])
-    fields = "".join(f"`{c}` {src.schema[c].dataType.simpleString()}, " for c in keep)
-    spans = "array<struct<s:int,e:int,k:int>>"
-    found = materialize(src.mapInArrow(_detect, f"{fields}base {spans}, near array<string>, _text string").withColumn("_row", F.monotonically_increasing_id()), "pii")
-    table = disclosing_words(src, found, text_col, share).select("w", "k")
-    held = found.select("_row", "near", F.explode(F.array_distinct(F.transform("base", lambda s: s["k"]))).alias("k")).select("_row", "k", F.explode("near").alias("w"))
-    gone = held.join(table, ["w", "k"]).groupBy("_row").agg(F.collect_set("w").alias("_gone"))
-    marked = found.drop("near").join(gone, "_row", "left").drop("_row")
-    return marked.mapInArrow(_mark, f"{fields}base {spans}, spans {spans}")
+    # At most one row per entity.  disclosure >= share * information, without logarithms.
+    kinds = F.broadcast(kinds.withColumn("least", F.pow(p_kind, F.lit(1.0 - share))).where(p_kind < 1))
+    together = found.select("kinds", F.explode("near").alias("w")).select("w", F.explode("kinds").alias("k")).groupBy("w", "k").agg(F.count("*").alias("together"))
+    hopeful = materialize(together.join(kinds, "k").where(_lower_end(F.col("together"), F.col("together")) >= F.col("least")), "hopeful")
+    at = F.crc32(F.encode("w", "UTF-8")) % FILTER_BITS
+    # At most FILTER_BITS / 64 rows, whatever the corpus.
+    slots = hopeful.groupBy(F.floor(at / 64).cast("int").alias("s")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(crc32(encode(w, 'UTF-8')) % {FILTER_BITS} % 64 as int))")).alias("m")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, "<i8")
+    bits[slots.column("s").to_numpy()] = slots.column("m").to_numpy()
+    counted = texts.mapInArrow(_document_words(spark.sparkContext.broadcast(bits.tobytes())), "w string, n long").groupBy("w").agg(F.sum("n").alias("docs"))
+    out = hopeful.join(counted, "w").withColumn("low", _lower_end(F.col("together"), F.col("docs"))).where("low >= least")
+    table = materialize(out.select("w", "k", "together", "docs", "with_kind", (F.log2("low") - F.log2(p_kind)).alias("disclosure"), (-F.log2(p_kind)).alias("information")), "terms")
+    discard(found, hopeful)
+    return table
+
+
+def find_pii(df: DataFrame, text_col: str = "text", share: float = 0.7, mode: str = "generalise", sent_words: int = SENT_WORDS) -> DataFrame:
+    """``df`` without its text, plus base and spans (arrays of s, e, k) and the sanitised text.
+
+    k is a kind number or, for disclosing words, -1; ``mode`` is generalise or remove.
+    """
+    if mode not in ("generalise", "remove"):
+        raise ValueError(mode)
+    spark = df.sparkSession
+    keep = [c for c in df.columns if c.lower() not in {text_col.lower(), "base", "spans", "sanitised", "_text", "_gone", "_row"}]
+    src = df.select(F.col(f"`{text_col}`").alias("_text"), *[F.col(f"`{c}`") for c in keep])
+    fields = [f for f in src.schema.fields if f.name != "_text"]
+    schema = StructType([*fields, StructField("base", _SPAN_TYPE), StructField("spans", _SPAN_TYPE), StructField("sanitised", StringType())])
+    table = disclosing_words(src.select("_text"), share)
+    words = [r["w"] for r in table.select("w").distinct().limit(sent_words + 1).collect()]
+    if len(words) <= sent_words:
+        discard(table)
+        return src.mapInArrow(_mark(mode, spark.sparkContext.broadcast(frozenset(words))), schema)
+    rows = materialize(src.withColumn("_row", F.monotonically_increasing_id()), "pii")
+    held = rows.select("_row", "_text").mapInArrow(_all_words, "_row long, words array<string>").select("_row", F.explode("words").alias("w"))
+    gone = held.join(table.select("w").distinct(), "w").groupBy("_row").agg(F.collect_set("w").alias("_gone"))
+    return rows.join(gone, "_row", "left").drop("_row").mapInArrow(_mark(mode), schema)
+
+
+def spans_of_kind(spans: Column, kind: int) -> Column:
+    """Number of spans of one kind number (-1: words)."""
+    return F.size(F.filter(spans, lambda s: s["k"] == kind)).cast("long")
 
 
 def span_text(spans: Column) -> Column:
@@ -192,25 +277,3 @@ def span_text(spans: Column) -> Column:
         return out
 
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", name(s["k"]), s["s"].cast("string"), s["e"].cast("string"))), ",")
-
-
-def sanitise(df: DataFrame, spans: DataFrame, id_col: str, text_col: str = "text", mode: str = "generalise") -> DataFrame:
-    """``df`` with its spans replaced by the name of their kind in brackets, or removed.
-
-    ``spans`` has id_col and spans; ids are unique.  Overlapping spans become one.
-    """
-    if mode not in ("generalise", "remove"):
-        raise ValueError(mode)
-    names = F.array(*[F.lit(f"[{k}]".upper()) for k in KINDS])
-    out = without(df, "_spans").join(spans.select(F.col(id_col), F.col("spans").alias("_spans")), id_col, "left")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    start = F.struct(F.lit("").alias("t"), F.lit(0).alias("at"))
-
-    def step(acc, s):
-        mark = F.lit("") if mode == "remove" else F.when(s["k"] < 0, F.lit("[TERM]")).otherwise(F.get(names, s["k"]))
-        inside = s["s"] < acc["at"]
-        gap = text.substr(acc["at"] + 1, F.greatest(s["s"] - acc["at"], F.lit(0)))
-        return F.struct(F.concat(acc["t"], F.when(inside, F.lit("")).otherwise(F.concat(gap, mark))).alias("t"), F.greatest(acc["at"], s["e"]).alias("at"))
-
-    done = F.aggregate(F.coalesce("_spans", F.array().cast("array<struct<s:int,e:int,k:int>>")), start, step, lambda a: F.concat(a["t"], text.substr(a["at"] + 1, F.length(text))))
-    return out.withColumn(text_col, done).drop("_spans")

@@ -12,7 +12,7 @@ from tensorloom.llm.license_scan import license_scan
 from tensorloom.llm.line_dedup import line_dedup
 from tensorloom.llm.mixing import mix, token_count
 from tensorloom.llm.ngram_join import jaccard_components
-from tensorloom.llm.pii import KINDS, find_pii, span_text
+from tensorloom.llm.pii import KINDS, find_pii, span_text, spans_of_kind
 from tensorloom.llm.quality import quality_rules
 from tensorloom.llm.sharding import shard_documents
 from tensorloom.llm.toxicity import toxicity
@@ -46,8 +46,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
-    counts = {f"n_{kind}": F.size(F.filter("base", lambda s, k=k: s["k"] == k)).cast("long") for k, kind in enumerate(KINDS)}
-    return out.withColumns(counts).select("doc_id", *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+    counts = {f"n_{kind}": spans_of_kind(F.col("base"), k) for k, kind in enumerate(KINDS)}
+    return out.withColumns(counts).select(
+        "doc_id",
+        *counts,
+        F.sha2(span_text(F.col("base")), 256).alias("base_sha256"),
+        span_text(F.col("spans")).alias("spans"),
+        spans_of_kind(F.col("spans"), -1).alias("n_terms"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("sanitised", 256).alias("sanitised_sha256"),
+    )
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

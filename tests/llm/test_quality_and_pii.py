@@ -1,9 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tensorloom.llm import pii
@@ -59,37 +62,92 @@ def test_base_spans():
     assert pii.base_spans("9" * 200_000 + "a" * 200_000) == []
 
 
+def plain_terms(texts, share=0.7):
+    """Disclosing words, counted in the plainest way."""
+    spans = [plain_spans(t) for t in texts]
+    words = []
+    for t, found in zip(texts, spans):
+        inside = lambda m, found=found: any(m.start() < e and s < m.end() for s, e, _ in found)
+        words.append([(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W_]{3,}", t or "")])
+        words[-1] = [(w, inside(m)) for w, m in zip(words[-1], re.finditer(r"[^\W_]{3,}", t or ""))]
+    docs, together, kinds = Counter(), Counter(), Counter()
+    for found, ws in zip(spans, words):
+        docs.update({w for (_, _, w), _ in ws})
+        has = {k for _, _, k in found} | ({4} if found else set())
+        kinds.update(has)
+        together.update((w, k) for w in {w for (_, _, w), hid in ws if not hid} for k in has)
+    out = set()
+    for (w, k), x in together.items():
+        n, p, z = docs[w], x / docs[w], pii.Z
+        low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+        p_kind = kinds[k] / len(texts)
+        if p_kind < 1 and math.log2(low / p_kind) >= share * -math.log2(p_kind) - 1e-12:
+            out.add(w)
+    return [sorted([*found, *[(a, b, -1) for (a, b, w), hid in ws if not hid and w in out]], key=lambda s: (s[0], s[2] % 8, s[1])) for found, ws in zip(spans, words)]
+
+
+def plain_clean(t, spans):
+    out, at, t = "", 0, t or ""
+    for a, b, k in spans:
+        if a >= at:
+            out += t[at:a] + ("[TERM]" if k < 0 else f"[{pii.KINDS[k].upper()}]")
+        at = max(at, b)
+    return out + t[at:]
+
+
+def check_pii(got, docs):
+    assert len(got) == len(docs)
+    found = 0
+    for (i, t), spans in zip(docs, plain_terms([t for _, t in docs])):
+        base = [s for s in spans if s[2] >= 0]
+        named = lambda ss: ",".join(f"{pii.KINDS[k] if k >= 0 else 'term'}:{a}:{b}" for a, b, k in ss)
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        r = got[i]
+        assert [r[f"n_{k}"] for k in pii.KINDS] == [sum(s[2] == k for s in base) for k in range(4)]
+        assert (r["base_sha256"], r["spans"], r["sanitised_sha256"]) == (sha(named(base)), named(spans), sha(plain_clean(t, spans)))
+        assert (r["n_terms"], r["n_spans"]) == (len(spans) - len(base), len(spans))
+        found += r["n_terms"]
+    return found
+
+
 def test_pii_query(spark, edge_dir, edge_docs):
-    got = {r["doc_id"]: r for r in QUERIES["op5_pii"](spark, edge_dir).collect()}
-    assert len(got) == len(edge_docs)
-    for i, t, *_ in edge_docs:
-        text = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, b, k in plain_spans(t))
-        assert got[i]["base_sha256"] == hashlib.sha256(text.encode()).hexdigest()
-        assert [s for s in got[i]["spans"].split(",") if s and not s.startswith("term")] == [s for s in text.split(",") if s]
+    check_pii({r["doc_id"]: r for r in QUERIES["op5_pii"](spark, edge_dir).collect()}, [(i, t) for i, t, *_ in edge_docs])
 
 
-def test_disclosing_words_and_sanitising(spark):
-    rng = random.Random(4)
-    filler = [f"word{chr(97 + k)}" for k in range(20)]
-    docs = [(i, f"{' '.join(rng.choices(filler, k=9))} {'agent zebulon ' if i % 10 == 0 else ''}{'a.b@c.de' if i % 10 == 0 else ''}") for i in range(200)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    found = pii.find_pii(df)
-    spans = {r["doc_id"]: r["spans"] for r in found.collect()}
-    assert [(docs[0][1][s["s"] : s["e"]], s["k"]) for s in spans[0]] == [("agent", -1), ("zebulon", -1), ("a.b@c.de", 0)]
-    assert not spans[1]
-    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(df, found, "doc_id").collect()}
-    assert clean[0].endswith("[TERM] [TERM] [EMAIL]") and clean[1] == docs[1][1]
-    gone = pii.sanitise(df, found, "doc_id", mode="remove").where("doc_id = 0").select(F.trim("text")).first()[0]
-    assert gone == docs[0][1].split(" agent")[0]
-
-
-def test_words_on_other_lines_and_each_occurrence(spark):
+def test_terms_of_a_corpus(spark):
+    """The whole query against brute force where words do disclose: secrets and their carriers are found."""
+    d = "/root/testdata/sf0.01"
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r["doc_id"]: r for r in QUERIES["op5_pii"](spark, d).collect()}
+    assert check_pii(got, docs) > 10
+    secret = [i for i, t in docs if t and re.search(r'token = "[0-9a-f]{40}"', t)]
+    assert secret and all(got[i]["n_terms"] > 0 for i in secret)
+
+
+ZEBULON = [f"{' '.join(random.Random(i).choices([f'word{chr(97 + k)}' for k in range(20)], k=9))} {'agent zebulon ' if i % 10 == 0 else ''}{'a.b@c.de' if i % 10 == 0 and i else ''}" for i in range(200)]
+
+
+@pytest.mark.parametrize("sent", [pii.SENT_WORDS, 0])
+def test_disclosing_words_and_sanitising(spark, sent):
+    """Both ways of looking words up; the word goes where no entity stands beside it, too."""
+    df = spark.createDataFrame(list(enumerate(ZEBULON)), "doc_id long, text string").withColumns({"Spans": F.lit(1), "_row": F.lit(2)})
+    rows = {r["doc_id"]: r for r in pii.find_pii(df, sent_words=sent).collect()}
+    assert len(rows) == 200
+    assert [(ZEBULON[0][s["s"] : s["e"]], s["k"]) for s in rows[0]["spans"]] == [("agent", -1), ("zebulon", -1)]
+    assert [(ZEBULON[10][s["s"] : s["e"]], s["k"]) for s in rows[10]["spans"]] == [("agent", -1), ("zebulon", -1), ("a.b@c.de", 0)]
+    assert not rows[1]["spans"] and rows[1]["sanitised"] == ZEBULON[1]
+    assert rows[10]["sanitised"].endswith("[TERM] [TERM] [EMAIL]")
+    gone = pii.find_pii(df, mode="remove", sent_words=sent).where("doc_id = 10").first()["sanitised"]
+    assert gone.strip() == ZEBULON[10].split(" agent")[0]
+
+
+def test_words_on_other_lines_and_long_words(spark):
     rng = random.Random(5)
     filler = [f"word{chr(97 + k)}" for k in range(20)]
-    far = " ".join(rng.choices(filler, k=60))
-    docs = [(i, f"Zebulon\n{far}\na.b@c.de\nsigned zebulon" if i % 10 == 0 else far) for i in range(200)]
+    far, long = " ".join(rng.choices(filler, k=60)), "zebulon" * 20
+    docs = [(i, f"{long}\n{far}\na.b@c.de\nsigned {long.upper()}" if i % 10 == 0 else far) for i in range(200)]
     got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert [docs[0][1][s["s"] : s["e"]] for s in got[0]] == ["Zebulon", "a.b@c.de", "signed", "zebulon"] and not got[1]
+    assert [docs[0][1][s["s"] : s["e"]] for s in got[0]] == [long, "a.b@c.de", "signed", long.upper()] and not got[1]
 
 
 def test_rare_words_disclose_rare_kinds(spark):
