@@ -10,7 +10,7 @@ from tensorloom.llm.common import documents, materialize
 from tensorloom.llm.fingerprint import edited_fingerprints, resemblance, written
 from tensorloom.llm.license_scan import license_scan
 from tensorloom.llm.line_dedup import line_dedup
-from tensorloom.llm.mixing import mix, token_count
+from tensorloom.llm.mixing import deal_key, mix, token_count
 from tensorloom.llm.ngram_join import jaccard_components
 from tensorloom.llm.pii import KINDS, find_pii, span_text, spans_of_kind
 from tensorloom.llm.quality import quality_rules
@@ -82,9 +82,10 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights nearly even, but no source repeated by more than a quarter pass; the largest source passes once, so no document is left out."""
     # The texts are read once, for their sizes.
-    docs = materialize(documents(spark, sf_dir).select("doc_id", "source", token_count(F.col("text")).alias("n_tokens")), "sizes")
-    out = mix(docs, budget=1.0, target_entropy=0.97, max_repeats=4.0, tokens_col="n_tokens")
+    docs = materialize(documents(spark, sf_dir).select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"), deal_key().alias("key")), "sizes")
+    out = mix(docs, budget=None, target_entropy=0.9999, max_repeats=1.25, tokens_col="n_tokens", key_col="key")
     return out.select("doc_id", "source", "n_tokens", "weight", "epoch", "mix_key")
 
 
