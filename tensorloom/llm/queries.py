@@ -34,9 +34,14 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as files of a tree per source, sixteen to a folder."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.expr("doc_id div 256"), F.expr("doc_id div 16"), F.concat("doc_id", F.lit(".txt")))
-    return license_scan(documents(spark, sf_dir).select("doc_id", path.alias("path"), "text"))
+    """Documents as files of one tree per source; each eighth id is named as a license file.
+
+    The table has no paths, so the query makes them: <source>/<id div 1024>/<id div 128>/<name>,
+    and <source>/<id div 1024>/<name> for each sixty-fourth id.
+    """
+    name = F.concat(F.when(F.col("doc_id") % 8 == 0, F.lit("LICENSE-")).otherwise(F.lit("doc-")), F.col("doc_id"), F.lit(".txt"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.expr("doc_id div 1024"), F.when(F.col("doc_id") % 64 != 0, F.expr("doc_id div 128")), name)
+    return license_scan(documents(spark, sf_dir).select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
