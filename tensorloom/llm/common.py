@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +57,24 @@ def ascii_lower(c: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words of ``text``; empty for null or blank text."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACE))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RE))
+    # Splitting at one plain character needs no pattern matching.
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), SPACE, " " * len(SPACE)), " "), lambda w: w != "")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def windows(ws: Column, n: int) -> Column:
+    """64-bit hashes of all runs of ``n`` words; of fewer words, the whole run as one; none of none.
+
+    Words are hashed once and runs by their words' hashes.
+    """
+    hashes = F.transform(ws, lambda w: F.xxhash64(w))
+    of = lambda h, k: F.xxhash64(*[F.get(h, k + j) for j in range(n)])
+    starts = lambda h: F.sequence(F.lit(0), F.greatest(F.size(h) - n, F.lit(0)))
+    return let(hashes, lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(starts(h), lambda k: of(h, k))))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

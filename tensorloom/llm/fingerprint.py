@@ -8,7 +8,9 @@ estimate resemblance, containment and the number of distinct shingles; below
 Defined results: null, empty and wordless texts have the empty sketch, written
 ``""``; two empty sketches resemble each other fully and an empty sketch is
 contained in any; texts under five words have one shingle; equal texts have
-equal sketches.
+equal sketches; texts are sketched whole, however long; repeated rows and rows
+without an id each have a row in the result; an empty table gives an empty result;
+only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import ascii_lower, materialize, words
+from tensorloom.llm.common import ascii_lower, discard, materialize, windows, words
 
 K, SHINGLE = 128, 5
 BITS = 48
@@ -24,13 +26,8 @@ BITS = 48
 
 def with_sketch(df: DataFrame, text: Column, name: str, k: int = K, n: int = SHINGLE) -> DataFrame:
     """``df`` plus the sketch of ``text`` as array<bigint>."""
-    w = f"_w_{name}"
-    out = df.withColumn(w, words(ascii_lower(text)))
-    size = F.size(w)
-    at = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
-    low = F.transform(at, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(F.col(w), i, n)), 64 - BITS))
-    bottom = F.slice(F.sort_array(F.array_distinct(low)), 1, k)
-    return out.withColumn(name, F.when(size == 0, F.array().cast("array<bigint>")).otherwise(bottom)).drop(w)
+    low = F.transform(windows(words(ascii_lower(text)), n), lambda h: F.shiftrightunsigned(h, 64 - BITS))
+    return df.withColumn(name, F.slice(F.array_distinct(F.sort_array(low)), 1, k))
 
 
 def written(sketch: Column) -> Column:
@@ -76,40 +73,75 @@ def merged(df: DataFrame, group: str, sketch: str, k: int = K, salts: int = 16)
     return df.select(group).distinct().join(low, group, "left").withColumn(sketch, empty)
 
 
-def successors(ids: DataFrame, id_col: str, *carried: str) -> DataFrame:
-    """Per row the row before it by ``id_col`` (prev_id and prev_<carried>); the first follows the last.
+def _first_keys(keys: DataFrame, parts: int) -> list[tuple]:
+    """First keys (no id, id, h) of ranges of about equal size, in order: at most ``parts`` rows."""
+    dealt = materialize(keys.repartitionByRange(parts, F.col("none"), F.col("id"), F.col("h")).withColumn("_b", F.spark_partition_id()), "keys")
+    first = dealt.groupBy("_b").agg(F.min(F.struct("none", "id", "h")).alias("k")).collect()
+    discard(dealt)
+    # A null id stands behind all others and is equal to itself.
+    return sorted((tuple(r["k"]) for r in first), key=lambda k: (k[0], 0 if k[0] else k[1], k[2]))
 
-    Rows are dealt by ranges; neighbours meet within a range, and one row per
-    range links the ranges.
-    """
-    parts = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = materialize(ids.select(id_col, *carried).repartitionByRange(parts, id_col).withColumn("_b", F.spark_partition_id()), "ids")
-    w = Window.partitionBy("_b").orderBy(id_col)
-    row = F.struct(id_col, *carried)
-    near = dealt.withColumn("_prev", F.lag(row).over(w))
-    last = dealt.groupBy("_b").agg(F.max(row).alias("_last"))
-    # One row per range.
-    over = Window.orderBy("_b")
-    linked = last.withColumn("_before", F.coalesce(F.lag("_last").over(over), F.last("_last").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))).select("_b", "_before")
-    prev = near.join(F.broadcast(linked), "_b").withColumn("_prev", F.coalesce("_prev", "_before"))
-    return prev.select(id_col, F.col(f"_prev.{id_col}").alias("prev_id"), *[F.col(f"_prev.{c}").alias(f"prev_{c}") for c in carried])
+
+def _range_of(bounds: list[tuple], id_type) -> tuple[Column, Column]:
+    """Number of the range that a key belongs to, by bisection, and whether it is the range's first key."""
+    none, h = (F.array(*[F.lit(b[k]) for b in bounds]) for k in (0, 2))
+    ids = F.array(*[F.lit(b[1]).cast(id_type) for b in bounds])
+
+    def beyond(j: Column) -> Column:
+        """Whether the row's key is not before bound ``j``."""
+        later = F.coalesce(F.col("id") > F.get(ids, j), F.lit(False)) | (F.col("id").eqNullSafe(F.get(ids, j)) & (F.col("h") >= F.get(h, j)))
+        return (F.col("none") > F.get(none, j)) | ((F.col("none") == F.get(none, j)) & later)
+
+    steps = [1 << k for k in range(max(len(bounds) - 1, 1).bit_length() - 1, -1, -1)]
+    at = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda j, x: F.when((j + x < len(bounds)) & beyond(j + x), j + x).otherwise(j))
+    first = (F.col("none") == F.get(none, F.col("_at"))) & F.col("id").eqNullSafe(F.get(ids, F.col("_at"))) & (F.col("h") == F.get(h, F.col("_at")))
+    return at, first
+
+
+#: Copies of a row that are written out side by side.
+COPIES = 10_000
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """Fingerprints of every text and of its edited text: the last half replaced by the head of the next document.
 
-    Returns id_col, n_chars, edited (string), a, b (sketches of text and edited
-    text), c (sketch of the next text).  Of repeated ids one row stays, the one
-    with the smallest text; rows without an id have no place in the order and
-    are left out.
+    Returns one row per row: id_col, n_chars, edited (string), a, b (sketches of
+    text and edited text), c (sketch of the next text).  Order is by id, rows
+    without an id last; equal ids are ordered by a hash of their texts.
+
+    Rows are dealt by ranges of the order; the first row of each range also goes,
+    as a guest, to the range before it, so every row finds its successor in its
+    own range and texts are shuffled once.
     """
-    base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where("id is not null")
-    if base.groupBy("id").count().where("count > 1").take(1):
-        base = base.groupBy("id").agg(F.min("t").alias("t"))
-    ptr = successors(base.select("id", F.length("t").alias("n")), "id", "n").select(F.col("id").alias("_id"), "prev_id", F.floor(F.col("prev_n") / 2).cast("int").alias("need"))
-    heads = base.join(ptr, base["id"] == ptr["_id"]).select("prev_id", F.col("t").alias("_t"), F.expr("substring(t, 1, need)").alias("head"))
-    heads = with_sketch(heads, F.col("_t"), "c", k).drop("_t")
-    both = base.join(heads, base["id"] == heads["prev_id"]).withColumn("n", F.length("t"))
-    both = both.withColumn("edited", F.concat(F.expr("substring(t, 1, n - floor(n / 2))"), "head"))
-    both = with_sketch(with_sketch(both, F.col("t"), "a", k), F.col("edited"), "b", k)
-    return both.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited", "a", "b", "c")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    base = df.select(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(text).alias("h"), text.alias("t"))
+    keys, key = base.select("none", "id", "h"), ["none", "id", "h"]
+    repeated = bool(keys.groupBy(*key).count().where("count > 1").take(1))
+    if repeated:
+        # Rows with equal id and text are one row with a number, whatever their share.
+        base = base.groupBy(*key).agg(F.min("t").alias("t"), F.count("*").alias("m"))
+        keys = base.select(*key)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = _first_keys(keys, parts)
+    if not bounds:
+        bounds = [(False, None, 0)]
+    at, first = _range_of(bounds, base.schema["id"].dataType)
+    ranges = F.when(first, F.array(F.struct(F.col("_at").alias("r"), F.lit(False).alias("guest")), F.struct(F.pmod(F.col("_at") - 1, F.lit(len(bounds))).alias("r"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("_at").alias("r"), F.lit(False).alias("guest"))))
+    dealt = base.withColumn("_at", at).withColumn("_to", F.explode(ranges)).withColumns({"_r": F.col("_to.r"), "_guest": F.col("_to.guest")}).drop("_at", "_to").repartition(parts, "_r")
+    sketched = with_sketch(dealt, F.col("t"), "a", k)
+    w = Window.partitionBy("_r").orderBy("_guest", *key)
+    both = sketched.withColumns({"_t": F.lead("t").over(w), "c": F.lead("a").over(w)}).where(~F.col("_guest"))
+    if repeated:
+        # All copies but the last are followed by a copy.
+        both = both.withColumn("_self", F.explode(F.when(F.col("m") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+        both = both.withColumns({"_t": F.when(F.col("_self"), F.col("t")).otherwise(F.col("_t")), "c": F.when(F.col("_self"), F.col("a")).otherwise(F.col("c"))})
+    both = both.withColumn("n", F.length("t"))
+    both = both.withColumn("edited", F.concat(F.expr("substring(t, 1, n - n div 2)"), F.expr("substring(_t, 1, cast(n div 2 as int))"))).drop("t", "_t")
+    out = with_sketch(both, F.col("edited"), "b", k)
+    if repeated:
+        times = F.when(F.col("_self"), F.col("m") - 1).otherwise(F.lit(1).cast("long"))
+        chunks = F.sequence(F.lit(0).cast("long"), F.floor((times - 1) / COPIES))
+        few = out.withColumn("_times", times).withColumn("_chunk", F.explode(chunks)).repartition(parts, "_chunk", *key)
+        here = F.least(F.lit(COPIES).cast("long"), F.col("_times") - F.col("_chunk") * COPIES)
+        out = few.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), here)))
+    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_chars"), "edited", "a", "b", "c")

@@ -5,8 +5,10 @@ shuffled and no user function runs.  Each rule is a ratio with a lower and an
 upper bound; a document is kept if it passes the base test and every rule.
 
 Defined results: null, empty or blank text has no words, so every count is 0,
-``base_failed`` is true and ``kept`` false; rows are judged one by one, so ties
-and repeated rows get equal verdicts; clashing input columns are replaced.
+``base_failed`` is true and ``kept`` false; rows are judged one by one, so ties,
+repeated rows and rows without an id get equal verdicts for equal texts; texts are
+measured whole, however long; an empty table gives an empty result; clashing input
+columns are replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import SPACE, without, words
+from tensorloom.llm.common import SPACE, windows, without, words
 
 SYMBOLS = "#*$%&|<>"
 
@@ -56,12 +58,12 @@ def measures(df: DataFrame, text_col: str = "text", window: int = 8) -> DataFram
     """``df`` with the counts that the rules are made of."""
     df = without(df, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_stop", "n_lines", "_w", "_g", "_l")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    stop = F.array(*[F.lit(w) for w in sorted({w for ws in STOP_WORDS.values() for w in ws})])
+    stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
     bare = F.translate(text, SPACE, "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     out = df.withColumns({"_w": words(F.col(text_col)), "_l": lines, "word_chars": F.length(bare).cast("long")})
     n = F.size("_w")
-    grams = F.when(n >= window, F.transform(F.sequence(F.lit(1), F.greatest(n - (window - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("_w"), i, window)))).otherwise(F.array().cast("array<bigint>"))
+    grams = F.when(n >= window, windows(F.col("_w"), window)).otherwise(F.array().cast("array<bigint>"))
     out = out.withColumn("_g", grams)
     return out.withColumns(
         {
@@ -70,8 +72,8 @@ def measures(df: DataFrame, text_col: str = "text", window: int = 8) -> DataFram
             "n_lines": F.size("_l").cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "n_repeat_words": F.when(F.size(F.array_distinct("_g")) == F.size("_g"), F.lit(0)).otherwise(_repeats(F.col("_g"), window)).cast("long"),
-            "n_upper": (F.length(text) - F.length(F.regexp_replace(text, "\\p{Lu}", ""))).cast("long"),
-            "n_stop": F.size(F.filter("_w", lambda w: F.array_contains(stop, F.lower(w)))).cast("long"),
+            "n_upper": F.regexp_count(text, F.lit("\\p{Lu}")).cast("long"),
+            "n_stop": F.size(F.filter("_w", lambda w: F.lower(w).isin(stop))).cast("long"),
         }
     ).drop("_w", "_g", "_l")
 

@@ -96,19 +96,55 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def check_fingerprints(spark, rows, docs):
+    """Rows as (n_chars, edited, a, b, c) against brute force; equal ids go by the hash of their texts."""
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in docs], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+    docs = sorted(docs, key=lambda d: (d[0] is None, d[0] or 0, hashes[d[1]]))
+    want = Counter()
+    for k, (i, t) in enumerate(docs):
+        after, half = docs[(k + 1) % len(docs)][1], len(t) // 2
+        want[i, len(t), t[: len(t) - half] + after[:half], t, after] += 1
+    texts = sorted({x for w in want for x in w[2:]})
+    sketch = {r["t"]: tuple(r["s"]) for r in fp.with_sketch(spark.createDataFrame([(t,) for t in texts], "t string"), F.col("t"), "s").collect()}
+    got = Counter((r["doc_id"], r["n_chars"], r["edited"], tuple(r["a"]), tuple(r["b"]), tuple(r["c"])) for r in rows)
+    assert got == Counter({(i, n, e, sketch[t], sketch[e], sketch[x]): m for (i, n, e, t, x), m in want.items()})
+    return sketch
+
+
 def test_fingerprints(spark, edge_dir, edge_docs):
+    """Whole rows against brute force, and the estimates against exact similarities."""
+    docs = [(i, t or "") for i, t, *_ in edge_docs]
+    sketch = check_fingerprints(spark, fp.edited_fingerprints(spark.read.parquet(f"{edge_dir}/documents.parquet")).collect(), docs)
+    for t, s in sketch.items():
+        # Below K shingles a sketch holds one hash for each.
+        assert len(s) == min(fp.K, len(shingles(t))) and list(s) == sorted(set(s))
     got = {r["doc_id"]: r for r in QUERIES["op8_fingerprints"](spark, edge_dir).collect()}
-    docs = sorted((i, t or "") for i, t, *_ in edge_docs)
-    seen = {}
+    docs, seen = sorted(docs), {}
     for k, (i, t) in enumerate(docs):
         after, half = docs[(k + 1) % len(docs)][1], len(t) // 2
         edited, r = t[: len(t) - half] + after[:half], got[i]
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert abs(r["near_edited"] - jaccard(shingles(t), shingles(edited))) < 0.2
-        assert abs(r["near_next"] - jaccard(shingles(t), shingles(after))) < 0.2
+        for near, other in ((r["near_edited"], edited), (r["near_next"], after)):
+            both = len(shingles(t) | shingles(other))
+            # Exact as long as the union fits the sketch.
+            assert abs(near - jaccard(shingles(t), shingles(other))) < (1e-9 if both <= fp.K else 0.2)
         assert seen.setdefault(t, r["fingerprint"]) == r["fingerprint"]
 
 
+@pytest.mark.parametrize("n", [1, 2, 7, 60])
+def test_fingerprints_keep_every_row(spark, n):
+    """Repeated rows, repeated and missing ids, over more ranges than rows and fewer."""
+    docs = [(None if k % 3 == 0 else k // 4, f"text {k % 5} of some words and {k % 2} more of them") for k in range(n)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    check_fingerprints(spark, fp.edited_fingerprints(df).collect(), docs)
+
+
+def test_fingerprints_of_one_hot_row(spark):
+    docs = [(None, "the same few words again")] * 25_000 + [(1, "x")]
+    rows = fp.edited_fingerprints(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert rows.count() == 25_001
+
+
 def test_sketches_merge(spark):
     a, b = [" ".join(f"w{k}" for k in range(lo, hi)) for lo, hi in ((0, 900), (300, 1200))]
     df = spark.createDataFrame([(1, a), (1, b), (2, "")], "g long, t string")
