@@ -6,18 +6,24 @@ letters for one or two, signs between single letters for nothing or a space.
 Runs and tokens of any length are decoded: time grows with their length only.
 The Viterbi path under the character model and the channel costs is the restored
 word.  Evidence is then taken from restored words: whole words and word
-beginnings whose presence in labelled documents marks the toxic class, joined
-as a noisy-or.
+beginnings that are many times as frequent in toxic labelled texts as in clean
+ones, and are found in more toxic documents than chance among all candidates
+explains.  The score is the posterior of the toxic class: words of evidence come
+at their rates in either class, in toxic texts at full strength or diluted to
+parts of it, so a long text needs more of them than a short one.
 
 Sizes: the character model has at most 27**3 entries whatever the corpus; the
-classifier is fitted on at most ``max_labels`` labelled rows, picked by hash,
-and keeps at most ``max_features`` candidates.  Texts are processed whole.
+classifier is fitted on at most ``max_labels`` labelled rows, picked by hash.
+Candidates are counted and judged in Spark; what passes reaches the driver.  Texts
+are processed whole, however long.
 
 Defined results: null, empty and wordless texts get the share of toxic rows
-among labelled rows without evidence, as do all texts if nothing was labelled
-(then a small constant); equal texts get equal scores; labels for unknown
-documents and rows with null labels are ignored; clashing input columns
-(``score``, ``predicted``) are replaced.
+among the labelled ones, or a small constant if nothing was labelled, as do all
+texts if nothing passes as evidence; equal texts get equal scores, so repeated
+rows and rows without an id are scored as others; rows without an id are not held
+out and have no label; labels for unknown documents and rows with null labels are
+ignored; an empty table gives an empty result; clashing input columns
+(``held_out``, ``score``, ``predicted``) are replaced.
 """
 
 from __future__ import annotations
@@ -34,16 +40,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from tensorloom.llm.common import materialize, without
+from tensorloom.llm.common import discard, materialize, without
 
 # What a sign may stand for in disguised words.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
 GAPS = " .-_*"
 
-MAX_LABELS, MAX_FEATURES, MIN_TOXIC = 20_000, 50_000, 4
+#: Labelled rows at most, and toxic documents that must hold a piece of evidence.
+MAX_LABELS, MIN_TOXIC = 20_000, 3
 PREFIXES = range(4, 8)
-#: Least share of toxic rows among the labelled rows that hold a piece of evidence.
-PRECISION = 0.93
+#: Evidence is so many times as frequent in toxic texts, and so large a share of it may be due to chance.
+LEAST_RATIO, CHANCE = 8.0, 0.1
+#: Tokens of a document that count towards the gain of a piece of evidence: some, as one text may repeat anything.
+REPEATS = 2
+#: Strengths at which a toxic text may hold its evidence, and the most that one word may say (a logarithm).
+STRENGTHS, MOST = (1.0, 0.3, 0.1), 8.0
 CACHE = 400_000
 
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
@@ -186,11 +197,12 @@ def evidence(word: str) -> set[str]:
     return out
 
 
-def doc_tokens(text: str | None, restorer: Restorer) -> set[str]:
+def doc_tokens(text: str | None, restorer: Restorer) -> list[str]:
+    """Tokens of a text, repeats included, and the words of its spelled runs."""
     low = (text or "").lower()
-    found = set(low.split())
+    found = low.split()
     for _, _, run in restorer.spelled(low):
-        found.update(run.split())
+        found += run.split()
     return found
 
 
@@ -223,42 +235,75 @@ def char_counts(df: DataFrame, text_col: str = "text") -> dict[str, int]:
     return {r["gram"]: r["n"] for r in counted.collect()}
 
 
-def _count(restorer_of, wanted=None):
+#: Stands for all documents and tokens in the table of evidence.
+_ALL = ""
+_FIELDS = ["f", "k1", "k0", "g1", "g0", "c1", "c0"]
+
+
+def _count(sent):
+    """Per piece of evidence, in toxic and clean texts: documents that hold it, its tokens up to REPEATS a document, all its tokens."""
+
     def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restorer, n, memo = Restorer(restorer_of.value), Counter(), {}
-        keep = None if wanted is None else wanted.value
+        restorer, memo = Restorer(sent.value), {}
+        n: dict[str, list[int]] = {}
+
+        def flush() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), *[pa.array([v[k] for v in n.values()], pa.int64()) for k in range(6)]], _FIELDS)
+            n.clear()
+            return out
+
         for b in parts:
-            for t in b.column(0).to_pylist():
-                has: set[str] = set()
-                for w in doc_tokens(t, restorer):
+            for t, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                tokens = doc_tokens(t, restorer)
+                has = Counter({_ALL: len(tokens)})
+                for w, m in Counter(tokens).items():
                     found = memo.get(w)
                     if found is None:
-                        found = evidence(restorer.token(w))
-                        if keep is not None:
-                            found = found & keep
                         if len(memo) >= CACHE // 2:
                             memo.clear()
-                        memo[w] = found
-                    has |= found
-                n.update(has)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["f", "n"])
+                        found = memo[w] = evidence(restorer.token(w))
+                    for f in found:
+                        has[f] += m
+                at = 0 if toxic else 1
+                for f, m in has.items():
+                    v = n.get(f)
+                    if v is None:
+                        v = n[f] = [0] * 6
+                    v[at] += 1
+                    v[at + 2] += m if m < REPEATS else REPEATS
+                    v[at + 4] += m
+            if len(n) > CACHE:
+                yield flush()
+        yield flush()
 
     return count
 
 
+def posterior(total: float, hits: int, tokens: int, rates: tuple[float, float], prior: float) -> float:
+    """Probability of the toxic class, given the sum of log ratios of ``hits`` tokens of evidence among ``tokens``."""
+    if not tokens:
+        return prior
+    r1, r0 = rates
+    each = [total + hits * math.log(x) - (x * r1 - r0) * tokens for x in STRENGTHS]
+    top = max(each)
+    llr = top + math.log(math.fsum(math.exp(x - top) for x in each) / len(each)) + math.log(prior / (1 - prior))
+    return 1 / (1 + math.exp(-llr)) if llr > -700 else 0.0
+
+
 class ToxicityModel:
-    """Character counts, weights of evidence and the score without evidence."""
+    """Character counts, log ratios of evidence, its rates in toxic and clean texts, and the share of toxic texts."""
 
-    def __init__(self, spark, counts: dict[str, int], weights: dict[str, float], base: float):
-        self.counts, self.weights, self.base = counts, weights, base
-        self._sent = spark.sparkContext.broadcast((counts, weights, base))
+    def __init__(self, spark, counts: dict[str, int], weights: dict[str, float], rates: tuple[float, float], prior: float):
+        self.counts, self.weights, self.rates, self.prior = counts, weights, rates, prior
+        self._sent = spark.sparkContext.broadcast((counts, weights, rates, prior))
 
-    def score(self, text: Column) -> Column:
+    def evidence(self, text: Column) -> Column:
+        """Struct of the sum of log ratios, the tokens of evidence and all tokens."""
         sent = self._sent
 
-        @F.pandas_udf(DoubleType())
-        def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            counts, weights, base = sent.value
+        @F.pandas_udf("total double, hits long, tokens long")
+        def look(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            counts, weights, _, _ = sent.value
             restorer = Restorer(counts)
 
             class Memo(dict):
@@ -269,11 +314,26 @@ class ToxicityModel:
                     self[w] = v
                     return v
 
-            memo, start = Memo(), -math.log1p(-base)
+            memo = Memo()
             for s in parts:
-                yield pd.Series([-math.expm1(-(start + math.fsum(map(memo.__getitem__, doc_tokens(t, restorer))))) for t in s], dtype="float64")
+                rows = []
+                for t in s:
+                    found = [memo[w] for w in doc_tokens(t, restorer)]
+                    rows.append((math.fsum(found), len(found) - found.count(0.0), len(found)))
+                yield pd.DataFrame(rows, columns=["total", "hits", "tokens"]).astype({"total": "float64", "hits": "int64", "tokens": "int64"})
 
-        return score(text)
+        return look(text)
+
+    def score(self, text: Column) -> Column:
+        sent = self._sent
+
+        @F.pandas_udf(DoubleType())
+        def score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+            _, _, rates, prior = sent.value
+            for d in parts:
+                yield pd.Series([posterior(*r, rates, prior) for r in d.itertuples(index=False, name=None)], dtype="float64")
+
+        return score(self.evidence(text)) if self.weights else F.lit(self.prior)
 
     def restore(self, text: Column) -> Column:
         sent = self._sent
@@ -287,7 +347,21 @@ class ToxicityModel:
         return restore(text)
 
 
-def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS, max_features: int = MAX_FEATURES, min_toxic: int = MIN_TOXIC) -> ToxicityModel:
+def _least_gain(gains: list[tuple[int, int]], chance: float) -> float:
+    """The smallest gain at which at most a ``chance`` share of what passes is expected to pass by chance.
+
+    ``gains`` are (gain in tenths, number of candidates); a gain of g comes by
+    chance with odds of about exp(-g).
+    """
+    total, least, above = sum(n for _, n in gains), math.inf, 0
+    for g, n in sorted(gains, reverse=True):
+        above += n
+        if total * math.exp(-g / 10) <= chance * above:
+            least = g / 10
+    return least
+
+
+def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = MAX_LABELS, min_toxic: int = MIN_TOXIC) -> ToxicityModel:
     """Count characters over all of ``df`` and fit evidence on at most ``max_labels`` rows of ``labels``."""
     spark = df.sparkSession
     counts = char_counts(df, text_col)
@@ -295,38 +369,36 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     picked = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
     # At most max_labels rows of 16 bytes: small enough for every executor.
     train = materialize(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_text", "_toxic"), "labelled")
-    sizes = {r["_toxic"]: r["count"] for r in train.groupBy("_toxic").count().collect()}
-    n1, n0 = sizes.get(True, 0), sizes.get(False, 0)
-    if not n1 or not n0:
-        return ToxicityModel(spark, counts, {}, 0.01)
     sent = spark.sparkContext.broadcast(counts)
-
-    def counted(toxic: bool, wanted=None) -> DataFrame:
-        return train.where(F.col("_toxic") == toxic).select("_text").mapInArrow(_count(sent, wanted), "f string, n long").groupBy("f").agg(F.sum("n").alias("n"))
-
-    many = counted(True).where(F.col("n") >= min_toxic).orderBy(F.desc("n"), "f").limit(max_features)
-    pos = {r["f"]: r["n"] for r in many.collect()}
-    wanted = spark.sparkContext.broadcast(frozenset(pos))
-    neg = {r["f"]: r["n"] for r in counted(False, wanted).collect()}
-    prior, weights = n1 / (n1 + n0), {}
-    for f, k in pos.items():
-        m = neg.get(f, 0)
-        q = k / (k + m)
-        gain = k * math.log(q / prior) + (m * math.log((1 - q) / (1 - prior)) if m else 0.0)
-        p = (k + prior) / (k + m + 1)
-        # Evidence must beat chance among all candidates and mark the class by itself.
-        if p >= 0.75 and q >= PRECISION and gain > math.log(len(pos)) + 3:
-            weights[f] = -math.log1p(-min(p, 0.999))
-    base = 0.01
+    table = materialize(train.mapInArrow(_count(sent), "f string, " + ", ".join(f"{x} long" for x in _FIELDS[1:])).groupBy("f").agg(*[F.sum(x).alias(x) for x in _FIELDS[1:]]), "evidence")
+    every = table.where(F.col("f") == _ALL).first()
+    n1, n0 = (every["k1"], every["k0"]) if every else (0, 0)
+    prior = min(max((n1 + 0.5) / (n1 + n0 + 1), 0.001), 0.5) if n1 + n0 else 0.01
+    if not n1 or not n0:
+        discard(table, train)
+        return ToxicityModel(spark, counts, {}, (0.0, 0.0), prior)
+    t1, t0 = max(every["c1"], 1), max(every["c0"], 1)
+    # Gain: how much better its counts fit a share of their own than the common one.
+    share, q = n1 / (n1 + n0), F.col("g1") / (F.col("g1") + F.col("g0"))
+    gain = F.col("g1") * F.log(q / share) + F.when(F.col("g0") > 0, F.col("g0") * F.log((1 - q) / (1 - share))).otherwise(0.0)
+    ratio = (F.col("c1") / t1) / ((F.col("c0") + 0.5) / t0)
+    seen = table.where((F.col("f") != _ALL) & (F.col("k1") + F.col("k0") >= min_toxic))
+    judged = seen.withColumns({"gain": F.when(q > share, gain).otherwise(0.0), "ratio": ratio}).where(F.col("gain").isNotNull())
+    tenths = [(int(r["g"]), r["n"]) for r in judged.groupBy(F.floor(F.col("gain") * 10).alias("g")).agg(F.count("*").alias("n")).collect()]
+    kept = judged.where((F.col("k1") >= min_toxic) & (F.col("gain") >= _least_gain(tenths, CHANCE)) & (F.col("ratio") >= LEAST_RATIO)).select("f", "ratio").collect()
+    weights = {r["f"]: min(math.log(r["ratio"]), MOST) for r in kept}
+    rates = (0.0, 0.0)
     if weights:
-        probe = ToxicityModel(spark, counts, weights, 0.0)
-        bare = {r["_toxic"]: r["count"] for r in train.where(probe.score(F.col("_text")) == 0).groupBy("_toxic").count().collect()}
-        base = min(0.3, (bare.get(True, 0) + 0.1) / (sum(bare.values()) + 1))
-    return ToxicityModel(spark, counts, weights, base)
+        probe = ToxicityModel(spark, counts, weights, rates, prior)
+        found = train.select("_toxic", probe.evidence(F.col("_text")).alias("e")).groupBy("_toxic").agg(F.sum("e.hits").alias("h")).collect()
+        hits = {r["_toxic"]: r["h"] or 0 for r in found}
+        rates = (hits.get(True, 0) / t1, (hits.get(False, 0) + 0.5) / t0)
+    discard(table, train)
+    return ToxicityModel(spark, counts, weights, rates, prior)
 
 
 def held_out(id_col: Column) -> Column:
-    return F.crc32(id_col.cast("string")) % 3 == 1
+    return F.coalesce(F.crc32(id_col.cast("string")) % 3 == 1, F.lit(False))
 
 
 def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
