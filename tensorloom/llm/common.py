@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,13 +15,18 @@ SPACE = " \t\n\x0b\f\r"
 SPACE_RE = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Used only where the session names no folder, as in tests on one machine.
+#: Used only by a local master that names no folder, as in tests on one machine.
 LOCAL_CHECKPOINTS = "/tmp/checkpoints"
 
+#: Folders of tables that this process made and has not deleted.
+_made: dict[str, SparkSession] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder from ``spark.checkpoint.dir``; a local one if unset."""
+    """The cluster's shared folder from ``spark.checkpoint.dir``; a local one if a local master leaves it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (found or LOCAL_CHECKPOINTS).rstrip("/")
 
 
@@ -31,20 +38,47 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tensorloom-{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._tensorloom_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+    _made.pop(path, None)
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that nothing reads any more."""
     for t in tables:
         path = getattr(t, "_tensorloom_path", None)
         if path:
-            jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+            _delete(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(*keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Deletes the tables that were made inside, but for those put into the list that it gives.
+
+    A result that is not written yet still reads the tables of its operator: write
+    it inside, or keep all tables and call :func:`sweep` when it is no longer needed.
+    """
+    before, kept = set(_made), list(keep)
+    try:
+        yield kept
+    finally:
+        stay = {getattr(t, "_tensorloom_path", None) for t in kept}
+        for path in [p for p in _made if p not in before and p not in stay]:
+            _delete(_made[path], path)
+
+
+def sweep() -> None:
+    """Delete all tables that this process has made: results that were not written are lost."""
+    for path, spark in list(_made.items()):
+        _delete(spark, path)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -83,8 +85,43 @@ def test_sharding_keeps_groups_together(spark, hot):
     for r in rows:
         where[text[r["doc_id"]]].add(r["shard"])
     split = [g for g, s in where.items() if len(s) > 1 and g != "hot"]
-    # Without unlinked documents as ballast some groups stay cut.
-    assert len(split) <= (0.3 * len(where) if hot < 900 else len(where))
+    # About one group for each shard that gives or takes what exceeds an even share.
+    assert len(split) <= 9
+    assert len(where["hot"]) <= {0: 0, 300: 6, 900: 8}[hot]
+
+
+def least_cut(sizes, n):
+    """The fewest groups cut in any even split, by trying all ways to pack them whole."""
+    total = sum(sizes)
+    goals = tuple(sorted(total // n + (k < total % n) for k in range(n)))
+
+    @functools.cache
+    def most(k, room):
+        if k == len(sizes):
+            return 0
+        best = most(k + 1, room)
+        for j, r in enumerate(room):
+            if r >= sizes[k] and r not in room[:j]:
+                best = max(best, 1 + most(k + 1, tuple(sorted(room[:j] + (r - sizes[k],) + room[j + 1 :]))))
+        return best
+
+    return len(sizes) - most(0, goals)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_sharding_against_all_packings(spark, seed):
+    """On tiny corpora, near the best of all even splits; sums, slots and counts exact."""
+    rng = random.Random(seed)
+    sizes = [rng.randint(2, 5) for _ in range(8)]
+    texts = [f"g{k}" for k, m in enumerate(sizes) for _ in range(m)] + [f"alone {k}" for k in range(rng.choice([0, 3, 12]))]
+    docs = list(enumerate(texts))
+    rows = shard_documents(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), n_shards=3).collect()
+    check_shards(rows, docs, 3)
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r["doc_id"]]].add(r["shard"])
+    cut = sum(len(s) > 1 for s in where.values())
+    assert least_cut(tuple(sizes + [1] * (len(texts) - sum(sizes))), 3) <= cut <= 3
 
 
 def shingles(t, n=5):
