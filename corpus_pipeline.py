@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.llm.bpe import bpe_encode
-from tensorloom.llm.common import documents, materialize
+from tensorloom.llm.common import discard, documents, materialize, scratch
 from tensorloom.llm.line_dedup import line_dedup
 from tensorloom.llm.mixing import mix
 from tensorloom.llm.ngram_join import jaccard_components
@@ -60,9 +60,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are repeated up to half a pass more; every document is seen at least once."""
-    # Rows without an id are dealt by their text, not all into one block.
-    keyed = docs.select(*COLUMNS, F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("_mix"))
-    return mix(keyed, id_col="_mix", budget=None, max_repeats=1.5).select(*COLUMNS)
+    return mix(docs.select(*COLUMNS), budget=None, max_repeats=1.5).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -83,7 +81,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; the tables of a stage go when its rows are written, and its input when the next stage's are."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:
+            rows = materialize(stage(spark, docs, sf_dir), name)
+            kept.append(rows)
+        discard(docs)
+        docs = rows
     return docs

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -20,5 +24,23 @@ def session(app: str = "tensorloom", **conf: str) -> SparkSession:
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this library to the Python workers of the session, once per Spark context.
+
+    Needed where it is not installed on the executors: workers unpickle functions
+    by the name of their module.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_tensorloom_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="tensorloom-")) / "tensorloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(home.rglob("*.py")):
+            z.write(f, f.relative_to(home.parent))
+    sc.addPyFile(str(archive))
+    sc._tensorloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
