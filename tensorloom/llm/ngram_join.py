@@ -8,12 +8,13 @@
 2. Two sets with Jaccard similarity t share an n-gram among the first
    ``n - ceil(t * n) + 1`` of each, so nodes meet in groups by those n-grams.
    Each group is named after its smallest node, which merges groups of the same
-   copies, and large groups are cut into blocks that meet pairwise.
+   copies.  Large groups are cut into blocks, which meet a few members of the
+   group first; only if that leaves the group in parts do blocks meet pairwise.
 3. In a group the ordered sets form a path-compressed prefix tree.  A node walks
    down with its own set, the overlap so far is shared by all sets below a
    branch, and a branch is left when its sizes or its remaining lengths rule the
    threshold out.  What arrives at a leaf is compared exactly by integers.  Only
-   links that join two parts of a group are kept, so a group of m nodes yields
+   links that join two parts of a group are kept, so a task of m nodes yields
    fewer than m links however many pairs agree.
 4. Links are contracted to components.
 
@@ -26,7 +27,8 @@ positives cost time and nothing else.  Results are exact up to 64-bit hashing.
 Defined results: null, empty or wordless texts have no n-gram and link with
 nothing; shorter texts than n words have one; equal texts and repeated rows
 share their component; rows without an id take part with no say in the smallest
-id; an empty table gives an empty result.
+id; texts are cut into n-grams whole, however long; an empty table gives an empty
+result; only the id and the text are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -42,10 +44,12 @@ from pyspark.sql import functions as F
 from tensorloom.llm.common import discard, materialize
 from tensorloom.llm.components import components
 
-#: Ranked n-grams (12 bytes each in the broadcast), and the ranges in which they are counted.
-ORDERED, RANGES = 1 << 20, 512
+#: Ranked n-grams (12 bytes each in the broadcast), the ranges in which they are counted, and fingerprints held before they are.
+ORDERED, RANGES, HELD = 1 << 20, 4096, 4_000_000
 #: Bits of the filter of documents whose sets are needed, and nodes in a block of a large group.
 FILTER_BITS, BLOCK = 1 << 26, 512
+#: Members of a large group that all its blocks meet first, about.
+PIVOTS = 8
 #: Low bits of an n-gram's row that hold the size of its set; larger sizes meet all.
 SIZE_BITS = 20
 TOP_SIZE = (1 << SIZE_BITS) - 1
@@ -99,7 +103,7 @@ def _counting(n: int):
 
         def flush() -> pa.RecordBatch:
             fp = np.sort(np.concatenate(held)) if held else np.empty(0, np.uint32)
-            cuts = np.searchsorted(fp, np.arange(RANGES, dtype=np.uint64) << np.uint64(23)).tolist() + [len(fp)]
+            cuts = np.searchsorted(fp, np.arange(RANGES, dtype=np.uint64) << np.uint64(33 - RANGES.bit_length())).tolist() + [len(fp)]
             some = [k for k in range(RANGES) if cuts[k] < cuts[k + 1]]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([fp[cuts[k] : cuts[k + 1]].tobytes() for k in some], pa.binary())], ["r", "fp"])
 
@@ -108,7 +112,7 @@ def _counting(n: int):
             if len(s):
                 held.append((s >> np.uint64(32)).astype(np.uint32))
                 size += len(s)
-            if size > 4_000_000:
+            if size > HELD:
                 yield flush()
                 held, size = [], 0
         if held:
@@ -118,11 +122,23 @@ def _counting(n: int):
 
 
 def _ranking(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each range, the most frequent fingerprints that occur twice or more."""
-    now, held = None, []
+    """Of each range, the most frequent fingerprints that occur twice or more.
 
-    def top() -> pa.RecordBatch:
+    What is held is counted whenever it grows over HELD, so memory is bounded by
+    the fingerprints that a range can have, whatever the corpus.
+    """
+    now, held, size = None, [], 0
+    known = (np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def counted() -> tuple[np.ndarray, np.ndarray]:
         u, c = np.unique(np.concatenate(held), return_counts=True)
+        if not len(known[0]):
+            return u, c
+        both, at = np.unique(np.concatenate([known[0], u]), return_inverse=True)
+        return both, np.bincount(at, np.concatenate([known[1], c])).astype(np.int64)
+
+    def top() -> pa.RecordBatch:
+        u, c = counted()
         k = np.flatnonzero(c > 1)
         k = k[np.lexsort((u[k], -c[k]))][: ORDERED // RANGES]
         return pa.RecordBatch.from_arrays([pa.array(u[k].astype(np.int64)), pa.array(c[k].astype(np.int64))], ["fp", "n"])
@@ -131,9 +147,12 @@ def _ranking(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, fp in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             if r != now and held:
                 yield top()
-                held = []
+                held, size, known = [], 0, (np.empty(0, np.uint32), np.empty(0, np.int64))
+            elif size > HELD:
+                known, held, size = counted(), [], 0
             now = r
             held.append(np.frombuffer(fp, np.uint32))
+            size += len(held[-1])
     if held:
         yield top()
 
@@ -475,23 +494,44 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     pairs = materialize(pairs.select("lead", "node"), "pairs")
     met = pairs.unionAll(pairs.select("lead", F.col("lead").alias("node")).distinct())
 
-    sizes = met.groupBy("lead").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = met.join(sizes, "lead").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    sizes = met.groupBy("lead").agg(F.count("*").alias("members"))
+    # A row for each group that is larger than a block.
+    big = materialize(sizes.where(F.col("members") > BLOCK).select("lead", "members", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "big")
+    placed = met.join(big, "lead", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     bits = posted.where("kind = 1 and bits is not null").dropDuplicates(["node"]).select("node", "n", "bits")
-    drawn = placed.join(bits, "node").select("lead", F.explode(meets).alias("t"), "own", "node", "n", "bits").select("lead", "t.i", "t.j", "own", "node", "n", "bits")
-    drawn = drawn.repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
-    left = materialize(drawn.mapInArrow(_pruning(percent), "lead long, i int, j int, own int, node long"), "left")
-
-    # One document for each node that is left: at most FILTER_BITS / 64 slots of a bit filter.
-    wanted = docs.join(left.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id")).where("id is not null")
-    slot = F.floor(F.pmod("id", F.lit(FILTER_BITS)) / 64).cast("int")
-    filled = wanted.groupBy(slot.alias("s")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(id, {FILTER_BITS}) % 64 as int)))").alias("m")).orderBy("s").toArrow()
-    sent = spark.sparkContext.broadcast((filled.column("s").to_numpy(), filled.column("m").to_numpy().astype(np.int64).view(np.uint64)))
-    sets = src.mapInArrow(_sets(n, order, sent), "node long, grams binary").dropDuplicates(["node"])
-    tasks = left.join(sets, "node").select("lead", "i", "j", "own", "node", "grams")
-    tasks = tasks.repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
-    edges = tasks.mapInArrow(_joining(percent), "a long, b long")
+
+    def linked(tasks: DataFrame, name: str) -> DataFrame:
+        """Links (a, b) within tasks (lead, i, j, own, node)."""
+        drawn = tasks.join(bits, "node").select("lead", "i", "j", "own", "node", "n", "bits")
+        drawn = drawn.repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+        left = materialize(drawn.mapInArrow(_pruning(percent), "lead long, i int, j int, own int, node long"), "left")
+        # One document for each node that is left: at most FILTER_BITS / 64 slots of a bit filter.
+        wanted = docs.join(left.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id")).where("id is not null")
+        slot = F.floor(F.pmod("id", F.lit(FILTER_BITS)) / 64).cast("int")
+        filled = wanted.groupBy(slot.alias("s")).agg(F.expr(f"bit_or(shiftleft(1L, cast(pmod(id, {FILTER_BITS}) % 64 as int)))").alias("m")).orderBy("s").toArrow()
+        sent = spark.sparkContext.broadcast((filled.column("s").to_numpy(), filled.column("m").to_numpy().astype(np.int64).view(np.uint64)))
+        sets = src.mapInArrow(_sets(n, order, sent), "node long, grams binary").dropDuplicates(["node"])
+        full = left.join(sets, "node").select("lead", "i", "j", "own", "node", "grams")
+        full = full.repartition(parts, "lead", "i", "j").sortWithinPartitions("lead", "i", "j")
+        found = materialize(full.mapInArrow(_joining(percent), "a long, b long"), name)
+        discard(left)
+        return found
+
+    edges = None
+    if big.take(1):
+        # Large groups first meet a few of their own members, block by block: near copies then hang together,
+        # and a group of one component needs no pairs of blocks.  Others go on as if nothing had been found.
+        some = placed.where("blocks > 1")
+        pivots = some.where(F.pmod(F.xxhash64(F.lit(17), "node"), F.col("members")) < PIVOTS).select("lead", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), "node")
+        stars = some.select("lead", "own", F.col("own").alias("i"), "node").unionByName(pivots).distinct()
+        edges = linked(stars.select("lead", "i", F.col("i").alias("j"), F.col("i").alias("own"), "node"), "stars")
+        roots = components(edges)
+        met_roots = some.select("lead", "node").join(roots, "node", "left").select("lead", F.coalesce("root", "node").alias("root"))
+        whole = met_roots.groupBy("lead").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low = high").select("lead")
+        placed = placed.join(materialize(whole, "whole"), "lead", "left_anti")
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("own")).alias("i"), F.greatest(k, F.col("own")).alias("j")))
+    rest = linked(placed.select("lead", "own", "node", F.explode(meets).alias("t")).select("lead", "t.i", "t.j", "own", "node"), "links")
+    edges = rest if edges is None else edges.unionAll(rest)
 
     roots = components(edges)
     smallest = docs.where("n > 0").groupBy("node").agg(F.min("id").alias("low"))
@@ -499,5 +539,5 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_root = named.groupBy("root").agg(F.min("low").alias("component_id"))
     of_node = materialize(named.join(of_root, "root").select("node", "component_id"), "nodes")
     out = docs.join(of_node, "node", "left")
-    discard(pairs, left)
+    discard(pairs, big)
     return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
