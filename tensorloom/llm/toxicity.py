@@ -55,7 +55,8 @@ LEAST_RATIO, CHANCE = 8.0, 0.1
 REPEATS = 2
 #: Strengths at which a toxic text may hold its evidence, and the most that one word may say (a logarithm).
 STRENGTHS, MOST = (1.0, 0.3, 0.1), 8.0
-CACHE = 400_000
+#: Words whose evidence a worker remembers, and pieces of evidence it counts before it passes them on.
+CACHE, COUNTED = 150_000, 60_000
 
 _LETTERS = frozenset("abcdefghijklmnopqrstuvwxyz")
 _SIGNS = frozenset(LEET)
@@ -223,8 +224,8 @@ def _trigrams(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in b.column(0).to_pylist():
             if t:
                 seen.update(t.lower().split())
-        if len(seen) > CACHE:
-            fold()
+            if len(seen) > CACHE:
+                fold()
     fold()
     yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
 
@@ -259,9 +260,9 @@ def _count(sent):
                 for w, m in Counter(tokens).items():
                     found = memo.get(w)
                     if found is None:
-                        if len(memo) >= CACHE // 2:
+                        if len(memo) >= COUNTED:
                             memo.clear()
-                        found = memo[w] = evidence(restorer.token(w))
+                        found = memo[w] = tuple(evidence(restorer.token(w)))
                     for f in found:
                         has[f] += m
                 at = 0 if toxic else 1
@@ -272,8 +273,8 @@ def _count(sent):
                     v[at] += 1
                     v[at + 2] += m if m < REPEATS else REPEATS
                     v[at + 4] += m
-            if len(n) > CACHE:
-                yield flush()
+                if len(n) > COUNTED:
+                    yield flush()
         yield flush()
 
     return count
