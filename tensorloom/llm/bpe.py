@@ -14,8 +14,10 @@ left to right: at each position the one token is found that ends there and has
 an arc from the state of the prefix before it.  Decoding emits arc labels.
 
 Defined results: null counts as empty text; empty text has no ids and decodes
-to ``""``.  Texts are processed whole; equal texts get equal ids.  Memory per
-worker is bounded by ``CACHE`` words and as many table entries.
+to ``""``.  Texts are processed whole, however long; equal texts get equal ids, so
+repeated rows and rows without an id are encoded as others; an empty table gives
+an empty result; columns of the input that clash with added ones are replaced.
+Memory per worker is bounded by ``CACHE`` words and four times as many table entries.
 """
 
 from __future__ import annotations
@@ -226,6 +228,11 @@ class Codec:
             raise ValueError(f"unknown decoder {kind}")
         self.bytes_out = {c: b for b, c in enumerate(byte_symbols())} if kind else None
 
+    def forget(self) -> None:
+        """Empty the memory of words and transitions."""
+        self.words.clear()
+        self.automaton.table.clear()
+
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
             return (self._ascii or self._any)(text.lower() if self.lower else text)
@@ -290,6 +297,8 @@ def _mapped(df: DataFrame, path: str, column: str, added: dict[str, str], make)
                 piece = b.slice(k, ROWS)
                 new = zip(*[make(c, x) for x in piece.column(at).to_pylist()], strict=True)
                 yield pa.RecordBatch.from_arrays([*piece.columns, *[pa.array(x, types[t]) for x, t in zip(new, added.values(), strict=True)]], [*piece.schema.names, *added])
+        # The worker lives on with other work: what it remembered must not.
+        c.forget()
 
     schema = StructType([*df.schema.fields, *[StructField(n, BinaryType() if t == "binary" else StringType()) for n, t in added.items()]])
     return df.mapInArrow(run, schema)

@@ -98,8 +98,8 @@ def _range_of(bounds: list[tuple], id_type) -> tuple[Column, Column]:
     return at, first
 
 
-#: Copies of a row that are written out side by side.
-COPIES = 10_000
+#: Copies of a row that are written out side by side, and ranges of the order for each task.
+COPIES, RANGES_PER_TASK = 10_000, 4
 
 
 def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
@@ -122,7 +122,8 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         base = base.groupBy(*key).agg(F.min("t").alias("t"), F.count("*").alias("m"))
         keys = base.select(*key)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _first_keys(keys, parts)
+    # Several ranges for each task, lest chance leave some tasks without any.
+    bounds = _first_keys(keys, RANGES_PER_TASK * parts)
     if not bounds:
         bounds = [(False, None, 0)]
     at, first = _range_of(bounds, base.schema["id"].dataType)
