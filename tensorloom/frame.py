@@ -188,6 +188,13 @@ class TensorFrame:
         off = a.join(b, self.axes, "full").where(~F.coalesce(fx.compare("==", F.col("v"), F.col("w"), "double" in dict(a.dtypes)["v"]), F.lit(False)))
         return not off.take(1)
 
+    def precedes(self, other: TensorFrame) -> bool:
+        """Whether this frame comes first: by the first elements in row-major order that differ, else by size."""
+        a = self.dense().df.select(self.linear().alias("_p"), "v")
+        b = other.dense().df.select(other.linear().alias("_p"), F.col("v").alias("w"))
+        off = a.join(b, "_p").where("v <> w").agg(F.min(F.struct("_p", (F.col("v") < F.col("w")).alias("less"))).alias("m")).first()["m"]
+        return self.size < other.size if off is None else off["less"]
+
     # -- element-wise --------------------------------------------------------------------
 
     def map(self, f: str | Callable[[Column], Column]) -> TensorFrame:

@@ -862,3 +862,98 @@ def windowed_events(spark, d):
 
     out = windowed(table(spark, d, "events"), "1 hour", None, None, "ts", "value", "event_type")
     return out.select("event_type", c("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"), "low", "high")
+
+
+# -- whole frames --------------------------------------------------------------------
+
+
+def _positive_rows(t: TensorFrame) -> TensorFrame:
+    """Mask of the rows whose first element is positive."""
+    return t[Span(), 0].squeeze(1).map(lambda v: v > 0)
+
+
+@query("SELECT i::BIGINT AS i0, j::BIGINT AS i1, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS eye, abs(i - j)::DOUBLE AS toeplitz, CASE WHEN i + j < 6 THEN i + j ELSE 0 END::DOUBLE AS hankel FROM range(6) a(i), range(6) b(j)")
+def structured_matrices(spark, d):
+    k = create.arange(spark, 0, 6)
+    named = {"eye": create.identity(spark, 6), "toeplitz": create.toeplitz(k), "hankel": create.hankel(k)}
+    eye, toeplitz, hankel = (t.dense().df.select("i0", "i1", c("v").cast("double").alias(name)) for name, t in named.items())
+    return eye.join(toeplitz, ["i0", "i1"]).join(hankel, ["i0", "i1"])
+
+
+@query("WITH u AS (SELECT n_nationkey AS i0, n_regionkey AS v FROM nation UNION ALL SELECT 25 + n_nationkey, n_nationkey FROM nation), f AS (SELECT v, min(i0) AS p FROM u GROUP BY v) SELECT (row_number() OVER (ORDER BY p) - 1)::BIGINT AS i0, v::BIGINT AS v FROM f")
+def union_frames_nation(spark, d):
+    n = table(spark, d, "nation").select(c("n_nationkey").cast("bigint").alias("i0"), c("n_regionkey").cast("bigint").alias("v"))
+    a, b = TensorFrame(n, (25,)), TensorFrame(n.select("i0", c("i0").alias("v")), (25,))
+    return a.union(b).df
+
+
+@query(f"SELECT round(sum(v * v), 2) AS v FROM {V_SQL}")
+def frame_dot_events(spark, d):
+    x = series(spark, d)
+    return x.dot(x).df.select(r(c("v"), 2).alias("v"))
+
+
+@query(f"WITH e AS {E_SQL}, k AS (SELECT i0, row_number() OVER (ORDER BY i0) - 1 AS p FROM e WHERE i1 = 0 AND v > 0) SELECT p::BIGINT AS i0, i1, v FROM e JOIN k USING (i0)")
+def masked_axis_select_embeddings(spark, d):
+    t = vectors(spark, d)
+    return t.masked_axis_select(_positive_rows(t), 0).df.select("i0", "i1", "v")
+
+
+@query(f"WITH e AS {E_SQL}, k AS (SELECT i0 FROM e WHERE i1 = 0 AND v > 0) SELECT e.i0, e.i1, CASE WHEN k.i0 IS NOT NULL THEN -1.0 ELSE e.v END::DOUBLE AS v FROM e LEFT JOIN k USING (i0)")
+def masked_axis_fill_embeddings(spark, d):
+    t = vectors(spark, d)
+    return t.masked_axis_fill(_positive_rows(t), 0, -1.0).df
+
+
+@query(f"WITH e AS {E_SQL} SELECT i0, j::BIGINT AS i1, round(2 * sum(v * ((i1 + j) % 3)) + 0.5 * max(CASE WHEN i1 = j THEN v END), 6) AS v FROM e, range(4) t(j) GROUP BY i0, j")
+def gemm_embeddings(spark, d):
+    t = vectors(spark, d)
+    w = TensorFrame.generate(spark, (64, 4), lambda i, j: ((i + j) % 3).cast("double"))
+    return TensorFrame.gemm(2.0, t, w, 0.5, t[Span(), Span(0, 3)]).df.select("i0", "i1", r(c("v")).alias("v"))
+
+
+@query(f"SELECT true AS same, false AS moved, true AS less, false AS greater, round(sum(v), 4) AS total FROM {E_SQL}")
+def compare_frames_embeddings(spark, d):
+    t = vectors(spark, d)
+    more = t + 1.0
+    row = (t.equals(t), t.equals(more), t.precedes(more), more.precedes(t), round(t.sum().item(), 4))
+    return spark.createDataFrame([row], "same boolean, moved boolean, less boolean, greater boolean, total double")
+
+
+@query(f"WITH e AS {E_SQL}, n AS (SELECT max(i0) + 1 AS n FROM e) SELECT a.i0 AS vec_id, round(sqrt(sum((a.v - b.v) * (a.v - b.v))), 6) AS d FROM e a, n JOIN e b ON a.i1 = b.i1 AND a.i0 = (b.i0 + 1) % n GROUP BY a.i0")
+def pairwise_embeddings(spark, d):
+    """Each vector with the one before it; the first with the last."""
+    e = table(spark, d, "embeddings").select(c("vec_id").cast("bigint").alias("vec_id"), "embedding")
+    n = e.agg(F.max("vec_id")).first()[0] + 1
+    before = e.select(((c("vec_id") + 1) % n).alias("vec_id"), "embedding")
+    return neighbors.pairwise(e, before, "vec_id", "embedding").select("vec_id", r(c("d")).alias("d"))
+
+
+@query(f"SELECT round(sum(v * v), 3) AS trace, 0.0::DOUBLE AS lu_off, 0.0::DOUBLE AS solve_off, 0.0::DOUBLE AS pinv_off FROM {E_SQL}")
+def factorised_gram_embeddings(spark, d):
+    """Eigenvalues of the 64 x 64 Gram matrix, and how far its factors, solution and inverse are off."""
+    g = _gram(spark, d).collect()
+    low, up = linalg.lu_permuted(g)
+    rhs = g.sum(axis=1)
+    off = [abs(low @ up - g).max(), abs(linalg.solve(g, rhs) - 1).max(), abs(linalg.pinv(g) @ rhs - 1).max()]
+    row = (round(float(linalg.symeig(g)[0].sum()), 3), *[round(float(x), 6) + 0.0 for x in off])
+    return spark.createDataFrame([row], "trace double, lu_off double, solve_off double, pinv_off double")
+
+
+@query(f"SELECT i0, i1, v FROM {E_SQL}")
+def split_concat_embeddings(spark, d):
+    """Split along axis 1, each part given an axis more and rid of it, and joined again."""
+    parts = [p.unsqueeze(1).squeeze(1) for p in vectors(spark, d).split(20, axis=1)]
+    return TensorFrame.concat(parts, 1).df.select("i0", "i1", "v")
+
+
+@query(f"SELECT i0, i1, trunc(v * 100)::BIGINT AS v FROM {E_SQL}")
+def cast_embeddings(spark, d):
+    return (vectors(spark, d) * 100.0).cast("bigint").df
+
+
+@query("SELECT 1000::BIGINT AS n, true AS inside, true AS spread")
+def random_frame(spark, d):
+    """Counts and bounds of uniform numbers, which differ by partitioning otherwise."""
+    t = create.random_uniform(spark, (100, 10), 2.0, 3.0, seed=7).df
+    return t.agg(F.count("*").alias("n"), F.bool_and((c("v") >= 2) & (c("v") < 3)).alias("inside"), (F.countDistinct("v") > 900).alias("spread"))
