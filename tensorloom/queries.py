@@ -957,3 +957,14 @@ def random_frame(spark, d):
     """Counts and bounds of uniform numbers, which differ by partitioning otherwise."""
     t = create.random_uniform(spark, (100, 10), 2.0, 3.0, seed=7).df
     return t.agg(F.count("*").alias("n"), F.bool_and((c("v") >= 2) & (c("v") < 3)).alias("inside"), (F.countDistinct("v") > 900).alias("spread"))
+
+
+@query(f"SELECT i0, round(list_reduce(list(v ORDER BY i1), lambda s, x: s * 0.5 + x), 8) AS folded FROM {E_SQL} GROUP BY i0")
+def frame_fold_embeddings(spark, d):
+    return vectors(spark, d).fold(0.0, lambda s, x: s * 0.5 + x, axis=1).df.select("i0", r(c("v"), 8).alias("folded"))
+
+
+@query(f"SELECT i0, CASE WHEN v < 0.5 THEN -abs(v) ELSE abs(v) END AS signed, abs(v - 0.5) < 1e-15 AS half FROM {V_SQL}")
+def copysign_events(spark, d):
+    x = series(spark, d).df
+    return x.select("i0", fx.copysign(c("v"), c("v") - 0.5).alias("signed"), fx.almost_equal(c("v"), F.lit(0.5)).alias("half"))

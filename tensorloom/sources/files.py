@@ -169,6 +169,24 @@ def read_labelled_texts(spark: SparkSession, path: str, classes: Sequence[str] =
     return raw.where(part(2) != "").select(part(1).alias("section"), label.alias("label"), part(3).cast("int").alias("rating"), F.col("value").alias("text"))
 
 
+def load_mnist(spark: SparkSession, folder: str) -> DataFrame:
+    """(section, i, label, values) of the four gzipped files of a digit or fashion data set in ``folder``.
+
+    Nothing is fetched: the files have their published names.
+    """
+
+    def section(name: str, stem: str) -> DataFrame:
+        images, labels = (read_idx(spark, f"{folder}/{stem}-{kind}-ubyte.gz") for kind in ("images-idx3", "labels-idx1"))
+        return images.join(labels.select("i", F.element_at("values", 1).alias("label")), "i").select(F.lit(name).alias("section"), "i", "label", "values")
+
+    return section("train", "train").unionByName(section("test", "t10k"))
+
+
+def load_imdb(spark: SparkSession, folder: str) -> DataFrame:
+    """(section, label, text) of unpacked reviews; the label is the rating in a file's name."""
+    return read_labelled_texts(spark, folder).select("section", F.col("rating").alias("label"), "text")
+
+
 # -- named tensors -----------------------------------------------------------------
 
 

@@ -144,3 +144,9 @@ def test_arrow_items_and_axes(spark):
     assert [v for _, v in t.items()] == a.ravel().tolist()
     same(t.apply_axis(lambda v: v - v.mean(), 1), a - a.mean(1, keepdims=True))
     assert t.distinct_values().count() == 12
+
+
+def test_precedes(spark):
+    a, b, c = (TensorFrame.from_nested(spark, x) for x in ([1, 2, 3], [1, 3, 0], [1, 2]))
+    assert a.precedes(b) and not b.precedes(a) and not a.precedes(a)
+    assert c.precedes(a) and not a.precedes(c) and c.precedes(b)

@@ -62,6 +62,17 @@ def test_labelled_texts(spark, tmp_path):
     assert got == [("train", 0, 2, "poor"), ("train", 1, 9, "fine")]
 
 
+def test_loaders(spark, tmp_path):
+    for stem, n in (("train", 3), ("t10k", 2)):
+        (tmp_path / f"{stem}-images-idx3-ubyte.gz").write_bytes(gzip.compress(struct.pack(">IIII", 2051, n, 1, 2) + bytes(range(2 * n))))
+        (tmp_path / f"{stem}-labels-idx1-ubyte.gz").write_bytes(gzip.compress(struct.pack(">II", 2049, n) + bytes(range(5, 5 + n))))
+    got = sorted((*r[:3], tuple(r["values"])) for r in files.load_mnist(spark, str(tmp_path)).collect())
+    assert got == [(s, k, 5 + k, (2 * k, 2 * k + 1)) for s, n in (("test", 2), ("train", 3)) for k in range(n)]
+    (tmp_path / "aclImdb" / "test" / "pos").mkdir(parents=True)
+    (tmp_path / "aclImdb" / "test" / "pos" / "4_8.txt").write_text("good")
+    assert [tuple(r) for r in files.load_imdb(spark, str(tmp_path / "aclImdb")).collect()] == [("test", 8, "good")]
+
+
 def test_store(spark, tmp_path):
     s = files.TensorStore(spark, str(tmp_path / "s"))
     a, b = (TensorFrame.from_nested(spark, np.arange(n)) for n in (3, 4))
