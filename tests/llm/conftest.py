@@ -31,6 +31,17 @@ def edge_docs():
 
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+TALK = "conv_id long, turn long, role string, text string"
+VECTORS = "vec_id long, embedding array<float>, label int"
+
+
+def others(spark, d, talk: list[tuple], vectors: list[tuple], extra: str = "", values: tuple = ()) -> None:
+    spark.createDataFrame([(*r, *values) for r in talk], TALK + extra).write.parquet(str(d / "conversations.parquet"))
+    spark.createDataFrame([(*r, *values) for r in vectors], VECTORS + extra).write.parquet(str(d / "embeddings.parquet"))
+
+
+EDGE_TALK = [(c, t, ("user", "assistant")[t % 2], x) for c in range(9) for t, x in enumerate(["Hi.", "Yes?", "", None, "Hi.", "cut"])] + [(20, None, None, None), (None, 1, "user", "x.")]
+EDGE_VECTORS = [(k, v, 1) for k, v in enumerate([[1.0, 0.0], [1.0, 0.1], [0.0, 0.0], None, [], [float("nan"), 1.0], [None, 1.0], [1.0, 0.0], [1.0], [0.0, 1.0]])]
 
 
 @pytest.fixture(scope="session")
@@ -39,6 +50,7 @@ def edge_dir(spark, edge_docs, tmp_path_factory):
     spark.createDataFrame(edge_docs, SCHEMA).repartition(3).write.parquet(str(d / "documents.parquet"))
     labels = [(i, 1, int(k % 4 == 0)) for k, (i, *_) in enumerate(edge_docs)] + [(10**6, 1, 1), (7, None, None)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    others(spark, d, EDGE_TALK, EDGE_VECTORS)
     return str(d)
 
 
@@ -47,6 +59,7 @@ def empty_dir(spark, tmp_path_factory):
     d = tmp_path_factory.mktemp("empty")
     spark.createDataFrame([], SCHEMA).write.parquet(str(d / "documents.parquet"))
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    others(spark, d, [], [])
     return str(d)
 
 
@@ -57,4 +70,5 @@ def odd_dir(spark, edge_docs, tmp_path_factory):
     rows = [(None if k % 11 == 0 else i if k % 5 else edge_docs[max(k - 1, 0)][0], *rest, "clash", 0.5) for k, (i, *rest) in enumerate(edge_docs)]
     spark.createDataFrame(rows, SCHEMA + ", kept_text string, Score double").write.parquet(str(d / "documents.parquet"))
     spark.createDataFrame([(1, 1, 1), (4, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+    others(spark, d, EDGE_TALK * 2, [(None if k % 3 == 0 else 1, *rest) for k, *rest in EDGE_VECTORS], ", Kept string, AT double, form string, n int", ("clash", 0.5, "clash", 3))
     return str(d)

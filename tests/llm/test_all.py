@@ -27,4 +27,4 @@ def test_sql(spark, edge_dir, sf_dir, name, where):
 def test_all_are_registered():
     names = set(entry.queries())
     assert {"pipeline", *QUERIES} <= names
-    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
