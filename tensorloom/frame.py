@@ -683,7 +683,7 @@ class TensorFrame:
 
     @staticmethod
     def einsum(spec: str, *ops: TensorFrame) -> TensorFrame:
-        df, shape = plan.contract([o.df for o in ops], [o.shape for o in ops], spec)
+        df, shape = plan.contract([o.df for o in ops], [o.shape for o in ops], spec, [o.sparse for o in ops])
         if not shape:
             return TensorFrame(df.select(F.lit(0).cast("bigint").alias("i0"), F.coalesce("v", F.lit(0)).alias("v")), (1,))
         return TensorFrame(df, shape, sparse=any(o.sparse for o in ops))

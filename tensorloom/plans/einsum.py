@@ -3,7 +3,8 @@
 Operands are relations of coordinates.  The planner contracts two operands at a
 time: it prefers pairs that share an index, then the pair whose result is
 smallest; an index that no later operand and no output needs is summed as soon
-as it can be, so partial sums shrink what is shuffled next.
+as it can be, so partial sums shrink what is shuffled next.  Products of dense
+matrices, seen as such by their shapes, go by tiles (``blocks.py``).
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.plans import blocks
+
 
 @dataclass
 class Operand:
@@ -22,6 +25,7 @@ class Operand:
 
     df: DataFrame
     names: tuple[str, ...]
+    sparse: bool = False
 
 
 def parse(spec: str) -> tuple[list[list[str]], list[str] | None]:
@@ -53,7 +57,7 @@ def sizes_of(ins: list[list[str]], shapes: list[tuple[int, ...]]) -> dict[str, i
     return sizes
 
 
-def _diagonal(df: DataFrame, index: list[str]) -> Operand:
+def _diagonal(df: DataFrame, index: list[str], sparse: bool) -> Operand:
     """Repeated indices within one operand select its diagonal."""
     first: dict[str, str] = {}
     for k, x in enumerate(index):
@@ -61,7 +65,7 @@ def _diagonal(df: DataFrame, index: list[str]) -> Operand:
             df = df.where(F.col(f"i{k}") == F.col(first[x]))
         else:
             first[x] = f"i{k}"
-    return Operand(df.select(*[F.col(c).alias(f"x_{x}") for x, c in first.items()], "v"), tuple(first))
+    return Operand(df.select(*[F.col(c).alias(f"x_{x}") for x, c in first.items()], "v"), tuple(first), sparse)
 
 
 def _sum_out(op: Operand, keep: set[str]) -> Operand:
@@ -69,17 +73,36 @@ def _sum_out(op: Operand, keep: set[str]) -> Operand:
     if names == op.names:
         return op
     cols = [f"x_{x}" for x in names]
-    return Operand(op.df.groupBy(*cols).agg(F.sum("v").alias("v")), names)
+    return Operand(op.df.groupBy(*cols).agg(F.sum("v").alias("v")), names, op.sparse)
+
+
+def _dense_enough(op: Operand, sizes: dict[str, int]) -> bool:
+    return not op.sparse or op.df.count() >= blocks.DENSE * math.prod(sizes[x] for x in op.names)
+
+
+def _product(a: Operand, b: Operand, needed: set[str], sizes: dict[str, int]) -> Operand:
+    """Both contracted: in tiles where that pays, else one row per product."""
+    names = (*a.names, *(x for x in b.names if x not in a.names))
+    floating = all(dict(o.df.dtypes)["v"] in ("double", "float") for o in (a, b))
+    split = blocks.split(a.names, b.names, needed, sizes) if floating else None
+    if split and blocks.worth(split) and _dense_enough(a, sizes) and _dense_enough(b, sizes):
+        return Operand(blocks.contract(a.df, b.df, split), (*split.kept, *split.left, *split.right))
+    shared = [f"x_{x}" for x in a.names if x in b.names]
+    right = b.df.withColumnRenamed("v", "v2")
+    # Without a shared index the product is an outer product, as the user asked.
+    both = a.df.join(right, shared) if shared else a.df.crossJoin(right)
+    both = both.select(*[f"x_{x}" for x in names], (F.col("v") * F.col("v2")).alias("v"))
+    return _sum_out(Operand(both, names, a.sparse or b.sparse), needed)
 
 
-def contract(dfs: list[DataFrame], shapes: list[tuple[int, ...]], spec: str) -> tuple[DataFrame, tuple[int, ...]]:
-    """The result as coordinates i0, i1, ... and v, with its shape."""
+def contract(dfs: list[DataFrame], shapes: list[tuple[int, ...]], spec: str, sparse: list[bool] | None = None) -> tuple[DataFrame, tuple[int, ...]]:
+    """The result as coordinates i0, i1, ... and v, with its shape; ``sparse`` tells which operands may lack rows."""
     ins, out = parse(spec)
     if len(ins) != len(dfs):
         raise ValueError("einsum needs one list of indices per operand")
     out = output_of(ins, out)
     sizes = sizes_of(ins, shapes)
-    ops = [_diagonal(df, p) for df, p in zip(dfs, ins, strict=True)]
+    ops = [_diagonal(df, p, sp) for df, p, sp in zip(dfs, ins, sparse or [False] * len(dfs), strict=True)]
 
     def needed(rest: list[Operand]) -> set[str]:
         return set(out) | {x for o in rest for x in o.names}
@@ -96,12 +119,6 @@ def contract(dfs: list[DataFrame], shapes: list[tuple[int, ...]], spec: str) ->
         i, j = min(((i, j) for i in range(len(ops)) for j in range(i + 1, len(ops))), key=cost)
         a, b = ops[i], ops[j]
         ops = [o for k, o in enumerate(ops) if k not in (i, j)]
-        shared = [f"x_{x}" for x in a.names if x in b.names]
-        right = b.df.withColumnRenamed("v", "v2")
-        # Without a shared index the product is an outer product, as the user asked.
-        both = a.df.join(right, shared) if shared else a.df.crossJoin(right)
-        names = (*a.names, *(x for x in b.names if x not in a.names))
-        both = both.select(*[f"x_{x}" for x in names], (F.col("v") * F.col("v2")).alias("v"))
-        ops.append(_sum_out(Operand(both, names), needed(ops)))
+        ops.append(_product(a, b, needed(ops), sizes))
     final = _sum_out(ops[0], set(out))
     return final.df.select(*[F.col(f"x_{x}").alias(f"i{k}") for k, x in enumerate(out)], "v"), tuple(sizes[x] for x in out)
