@@ -145,7 +145,7 @@ hot AS (
   SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
 ),
 judged AS (
-  SELECT k.*, h.key IS NOT NULL AND k.doc_id <> h.keeper AS dropped FROM keyed k LEFT JOIN hot h ON k.key = h.key
+  SELECT k.*, coalesce(h.key IS NOT NULL AND k.doc_id <> h.keeper, FALSE) AS dropped FROM keyed k LEFT JOIN hot h ON k.key = h.key
 )"""
 
 #: CRC-32 (reflected polynomial 3988292384) of a list of bytes, with the table of its 256 single bytes.

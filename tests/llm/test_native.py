@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -31,6 +32,25 @@ def test_line_dedup_texts(spark):
     assert got == {0: (3, 1, "own 0\nend"), 1: (3, 1, "own 1\nend"), 2: (3, 1, "own 2\nend"), 3: (3, 0, docs[3][1]), 9: (1, 0, "")}
 
 
+def test_line_dedup_rows_without_or_with_repeated_ids(spark):
+    """Rows without an id count towards no line and lose none; rows of one id are one document."""
+    same, other = "The same line in each document.", "Another line of some length."
+    schema, at = "doc_id long, text string", lambda df: sorted((tuple(r) for r in df.select("doc_id", "n_lines", "n_dropped", "kept_text").collect()), key=str)
+    two = [(1, same), (2, same), (None, same), (2, same)]
+    assert at(line_dedup(spark.createDataFrame(two, schema))) == sorted([(i, 1, 0, t) for i, t in two], key=str)
+    three = [*two, (3, f"{same}\n{other}\n{same}"), (2, f"x\n{same.upper()}\ny"), (None, f"{same}\n{same}")]
+    want = [(1, 1, 1, ""), (2, 1, 1, ""), (2, 1, 1, ""), (2, 3, 1, "x\ny"), (3, 3, 0, three[4][1]), (None, 1, 0, same), (None, 2, 0, f"{same}\n{same}")]
+    assert at(line_dedup(spark.createDataFrame(three, schema))) == sorted(want, key=str)
+
+
+def test_line_dedup_is_linear_in_a_text(spark):
+    text = "\n".join(f"a line that three documents have, number {k}" for k in range(50_000))
+    docs = spark.createDataFrame([(k, text) for k in range(3)], "doc_id long, text string")
+    started = time.time()
+    got = {r["doc_id"]: (r["n_dropped"], len(r["kept_text"])) for r in line_dedup(docs).collect()}
+    assert got == {0: (50_000, 0), 1: (50_000, 0), 2: (0, len(text))} and time.time() - started < 60
+
+
 def test_license_inheritance(spark):
     mit, gpl = "Released under the MIT License.", "This work is licensed under the GNU General Public License, version 3."
     prose = "\n".join(f"some unrelated words number {k} here" for k in range(10))
