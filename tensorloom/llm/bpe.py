@@ -35,10 +35,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
-from tensorloom.llm.common import without
+from tensorloom.llm.common import hold, without
 
 #: Most words (and most table entries) that one worker remembers.
-CACHE = 150_000
+CACHE = 100_000
 
 _FOREVER = 1 << 60
 
@@ -228,11 +228,6 @@ class Codec:
             raise ValueError(f"unknown decoder {kind}")
         self.bytes_out = {c: b for b, c in enumerate(byte_symbols())} if kind else None
 
-    def forget(self) -> None:
-        """Empty the memory of words and transitions."""
-        self.words.clear()
-        self.automaton.table.clear()
-
     def _pieces(self, text: str) -> list[str]:
         if text.isascii():
             return (self._ascii or self._any)(text.lower() if self.lower else text)
@@ -291,14 +286,14 @@ def _mapped(df: DataFrame, path: str, column: str, added: dict[str, str], make)
     types = {"binary": pa.binary(), "string": pa.string()}
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Words and transitions last from task to task, until the worker turns to another operator.
+        hold("bpe", _codecs.clear)
         c = codec(spec.value)
         for b in parts:
             for k in range(0, b.num_rows, ROWS):
                 piece = b.slice(k, ROWS)
                 new = zip(*[make(c, x) for x in piece.column(at).to_pylist()], strict=True)
                 yield pa.RecordBatch.from_arrays([*piece.columns, *[pa.array(x, types[t]) for x, t in zip(new, added.values(), strict=True)]], [*piece.schema.names, *added])
-        # The worker lives on with other work: what it remembered must not.
-        c.forget()
 
     schema = StructType([*df.schema.fields, *[StructField(n, BinaryType() if t == "binary" else StringType()) for n, t in added.items()]])
     return df.mapInArrow(run, schema)

@@ -81,6 +81,20 @@ def sweep() -> None:
         _delete(spark, path)
 
 
+#: In a Python worker: the operator whose tables it holds, and what empties them.
+_held: list = []
+
+
+def hold(owner: str, release: Callable[[], None]) -> None:
+    """Called in a worker before a task of ``owner``: what another operator has left there goes.
+
+    So an operator's memory lasts from task to task, and a worker holds that of one operator only.
+    """
+    if _held and _held[0] != owner:
+        _held[1]()
+    _held[:] = [owner, release]
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
