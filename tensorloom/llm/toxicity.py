@@ -366,7 +366,7 @@ def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str
     """Count characters over all of ``df`` and fit evidence on at most ``max_labels`` rows of ``labels``."""
     spark = df.sparkSession
     counts = char_counts(df, text_col)
-    rows = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).alias("_toxic")).dropDuplicates(["_id"])
+    rows = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_id"), (F.col(label_col) > 0).alias("_toxic")).groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     picked = rows.orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
     # At most max_labels rows of 16 bytes: small enough for every executor.
     train = materialize(df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(picked), "_id").select("_text", "_toxic"), "labelled")
