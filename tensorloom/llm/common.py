@@ -85,7 +85,7 @@ def sweep() -> None:
 _held: list = []
 
 
-def hold(owner: str, release: Callable[[], None]) -> None:
+def hold(owner: str, release: Callable[[], None] = lambda: None) -> None:
     """Called in a worker before a task of ``owner``: what another operator has left there goes.
 
     So an operator's memory lasts from task to task, and a worker holds that of one operator only.

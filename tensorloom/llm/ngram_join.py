@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import discard, materialize
+from tensorloom.llm.common import discard, hold, materialize
 from tensorloom.llm.components import components
 
 #: Ranked n-grams (12 bytes each in the broadcast), the ranges in which they are counted, and fingerprints held before they are.
@@ -91,6 +91,7 @@ def node_of(s: np.ndarray) -> int:
 
 
 def _texts(parts: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    hold("ngram_join")
     for b in parts:
         yield from zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
-from tensorloom.llm.common import discard, materialize, without
+from tensorloom.llm.common import discard, hold, materialize, without
 
 # What a sign may stand for in disguised words.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "*": "aeiou"}
@@ -208,6 +208,7 @@ def doc_tokens(text: str | None, restorer: Restorer) -> list[str]:
 
 
 def _trigrams(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hold("toxicity")
     total: Counter = Counter()
     seen: Counter = Counter()
 
@@ -245,6 +246,7 @@ def _count(sent):
     """Per piece of evidence, in toxic and clean texts: documents that hold it, its tokens up to REPEATS a document, all its tokens."""
 
     def count(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold("toxicity")
         restorer, memo = Restorer(sent.value), {}
         n: dict[str, list[int]] = {}
 
@@ -304,6 +306,7 @@ class ToxicityModel:
 
         @F.pandas_udf("total double, hits long, tokens long")
         def look(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            hold("toxicity")
             counts, weights, _, _ = sent.value
             restorer = Restorer(counts)
 
