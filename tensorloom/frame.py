@@ -13,11 +13,12 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.functions import elementwise as fx
 from tensorloom.plans import einsum as plan
+from tensorloom.plans import scan, select
 from tensorloom.plans.tables import numbered, ranked
 
 
@@ -554,7 +555,15 @@ class TensorFrame:
     def percentile(self, p: int, axis: int | None = None) -> TensorFrame:
         """Linear between neighbours; 0.0 of nothing."""
         share = min(max(p, 0), 100) / 100
-        return self.dense().reduce(lambda v: F.coalesce(F.percentile(v, share), F.lit(0.0)), axis)
+        k = self._axis(axis) if axis is not None else 0
+        if (self.size if axis is None else self.shape[k]) <= select.FEW:
+            return self.dense().reduce(lambda v: F.coalesce(F.percentile(v, share), F.lit(0.0)), axis)
+        by = [] if axis is None else [c for c in self.axes if c != f"i{k}"]
+        found = select.quantiles(self.dense().df, by, "v", [share], ["v"])
+        zero = F.lit(0).cast("bigint")
+        if axis is None:
+            return TensorFrame(found.select(zero.alias("i0"), "v"), (1,))
+        return TensorFrame(found.withColumn(f"i{k}", zero).select(*self.axes, "v"), self.shape[:k] + (1,) + self.shape[k + 1 :])
 
     def median(self, axis: int | None = None) -> TensorFrame:
         return self.percentile(50, axis)
@@ -577,55 +586,48 @@ class TensorFrame:
 
     # -- along an axis ------------------------------------------------------------------------------
 
-    def _window(self, axis: int) -> Window:
-        k = self._axis(axis)
-        by = [c for c in self.axes if c != f"i{k}"]
-        return (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(f"i{k}")
+    def _others(self, axis: int) -> list[str]:
+        return [c for c in self.axes if c != f"i{self._axis(axis)}"]
 
-    def cumsum(self, axis: int = 0, chunk: int = 1 << 16) -> TensorFrame:
-        """Running sums; a long axis is cut into chunks whose sums are run first."""
+    def _running(self, axis: int, v: Column, agg: Callable[[Column], Column], combine: Callable[[Column, Column], Column], chunk: int | None) -> TensorFrame:
         k = self._axis(axis)
-        if self.shape[k] <= chunk:
-            return self._same(self.df.withColumn("v", F.sum("v").over(self._window(axis).rowsBetween(Window.unboundedPreceding, 0))))
-        others = [c for c in self.axes if c != f"i{k}"]
-        cut = self.df.withColumn("_b", F.call_function("div", F.col(f"i{k}"), F.lit(chunk)))
-        sums = cut.groupBy(*others, "_b").agg(F.sum("v").alias("_s"))
-        run = Window.partitionBy(*others).orderBy("_b") if others else Window.orderBy("_b")
-        base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(run.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-        inside = Window.partitionBy(*others, "_b").orderBy(f"i{k}").rowsBetween(Window.unboundedPreceding, 0)
-        out = cut.withColumn("_in", F.sum("v").over(inside)).join(base, [*others, "_b"])
-        return self._same(out.select(*self.axes, (F.col("_in") + F.col("_base")).alias("v")))
-
-    def cumprod(self, axis: int = 0) -> TensorFrame:
-        """Running products, by sums of logarithms, signs and zeros."""
-        w = self._window(axis).rowsBetween(Window.unboundedPreceding, 0)
-        v = F.col("v").cast("double")
-        size = F.exp(F.sum(F.when(v == 0, 0.0).otherwise(F.ln(F.abs(F.when(v == 0, 1.0).otherwise(v))))).over(w))
-        sign = F.when(F.sum((v < 0).cast("int")).over(w) % 2 == 1, -1.0).otherwise(1.0)
-        zero = F.sum((v == 0).cast("int")).over(w) > 0
-        return self._same(self.df.withColumn("v", F.when(zero, 0.0).otherwise(sign * size)))
-
-    def diff(self, n: int = 1, axis: int = -1) -> TensorFrame:
+        out = scan.running(self.df, self._others(axis), f"i{k}", self.shape[k], v, agg, combine, "_r", chunk)
+        return self._same(out.select(*self.axes, F.col("_r").alias("v")))
+
+    def cumsum(self, axis: int = 0, chunk: int | None = None) -> TensorFrame:
+        """Running sums; a long axis goes in chunks, as all functions along an axis."""
+        return self._running(axis, F.col("v"), F.sum, lambda a, b: a + b, chunk)
+
+    def cumprod(self, axis: int = 0, chunk: int | None = None) -> TensorFrame:
+        """Running products, by true products of doubles: whole numbers stay exact up to 2^53."""
+        return self._running(axis, F.col("v").cast("double"), F.product, lambda a, b: a * b, chunk)
+
+    def diff(self, n: int = 1, axis: int = -1, chunk: int | None = None) -> TensorFrame:
         """n-th difference; of booleans: whether neighbours differ."""
         k, out = self._axis(axis), self
-        for _ in range(n):
-            w, boolean = out._window(axis), dict(out.df.dtypes)["v"] == "boolean"
-            before = F.lag("v").over(w)
-            step = (F.col("v") != before) if boolean else (F.col("v") - before)
-            df = out.df.withColumn("v", step).where(F.col(f"i{k}") > 0).withColumn(f"i{k}", F.col(f"i{k}") - 1)
-            out = TensorFrame(df, out.shape[:k] + (max(out.shape[k] - 1, 0),) + out.shape[k + 1 :])
+        boolean = dict(self.df.dtypes)["v"] == "boolean"
+        while n > 0:
+            reach = min(n, 8)  # the expression doubles with each order
+            df = scan.with_earlier(out.df, out._others(axis), f"i{k}", "v", reach, chunk)
+            line = [F.col("v"), *[F.col(f"_e{j}") for j in range(1, reach + 1)]]
+            while len(line) > 1:
+                line = [(a != b) if boolean else (a - b) for a, b in zip(line, line[1:])]
+            df = df.withColumn("v", line[0]).where(F.col(f"i{k}") >= reach).withColumn(f"i{k}", F.col(f"i{k}") - reach)
+            out = TensorFrame(df.select(*out.axes, "v"), out.shape[:k] + (max(out.shape[k] - reach, 0),) + out.shape[k + 1 :])
+            n -= reach
         return out
 
-    def unwrap(self, period: float = 2 * math.pi, discont: float | None = None, axis: int = -1) -> TensorFrame:
+    def unwrap(self, period: float = 2 * math.pi, discont: float | None = None, axis: int = -1, chunk: int | None = None) -> TensorFrame:
         """Add multiples of the period so that jumps stay below half of it."""
-        w, half = self._window(axis), period / 2
+        k, half = self._axis(axis), period / 2
         limit = half if discont is None else max(discont, half)
-        step = F.col("v") - F.lag("v").over(w)
+        df = scan.with_earlier(self.df, self._others(axis), f"i{k}", "v", 1, chunk)
+        step = F.col("v") - F.col("_e1")
         folded = fx.floor_mod(step + half, F.lit(period)) - half
         folded = F.when((folded == -half) & (step > 0), F.lit(half)).otherwise(folded)
         fix = F.when(step.isNull() | (F.abs(step) < limit), 0.0).otherwise(folded - step)
-        df = self.df.withColumn("_fix", fix)
-        return self._same(df.withColumn("v", F.col("v") + F.sum("_fix").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_fix"))
+        out = scan.running(df, self._others(axis), f"i{k}", self.shape[k], fix, F.sum, lambda a, b: a + b, "_fix", chunk)
+        return self._same(out.select(*self.axes, (F.col("v") + F.col("_fix")).alias("v")))
 
     def convolve(self, kernel: TensorFrame, mode: str = "full", down: int = 1) -> TensorFrame:
         """Rank 1; modes full, same and valid, keeping every ``down``-th value."""

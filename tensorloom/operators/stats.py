@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tensorloom.functions import elementwise as fx
+from tensorloom.plans.select import quantiles
 
 
 def silverman(df: DataFrame, col: str, adjust: float = 1.0) -> float:
-    r = df.agg(F.count(col).alias("n"), F.stddev_samp(col).alias("s"), F.percentile(col, 0.75).alias("q3"), F.percentile(col, 0.25).alias("q1")).first()
-    spread = min(x for x in (r["s"], (r["q3"] - r["q1"]) / 1.34) if x) if r["s"] else 1.0
+    r = df.agg(F.count(col).alias("n"), F.stddev_samp(col).alias("s")).first()
+    q = quantiles(df, [], col, [0.25, 0.75]).first()
+    spread = min(x for x in (r["s"], (q["q1"] - q["q0"]) / 1.34) if x) if r["s"] else 1.0
     return 0.9 * spread * r["n"] ** -0.2 * adjust
 
 

@@ -12,6 +12,7 @@ from tensorloom.frame import Span, TensorFrame
 from tensorloom.functions import complexnum as cx
 from tensorloom.functions import elementwise as fx
 from tensorloom.operators import arrays, create, linalg, neighbors, stats, wide
+from tensorloom.plans.select import quantiles
 from tensorloom.plans.tables import ranked
 from tensorloom.session import table
 
@@ -229,8 +230,14 @@ def argmin_first_embeddings(spark, d):
 
 @query("SELECT o_orderpriority, round(quantile_cont(o_totalprice, 0.9), 4) AS p90, round(median(o_totalprice), 4) AS med, round(quantile_cont(o_totalprice, 0.75) - quantile_cont(o_totalprice, 0.25), 4) AS iqr FROM orders GROUP BY o_orderpriority")
 def percentile_median_iqr_orders(spark, d):
-    p = lambda q: F.percentile("o_totalprice", q)
-    return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(p(0.9), 4).alias("p90"), F.round(p(0.5), 4).alias("med"), F.round(p(0.75) - p(0.25), 4).alias("iqr"))
+    out = quantiles(table(spark, d, "orders"), ["o_orderpriority"], "o_totalprice", [0.9, 0.5, 0.25, 0.75], ["p90", "med", "low", "high"])
+    return out.select("o_orderpriority", F.round("p90", 4).alias("p90"), F.round("med", 4).alias("med"), F.round(c("high") - c("low"), 4).alias("iqr"))
+
+
+@query(f"SELECT 0 AS i0, round(quantile_cont(v, 0.37), 8) AS v FROM {V_SQL}")
+def percentile_events(spark, d):
+    """Over one long axis: ranges are narrowed, nothing is gathered."""
+    return series(spark, d).percentile(37).df.select("i0", r(c("v"), 8).alias("v"))
 
 
 @query("SELECT bool_and(quality <> 0) AS all_good, bool_or(toxic <> 0) AS any_toxic, count(*) AS n FROM labels")
@@ -525,10 +532,19 @@ def cumprod_embeddings(spark, d):
     return vectors(spark, d).map(lambda v: 1 + v / 100).cumprod(1).df.select("i0", "i1", F.round("v", 8).alias("v"))
 
 
-@query("SELECT user_id, event_id, round(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id), 6) AS step FROM events QUALIFY step IS NOT NULL")
+@query(f"SELECT i0, round(product(1 + v / 1e6) OVER (ORDER BY i0 ROWS UNBOUNDED PRECEDING), 7) AS v FROM {V_SQL}")
+def cumprod_events(spark, d):
+    return series(spark, d).map(lambda v: 1 + v / 1e6).cumprod(chunk=1024).df.select("i0", F.round("v", 7).alias("v"))
+
+
+@query(f"SELECT i0 - 3 AS i0, round(v - 3 * lag(v) OVER w + 3 * lag(v, 2) OVER w - lag(v, 3) OVER w, 6) + 0.0 AS v FROM {V_SQL} WINDOW w AS (ORDER BY i0) QUALIFY i0 >= 3")
 def diff_events(spark, d):
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, d, "events").select("user_id", "event_id", F.round(c("value") - F.lag("value").over(w), 6).alias("step")).where("step IS NOT NULL")
+    return series(spark, d).diff(3, chunk=1024).df.select("i0", r(c("v")).alias("v"))
+
+
+@query(f"WITH s AS (SELECT i0, v, v - lag(v) OVER (ORDER BY i0) AS st FROM {V_SQL}), f AS (SELECT *, CASE WHEN st IS NULL OR abs(st) < 3 THEN 0 ELSE (CASE WHEN st - 6 * floor((st + 3) / 6) = -3 AND st > 0 THEN 3 ELSE st - 6 * floor((st + 3) / 6) END) - st END AS fix FROM s) SELECT i0, round(v + sum(fix) OVER (ORDER BY i0 ROWS UNBOUNDED PRECEDING), 6) + 0.0 AS v FROM f")
+def unwrap_events(spark, d):
+    return series(spark, d).unwrap(period=6.0, chunk=1024).df.select("i0", r(c("v")).alias("v"))
 
 
 @query(f"SELECT i0, i1 - 2 AS i1, round(v - 2 * lag(v) OVER w + lag(v, 2) OVER w, 8) + 0.0 AS v FROM {E_SQL} WINDOW w AS (PARTITION BY i0 ORDER BY i1) QUALIFY i1 >= 2")
