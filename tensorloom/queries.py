@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tensorloom.frame import Span, TensorFrame
 from tensorloom.functions import complexnum as cx
 from tensorloom.functions import elementwise as fx
-from tensorloom.operators import arrays, create, linalg, neighbors, stats, wide
+from tensorloom.operators import arrays, create, linalg, neighbors, spatial, stats, wide
 from tensorloom.plans.select import quantiles
 from tensorloom.plans.tables import ranked
 from tensorloom.session import table
@@ -706,6 +706,30 @@ def radius_join_supplier(spark, d):
     return neighbors.radius_join(p, p, ["x", "y"], "id", 1.5).select("a_id", "b_id", F.round("d", 6).alias("d"))
 
 
+_CUSTOMERS = "(SELECT c_custkey AS id, c_acctbal / 1000 AS x, c_nationkey::DOUBLE AS y, (c_custkey % 10)::DOUBLE AS z FROM customer)"
+_DISTANCE = "sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)"
+
+
+def _customers(spark, d) -> DataFrame:
+    x = F.array(c("c_acctbal") / 1000, c("c_nationkey").cast("double"), (c("c_custkey") % 10).cast("double"))
+    return table(spark, d, "customer").select(c("c_custkey").alias("id"), x.alias("x"))
+
+
+@query(f"SELECT a.id AS q, b.id AS id, round({_DISTANCE}, 6) AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_DISTANCE}, b.id) AS rank FROM {_CUSTOMERS} a JOIN {_CUSTOMERS} b ON a.id <> b.id QUALIFY rank <= 3")
+def kd_nearest_customers(spark, d):
+    """The three nearest of every customer among all, by the kd-split."""
+    points = _customers(spark, d)
+    out = spatial.nearest(spatial.build_index(points, "id", "x", leaf=256), points, "id", "x", 3, exclude_self=True)
+    return out.select("q", "id", F.round("d", 6).alias("d"), c("rank").cast("long").alias("rank"))
+
+
+@query(f"SELECT a.id AS q, b.id AS id, round({_DISTANCE}, 6) AS d FROM {_CUSTOMERS} a JOIN {_CUSTOMERS} b ON a.id <> b.id WHERE {_DISTANCE} < 0.9")
+def kd_within_customers(spark, d):
+    points = _customers(spark, d)
+    out = spatial.within(spatial.build_index(points, "id", "x", leaf=256), points, "id", "x", 0.9, exclude_self=True)
+    return out.select("q", "id", F.round("d", 6).alias("d"))
+
+
 # -- learning --------------------------------------------------------------------------------------
 
 
