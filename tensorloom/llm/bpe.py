@@ -37,8 +37,8 @@ from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from tensorloom.llm.common import hold, without
 
-#: Most words (and most table entries) that one worker remembers.
-CACHE = 100_000
+#: Words of a generation; a worker remembers two, and four times as many transitions.
+CACHE = 60_000
 
 _FOREVER = 1 << 60
 
@@ -69,7 +69,7 @@ class Automaton:
         self.table: dict[int, bool] = {}
         for k, (u, v) in enumerate(merges):
             self._gadget(vocab[u], vocab[v], vocab[u + v], k)
-        self.longest = max((len(t.removesuffix(end_of_word) if end_of_word else t) for t in vocab), default=1)
+        self.start = self._grow()
 
     def _gadget(self, u: int, v: int, uv: int, k: int) -> None:
         if uv in self.made:
@@ -126,25 +126,46 @@ class Automaton:
             self.table[key] = found
         return found
 
+    def _grow(self) -> tuple:
+        """Labels as a table of transitions character by character; a state has its arcs, and the tokens that end there inside a word and at its end."""
+        start: tuple = ({}, [None, None])
+        for token, i in self.vocab.items():
+            ends = bool(self.end) and token.endswith(self.end)
+            state = start
+            for ch in token.removesuffix(self.end) if ends else token:
+                state = state[0].setdefault(ch, ({}, [None, None]))
+            state[1][1 if ends or not self.end else 0] = i
+            if not self.end:
+                state[1][0] = i
+        return start
+
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word, given as byte symbols."""
-        n, find, longest, table, has_arc = len(word), self.vocab.get, self.longest, self.table, self.has_arc
+        n, table, has_arc, first = len(word), self.table, self.has_arc, self.start[0]
         last, start = [0] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            tail = self.end if i == n else ""
-            for j in range(i - longest if i > longest else 0, i):
-                t = find(word[j:i] + tail)
-                if t is not None:
-                    if j:
-                        found = table.get(last[j] << 32 | t)
-                        if found is None:
-                            found = has_arc(last[j], t)
-                        if not found:
-                            continue
-                    last[i], start[i] = t, j
-                    break
+        # Tokens that end at each place, by where they start, longest first.
+        ends: list[list[tuple[int, int]]] = [[] for _ in range(n + 1)]
+        for j in range(n + 1):
+            for k, t in ends[j]:
+                if k:
+                    found = table.get(last[k] << 32 | t)
+                    if not (has_arc(last[k], t) if found is None else found):
+                        continue
+                last[j], start[j] = t, k
+                break
             else:
-                raise ValueError(f"no symbol for {word[i - 1]!r}")
+                if j:
+                    raise ValueError(f"no symbol for {word[j - 1]!r}")
+            arcs, i = first, j
+            for ch in word[j:]:
+                state = arcs.get(ch)
+                if state is None:
+                    break
+                arcs, tokens = state
+                i += 1
+                t = tokens[i == n]
+                if t is not None:
+                    ends[i].append((j, t))
         out, i = [], n
         while i:
             out.append(last[i])
@@ -158,12 +179,16 @@ class _Words(dict):
     def __init__(self, automaton: Automaton):
         super().__init__()
         self.automaton, self.symbols = automaton, byte_symbols()
+        #: The words of the last generation: those still in use come back from there.
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        symbols = self.symbols
-        ids = self.automaton.encode_word("".join([symbols[b] for b in word.encode()]))
-        packed = pack(ids)
+        packed = self.older.get(word)
+        if packed is None:
+            symbols = self.symbols
+            packed = pack(self.automaton.encode_word("".join([symbols[b] for b in word.encode()])))
         if len(self) >= CACHE:
+            self.older = dict(self)
             self.clear()
         if len(word) <= 64:
             self[word] = packed
