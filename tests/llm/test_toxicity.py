@@ -120,3 +120,11 @@ def test_labels_are_no_inputs(spark, edge_dir):
     docs = spark.read.parquet(f"{edge_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{edge_dir}/labels.parquet").select("doc_id", "toxic").where(~tox.held_out(tox.F.col("doc_id")))
     assert a == {r["doc_id"]: r["score"] for r in tox.toxicity(docs, labels).collect()}
+
+
+def test_the_largest_label_of_an_id_counts(spark, edge_dir):
+    docs = spark.read.parquet(f"{edge_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{edge_dir}/labels.parquet").select("doc_id", "toxic")
+    twice = labels.unionAll(labels.where("toxic = 1").selectExpr("doc_id", "0 AS toxic"))
+    once, again = ({r["doc_id"]: r["score"] for r in tox.toxicity(docs, x).collect()} for x in (labels, twice))
+    assert once == again
