@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tensorloom.llm.common import ascii_lower, discard, materialize, windows, words
+from tensorloom.llm.common import ascii_lower, materialize, windows, words
 
 K, SHINGLE = 128, 5
 BITS = 48
@@ -73,29 +73,32 @@ def merged(df: DataFrame, group: str, sketch: str, k: int = K, salts: int = 16)
     return df.select(group).distinct().join(low, group, "left").withColumn(sketch, empty)
 
 
-def _first_keys(keys: DataFrame, parts: int) -> list[tuple]:
-    """First keys (no id, id, h) of ranges of about equal size, in order: at most ``parts`` rows."""
-    dealt = materialize(keys.repartitionByRange(parts, F.col("none"), F.col("id"), F.col("h")).withColumn("_b", F.spark_partition_id()), "keys")
-    first = dealt.groupBy("_b").agg(F.min(F.struct("none", "id", "h")).alias("k")).collect()
-    discard(dealt)
-    # A null id stands behind all others and is equal to itself.
-    return sorted((tuple(r["k"]) for r in first), key=lambda k: (k[0], 0 if k[0] else k[1], k[2]))
+def _bounds(keys: DataFrame, ranges: int) -> DataFrame:
+    """One row with the first keys (no id, id, h) of ranges of about equal size, in order: at most ``ranges`` of them.
 
+    They are found and put in order by the executors, and written, so that all later tasks see the same ones.
+    """
+    dealt = keys.repartitionByRange(ranges, F.col("none"), F.col("id"), F.col("h")).withColumn("_b", F.spark_partition_id())
+    first = dealt.groupBy("_b").agg(F.min(F.struct("none", "id", "h")).alias("k"))
+    return materialize(first.agg(F.sort_array(F.collect_list("k")).alias("bounds")), "bounds")
 
-def _range_of(bounds: list[tuple], id_type) -> tuple[Column, Column]:
-    """Number of the range that a key belongs to, by bisection, and whether it is the range's first key."""
-    none, h = (F.array(*[F.lit(b[k]) for b in bounds]) for k in (0, 2))
-    ids = F.array(*[F.lit(b[1]).cast(id_type) for b in bounds])
 
-    def beyond(j: Column) -> Column:
-        """Whether the row's key is not before bound ``j``."""
-        later = F.coalesce(F.col("id") > F.get(ids, j), F.lit(False)) | (F.col("id").eqNullSafe(F.get(ids, j)) & (F.col("h") >= F.get(h, j)))
-        return (F.col("none") > F.get(none, j)) | ((F.col("none") == F.get(none, j)) & later)
+def _with_range(df: DataFrame, bounds: Column, ranges: int) -> DataFrame:
+    """``df`` plus _at, the number of the range that the row belongs to, and _first, whether it is the range's first row.
 
-    steps = [1 << k for k in range(max(len(bounds) - 1, 1).bit_length() - 1, -1, -1)]
-    at = F.aggregate(F.array(*[F.lit(x) for x in steps]), F.lit(0), lambda j, x: F.when((j + x < len(bounds)) & beyond(j + x), j + x).otherwise(j))
-    first = (F.col("none") == F.get(none, F.col("_at"))) & F.col("id").eqNullSafe(F.get(ids, F.col("_at"))) & (F.col("h") == F.get(h, F.col("_at")))
-    return at, first
+    Bisection, a projection or two for each step, as a subquery may not stand in a lambda function.
+    """
+    out = df.withColumn("_at", F.lit(0))
+    for k in range(max(ranges - 1, 1).bit_length() - 1, -1, -1):
+        out = out.withColumn("_bound", F.get(bounds, F.col("_at") + (1 << k)))
+        # A null id stands behind all others and is equal to itself.
+        same = F.col("id").eqNullSafe(F.col("_bound.id")) & (F.col("h") >= F.col("_bound.h"))
+        later = F.coalesce(F.col("id") > F.col("_bound.id"), F.lit(False)) | same
+        beyond = (F.col("none") > F.col("_bound.none")) | ((F.col("none") == F.col("_bound.none")) & later)
+        out = out.withColumn("_at", F.when(F.coalesce(beyond, F.lit(False)), F.col("_at") + (1 << k)).otherwise(F.col("_at")))
+    out = out.withColumn("_bound", F.get(bounds, F.col("_at")))
+    first = (F.col("none") == F.col("_bound.none")) & F.col("id").eqNullSafe(F.col("_bound.id")) & (F.col("h") == F.col("_bound.h"))
+    return out.withColumn("_first", F.coalesce(first, F.lit(False))).drop("_bound")
 
 
 #: Copies of a row that are written out side by side, and ranges of the order for each task.
@@ -122,13 +125,14 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         base = base.groupBy(*key).agg(F.min("t").alias("t"), F.count("*").alias("m"))
         keys = base.select(*key)
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Several ranges for each task, lest chance leave some tasks without any.
-    bounds = _first_keys(keys, RANGES_PER_TASK * parts)
-    if not bounds:
-        bounds = [(False, None, 0)]
-    at, first = _range_of(bounds, base.schema["id"].dataType)
-    ranges = F.when(first, F.array(F.struct(F.col("_at").alias("r"), F.lit(False).alias("guest")), F.struct(F.pmod(F.col("_at") - 1, F.lit(len(bounds))).alias("r"), F.lit(True).alias("guest")))).otherwise(F.array(F.struct(F.col("_at").alias("r"), F.lit(False).alias("guest"))))
-    dealt = base.withColumn("_at", at).withColumn("_to", F.explode(ranges)).withColumns({"_r": F.col("_to.r"), "_guest": F.col("_to.guest")}).drop("_at", "_to").repartition(parts, "_r")
+    # Several ranges for each task, lest chance leave some tasks without any.  Their bounds reach
+    # the tasks as the value of a scalar subquery: the plan is the same whatever their number.
+    ranges = RANGES_PER_TASK * parts
+    bounds = _bounds(keys, ranges).select("bounds").scalar()
+    own = F.struct(F.col("_at").alias("r"), F.lit(False).alias("guest"))
+    guest = F.struct(F.pmod(F.col("_at") - 1, F.size(bounds)).alias("r"), F.lit(True).alias("guest"))
+    homes = F.when(F.col("_first"), F.array(own, guest)).otherwise(F.array(own))
+    dealt = _with_range(base, bounds, ranges).withColumn("_to", F.explode(homes)).withColumns({"_r": F.col("_to.r"), "_guest": F.col("_to.guest")}).drop("_at", "_first", "_to").repartition(parts, "_r")
     sketched = with_sketch(dealt, F.col("t"), "a", k)
     w = Window.partitionBy("_r").orderBy("_guest", *key)
     both = sketched.withColumns({"_t": F.lead("t").over(w), "c": F.lead("a").over(w)}).where(~F.col("_guest"))

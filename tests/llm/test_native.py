@@ -196,6 +196,24 @@ def test_fingerprints_keep_every_row(spark, n):
     check_fingerprints(spark, fp.edited_fingerprints(df).collect(), docs)
 
 
+def test_fingerprint_ranges_are_not_in_the_plan(spark):
+    """The plan does not grow with the shuffle partitions, and any number of ranges gives the same rows."""
+    docs = [(None if k % 9 == 0 else k // 2, f"text {k} of some words and {k % 2} more of them") for k in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        sizes = []
+        for parts in (4, 50):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            out = fp.edited_fingerprints(df)
+            sizes.append(len(out._jdf.queryExecution().optimizedPlan().toString()))
+            check_fingerprints(spark, out.collect(), docs)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # A step of the bisection for each doubling.
+    assert sizes[1] < 3 * sizes[0]
+
+
 def test_fingerprints_of_one_hot_row(spark):
     docs = [(None, "the same few words again")] * 25_000 + [(1, "x")]
     rows = fp.edited_fingerprints(spark.createDataFrame(docs, "doc_id long, text string"))
