@@ -33,6 +33,8 @@ from tensorloom.llm.common import discard, materialize
 SHARDS, ROUNDS, SLICES = 8, 10, 1024
 #: Documents in a numbering bucket, about; pieces into which the members that ask together are cut in every second round.
 BUCKET, PIECES = 1_000, 16
+#: Buckets whose sums one window holds.
+CHUNK = 10_000
 #: Place of unlinked rows in a shard, behind all groups; those come by the logarithm of their size.
 LOOSE = 64
 
@@ -97,10 +99,15 @@ def numbered(df: DataFrame, by: str, first: Column, key: str, out: str, together
     """
     n = df.count()
     buckets = max(1, -(-n // BUCKET))
-    cut = df.withColumn("_b", first.cast("int") * buckets + F.pmod(F.xxhash64(F.lit(5), key if together is None else together), F.lit(buckets)).cast("int"))
-    sums = cut.groupBy(by, "_b").agg(F.count("*").alias("_n"))
-    # Rows of the table of sums: one per bucket and shard, a few for each BUCKET documents.
-    shift = sums.withColumn("_shift", F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(by, "_b", "_shift")
+    bucket = F.pmod(F.xxhash64(F.lit(5), key if together is None else together), F.lit(buckets))
+    cut = df.withColumn("_b", first.cast("long") * buckets + bucket)
+    # One row per bucket and shard, a few for each BUCKET documents; summed in chunks, and these in turn.
+    sums = cut.groupBy(by, "_b").agg(F.count("*").alias("_n")).withColumn("_c", F.call_function("div", F.col("_b"), F.lit(CHUNK)))
+    before = lambda *part: Window.partitionBy(by, *part[:-1]).orderBy(part[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = sums.groupBy(by, "_c").agg(F.sum("_n").alias("_m"))
+    chunks = chunks.select(by, "_c", F.coalesce(F.sum("_m").over(before("_c")), F.lit(0)).alias("_upto"))
+    near = sums.withColumn("_near", F.coalesce(F.sum("_n").over(before("_c", "_b")), F.lit(0)))
+    shift = near.join(chunks, [by, "_c"]).select(by, "_b", (F.col("_upto") + F.col("_near")).alias("_shift"))
     inside = F.row_number().over(Window.partitionBy(by, "_b").orderBy(*([] if together is None else [together]), key)) - 1
     return cut.withColumn("_i", inside).join(shift, [by, "_b"]).withColumn(out, (F.col("_i") + F.col("_shift")).cast("long")).drop("_b", "_i", "_shift")
 
