@@ -19,8 +19,12 @@ from pyspark.sql import functions as F
 from tensorloom.functions import elementwise as fx
 from tensorloom.plans import einsum as plan
 from tensorloom.plans import scan, select
+from tensorloom.plans.convolve import convolve as long_convolve
 from tensorloom.plans.tables import numbered, ranked
 
+#: Values of a kernel that is sent to all tasks; a longer one goes by blocks.
+SHORT_KERNEL = 256
+
 
 class Span:
     """``first`` to ``last``, both included, by ``step``; negative bounds count from the end (-1 is the last)."""
@@ -630,16 +634,23 @@ class TensorFrame:
         return self._same(out.select(*self.axes, (F.col("v") + F.col("_fix")).alias("v")))
 
     def convolve(self, kernel: TensorFrame, mode: str = "full", down: int = 1) -> TensorFrame:
-        """Rank 1; modes full, same and valid, keeping every ``down``-th value."""
+        """Rank 1; modes full, same and valid, keeping every ``down``-th value.
+
+        Two long series are multiplied by blocks; whole numbers stay exact.
+        """
         if self.rank != 1 or kernel.rank != 1:
             raise ValueError("convolve is for rank 1")
         if self.size < kernel.size:
             return kernel.convolve(self, mode, down)
         n, m = self.size, kernel.size
         lo, count = {"full": (0, n + m - 1), "same": ((m - 1) // 2, n), "valid": (m - 1, n - m + 1)}[mode]
-        # Each value meets every kernel value once: the smaller side is exploded over.
-        small = kernel.df.select(F.col("i0").alias("j"), F.col("v").alias("w"))
-        terms = self.df.crossJoin(F.broadcast(small)).select((F.col("i0") + F.col("j") - lo).alias("i0"), (F.col("v") * F.col("w")).alias("v"))
+        if m > SHORT_KERNEL:
+            whole = all(dict(t.df.dtypes)["v"] in ("tinyint", "smallint", "int", "bigint") for t in (self, kernel))
+            terms = long_convolve(self.df, kernel.df, whole).withColumn("i0", F.col("i0") - lo)
+        else:
+            # Each value meets every kernel value once: the smaller side, at most SHORT_KERNEL values, is exploded over.
+            small = kernel.df.select(F.col("i0").alias("j"), F.col("v").alias("w"))
+            terms = self.df.crossJoin(F.broadcast(small)).select((F.col("i0") + F.col("j") - lo).alias("i0"), (F.col("v") * F.col("w")).alias("v"))
         out = terms.where((F.col("i0") >= 0) & (F.col("i0") < count) & (F.col("i0") % down == 0)).groupBy("i0").agg(F.sum("v").alias("v"))
         return TensorFrame(out.withColumn("i0", F.call_function("div", F.col("i0"), F.lit(down))), (-(-count // down),))
 

@@ -569,6 +569,14 @@ def correlate_events(spark, d):
     return series(spark, d).correlate(k, "valid").df.select("i0", F.round("v", 6).alias("v"))
 
 
+@query(f"SELECT a.i0 + b.j AS i0, round(sum(a.v * b.w), 4) AS v FROM {V_SQL} a, (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS j, p_retailprice / 1e6 AS w FROM part) b GROUP BY 1")
+def convolve_long_events(spark, d):
+    """The series of events by that of all prices: two long series, by blocks."""
+    p = table(spark, d, "part")
+    prices = ranked(p.select("p_partkey", (c("p_retailprice") / 1e6).alias("v")), [c("p_partkey")], "i0").select("i0", "v")
+    return series(spark, d).convolve(TensorFrame(prices, (p.count(),)), "full").df.select("i0", F.round("v", 4).alias("v"))
+
+
 @query("SELECT row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) - 1 AS i0, p_retailprice AS v FROM part")
 def sorted_parts(spark, d):
     p = table(spark, d, "part")
