@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tensorloom.frame import Span, TensorFrame
 from tensorloom.functions import complexnum as cx
 from tensorloom.functions import elementwise as fx
-from tensorloom.operators import arrays, create, linalg, neighbors, spatial, stats, wide
+from tensorloom.operators import arrays, create, density, linalg, neighbors, spatial, stats, wide
 from tensorloom.plans.select import quantiles
 from tensorloom.plans.tables import ranked
 from tensorloom.session import table
@@ -756,12 +756,12 @@ def kmeans_fit_embeddings(spark, d):
 
 @query(f"SELECT a.id FROM {_POINTS} a, {_POINTS} b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 1.2 GROUP BY a.id HAVING count(*) >= 4")
 def dbscan_core_points(spark, d):
-    return neighbors.dbscan(_points(spark, d), ["x", "y"], "id", 1.2, 4).where("core").select("id")
+    return density.dbscan(_points(spark, d), ["x", "y"], "id", 1.2, 4).where("core").select("id")
 
 
 @query(f"WITH RECURSIVE n AS (SELECT a.id AS a, b.id AS b FROM {_POINTS} a, {_POINTS} b WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) < 1.2), core AS (SELECT a AS id FROM n GROUP BY a HAVING count(*) >= 4), reach(id, root) AS (SELECT id, id FROM core UNION SELECT n.b, reach.root FROM reach JOIN n ON n.a = reach.id JOIN core ON core.id = n.b), roots AS (SELECT id, min(root) AS root FROM reach GROUP BY id), border AS (SELECT n.a AS id, min(r.root) AS root FROM n JOIN roots r ON r.id = n.b GROUP BY n.a) SELECT p.id, p.id IN (SELECT id FROM core) AS core, coalesce(r.root, b.root) AS root FROM {_POINTS} p LEFT JOIN roots r ON r.id = p.id LEFT JOIN border b ON b.id = p.id")
 def dbscan_labels(spark, d):
-    return neighbors.dbscan(_points(spark, d), ["x", "y"], "id", 1.2, 4)
+    return density.dbscan(_points(spark, d), ["x", "y"], "id", 1.2, 4)
 
 
 @query("WITH s AS (SELECT i * 20000.0 AS x FROM range(25) t(i)) SELECT x, round(sum(CASE WHEN abs(x - o_totalprice) <= 45000 THEN exp(-0.5 * ((x - o_totalprice) / 15000) ** 2) / sqrt(2 * pi()) ELSE 0 END) / (count(*) * 15000.0) * 1e6, 6) AS density FROM s, orders GROUP BY x")
