@@ -57,3 +57,36 @@ def ranked(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     # One row per range.
     shift = F.broadcast(sums.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")))
     return dealt.withColumn("_i", inside).join(shift, "_b").withColumn(out, (F.col("_i") + F.col("_shift")).cast("bigint")).drop("_b", "_i", "_shift")
+
+
+class Steps:
+    """Tables of an iteration, each computed from the one before, in one folder of the shared one.
+
+    Putting a table deletes those older than the last two, which nothing may read any more.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._n = spark, 0
+        self._home = f"{shared_dir(spark)}/tensorloom-core-{name}-{uuid.uuid4().hex}"
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path = f"{self._home}/{self._n}"
+        df.write.parquet(path)
+        self._n += 1
+        self._drop(self._n - 3)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def keep_last(self) -> None:
+        """At the end of the iteration: only the last table is still read."""
+        self._drop(self._n - 2)
+
+    def drop_all(self) -> None:
+        self._delete(self._home)
+
+    def _drop(self, n: int) -> None:
+        if n >= 0:
+            self._delete(f"{self._home}/{n}")
+
+    def _delete(self, path: str) -> None:
+        p = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self._spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
