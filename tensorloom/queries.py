@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tensorloom.frame import Span, TensorFrame
 from tensorloom.functions import complexnum as cx
 from tensorloom.functions import elementwise as fx
-from tensorloom.operators import arrays, create, density, linalg, neighbors, spatial, stats, wide
+from tensorloom.operators import arrays, create, density, linalg, neighbors, solvers, spatial, stats, wide
 from tensorloom.plans.select import quantiles
 from tensorloom.plans.tables import ranked
 from tensorloom.session import table
@@ -1016,3 +1016,52 @@ def frame_fold_embeddings(spark, d):
 def copysign_events(spark, d):
     x = series(spark, d).df
     return x.select("i0", fx.copysign(c("v"), c("v") - 0.5).alias("signed"), fx.almost_equal(c("v"), F.lit(0.5)).alias("half"))
+
+
+# -- matrices that no driver holds -----------------------------------------------------------
+
+#: Suppliers (even numbers) and parts (odd numbers), linked by their line items.
+_LINKS = "SELECT l_suppkey * 2 AS s, l_partkey * 2 + 1 AS p, count(*) AS w FROM lineitem GROUP BY l_suppkey, l_partkey"
+
+
+def _links(spark, d):
+    """(i, j, v): line items per supplier and part, both ways."""
+    both = F.explode(F.array(F.struct((c("l_suppkey") * 2).alias("i"), (c("l_partkey") * 2 + 1).alias("j")), F.struct((c("l_partkey") * 2 + 1).alias("i"), (c("l_suppkey") * 2).alias("j")))).alias("_e")
+    return table(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").count().select(both, c("count").cast("double").alias("v")).select(c("_e.i").cast("bigint").alias("i"), c("_e.j").cast("bigint").alias("j"), "v")
+
+
+@query(
+    f"WITH RECURSIVE e AS (SELECT s AS i, p AS j, w FROM ({_LINKS}) UNION ALL SELECT p, s, w FROM ({_LINKS})), "
+    "b AS (SELECT i, sum(q) AS b, sum(w) AS d FROM (SELECT unnest([l_suppkey * 2, l_partkey * 2 + 1]) AS i, l_quantity::DOUBLE AS q, 1 AS w FROM lineitem) GROUP BY i), "
+    "t AS (SELECT 0 AS step, i, 0.0::DOUBLE AS x FROM b UNION ALL SELECT t.step + 1, e.i, (any_value(b.b) + sum(e.w * t.x)) / (2 * any_value(b.d)) FROM t JOIN e ON e.j = t.i JOIN b ON b.i = e.i WHERE t.step < 60 GROUP BY t.step, e.i) "
+    "SELECT i::BIGINT AS node, round(x, 5) AS level FROM t WHERE step = 60"
+)
+def graph_solve_lineitem(spark, d):
+    """Quantities smoothed over the graph of suppliers and parts: (2 D - W) x = b, b the quantity at a node; SQL iterates the fixed point."""
+    w = _links(spark, d)
+    degrees = w.groupBy("i").agg((2 * F.sum("v")).alias("v")).select("i", c("i").alias("j"), "v")
+    a = w.withColumn("v", -c("v")).unionByName(degrees)
+    ends = F.explode(F.array((c("l_suppkey") * 2).cast("bigint"), (c("l_partkey") * 2 + 1).cast("bigint"))).alias("i")
+    b = table(spark, d, "lineitem").select(ends, c("l_quantity").cast("double").alias("v"))
+    x, _ = solvers.conjugate_gradient(a, b, tolerance=1e-12)
+    return x.select(c("i").alias("node"), r(c("v"), 5).alias("level"))
+
+
+@query("WITH n AS (SELECT unnest([l_suppkey * 2, l_partkey * 2 + 1]) AS i FROM lineitem), d AS (SELECT i, count(*) AS d FROM n GROUP BY i) SELECT i::BIGINT AS node, 1.0::DOUBLE AS eigenvalue, round(sqrt(d / sum(d) OVER ()), 5) AS entry FROM d")
+def graph_eigen_lineitem(spark, d):
+    """The leading eigenpair of the normalised links: 1, and roots of shares of the degrees."""
+    w = _links(spark, d)
+    degree = w.groupBy("i").agg(F.sum("v").alias("d"))
+    scaled = w.join(degree, "i").join(degree.select(c("i").alias("j"), c("d").alias("dj")), "j").select("i", "j", (c("v") / F.sqrt(c("d") * c("dj"))).alias("v"))
+    values, vectors = solvers.eigenpairs(scaled, 1)
+    return vectors.select(c("i").alias("node"), F.lit(round(float(values[0]), 8)).alias("eigenvalue"), r(F.get("e", 0), 5).alias("entry"))
+
+
+@query("WITH m AS (SELECT c_nationkey AS k, avg(o_totalprice / 1000) AS m FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey), o AS (SELECT sum(m) / (count(*) + 1) AS x FROM m) SELECT 0::BIGINT AS j, round(x, 5) AS v FROM o UNION ALL SELECT (k + 1)::BIGINT, round(m - x, 5) + 0.0 FROM m, o")
+def pinv_times_orders(spark, d):
+    """Least squares of least norm: thousands of price by a common level (0) and one for each nation, a matrix short of full rank."""
+    x = table(spark, d, "orders").join(table(spark, d, "customer"), c("o_custkey") == c("c_custkey"))
+    x = x.select(c("o_orderkey").cast("bigint").alias("i"), (c("c_nationkey") + 1).cast("bigint").alias("k"), (c("o_totalprice") / 1000).alias("y"))
+    a = x.select("i", F.explode(F.array(F.lit(0).cast("bigint"), c("k"))).alias("j"), F.lit(1.0).alias("v"))
+    found, _ = solvers.least_squares(a, x.select("i", c("y").alias("v")))
+    return found.select("j", r(c("v"), 5).alias("v"))
