@@ -6,6 +6,7 @@ k x k problem; the number of rows is not limited.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -95,18 +96,24 @@ def tsqr(df: DataFrame, id_col: str, vec_col: str, k: int) -> tuple[DataFrame, n
     return q, r
 
 
-def least_squares(df: DataFrame, vec_col: str, y_col: str, k: int, rcond: float | None = None) -> dict:
-    """Minimum-norm solution with residual sum, rank and singular values, from one QR pass over (X | y)."""
-    both = df.select(F.lit(0).alias("_id"), F.concat(F.col(vec_col).cast("array<double>"), F.array(F.col(y_col).cast("double"))).alias("_xy"))
+def least_squares(df: DataFrame, vec_col: str, y_col: str | Sequence[str], k: int, rcond: float | None = None) -> dict:
+    """Minimum-norm solution with residual sum, rank and singular values, from one QR pass over (X | y).
+
+    Several right-hand sides give a column of the solution and a residual each.
+    """
+    names = [y_col] if isinstance(y_col, str) else list(y_col)
+    both = df.select(F.lit(0).alias("_id"), F.concat(F.col(vec_col).cast("array<double>"), F.array(*[F.col(y).cast("double") for y in names])).alias("_xy"))
     n = df.count()
-    _, r = tsqr(both, "_id", "_xy", k + 1)
-    full = np.zeros((k + 1, k + 1))
+    _, r = tsqr(both, "_id", "_xy", k + len(names))
+    full = np.zeros((k + len(names), k + len(names)))
     full[: len(r)] = r
-    a, b = full[:k, :k], full[:k, k]
+    a, b = full[:k, :k], full[:k, k:]
     u, s, vt = np.linalg.svd(a)
     cut = s > (np.finfo(float).eps * max(n, k) if rcond is None or rcond < 0 else rcond) * s[0]
-    x = vt[cut].T @ ((u[:, cut].T @ b) / s[cut])
-    resid = float(full[k, k] ** 2 + np.sum((b - a @ x) ** 2))
+    x = vt[cut].T @ ((u[:, cut].T @ b) / s[cut][:, None])
+    resid = (full[k:, k:] ** 2).sum(axis=0) + ((b - a @ x) ** 2).sum(axis=0)
+    if isinstance(y_col, str):
+        x, resid = x[:, 0], float(resid[0])
     return {"solution": x, "residual": resid, "rank": int(cut.sum()), "singular_values": s}
 
 

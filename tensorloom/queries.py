@@ -500,21 +500,32 @@ def upsample_all_embeddings(spark, d):
     return vectors(spark, d).upsample(2, phase=1).df
 
 
-@query("SELECT i::BIGINT AS i0, j::BIGINT AS i1, round(1.0 / (i + j + 1), 10) AS hilbert, round(pow(i + 1, j), 4) AS vander, ((i - j + 12) % 6)::BIGINT AS circulant FROM range(6) a(i), range(6) b(j)")
+#: Suppliers in the order of their keys, with their nations as small whole numbers.
+_SERIES_SQL = "WITH s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_nationkey AS k FROM supplier), n AS (SELECT count(*) AS n FROM s) "
+
+
+def _supplier_series(spark, d):
+    out = ranked(table(spark, d, "supplier"), [c("s_suppkey")], "i0").select("i0", c("s_nationkey").cast("bigint").alias("v"))
+    return TensorFrame(out, (out.count(),))
+
+
+@query(_SERIES_SQL + "SELECT a.i AS i0, b.i AS i1, round(1.0 / (a.i + b.i + 1), 10) AS hilbert, round(pow(a.k / 25.0, b.i), 8) AS vander, c.k::BIGINT AS circulant FROM s a, s b, n, s c WHERE c.i = (a.i - b.i + n) % n")
 def special_matrices(spark, d):
-    x = create.arange(spark, 1, 7)
-    k = create.arange(spark, 0, 6)
-    h = create.hilbert(spark, 6).df.select("i0", "i1", F.round("v", 10).alias("hilbert"))
-    v = create.vandermonde(x).df.select("i0", "i1", F.round("v", 4).alias("vander"))
+    """Matrices of as many rows as there are suppliers, made of their nations."""
+    k = _supplier_series(spark, d)
+    h = create.hilbert(spark, k.size).df.select("i0", "i1", F.round("v", 10).alias("hilbert"))
+    v = create.vandermonde(k / 25.0).df.select("i0", "i1", F.round("v", 8).alias("vander"))
     return h.join(v, ["i0", "i1"]).join(create.circulant(k).df.select("i0", "i1", c("v").cast("bigint").alias("circulant")), ["i0", "i1"])
 
 
-@query("SELECT i::BIGINT AS i0, round(2 + i * 0.5, 8) AS ar, round(i * (10.0 / 19), 8) AS li, round(pow(10, i * (2.0 / 19)), 6) AS lo, round(exp(ln(1) + i * ((ln(100) - ln(1)) / 19)), 6) AS ge FROM range(20) t(i)")
+@query("WITH b AS (SELECT min(s_acctbal) AS a, max(s_acctbal) AS z, count(*) AS n FROM supplier) SELECT i AS i0, round(a + i * 0.5, 6) AS ar, round(a + i * ((z - a) / (n - 1)), 6) AS li, round(pow(2, i * (10.0 / (n - 1))), 6) AS lo, round(exp(i * (ln(1 + z - a) / (n - 1))), 5) AS ge FROM b, (SELECT unnest(range(n)) AS i FROM b)")
 def ranges_and_spaces(spark, d):
-    parts = {"ar": create.arange(spark, 2.0, 12.0, 0.5), "li": create.linspace(spark, 0, 10, 20), "lo": create.logspace(spark, 0, 2, 20), "ge": create.geomspace(spark, 1, 100, 20)}
+    """Between the least and the greatest balance, a value for each supplier."""
+    a, z, n = table(spark, d, "supplier").agg(F.min("s_acctbal"), F.max("s_acctbal"), F.count("*")).first()
+    parts = {"ar": create.arange(spark, a, a + n * 0.5 - 0.25, 0.5), "li": create.linspace(spark, a, z, n), "lo": create.logspace(spark, 0, 10, n, base=2.0), "ge": create.geomspace(spark, 1.0, 1 + z - a, n)}
     out = None
     for k, t in parts.items():
-        df = t.df.select("i0", F.round("v", 6 if k in ("lo", "ge") else 8).alias(k))
+        df = t.df.select("i0", F.round("v", 5 if k == "ge" else 6).alias(k))
         out = df if out is None else out.join(df, "i0")
     return out
 
@@ -920,10 +931,11 @@ def _positive_rows(t: TensorFrame) -> TensorFrame:
     return t[Span(), 0].squeeze(1).map(lambda v: v > 0)
 
 
-@query("SELECT i::BIGINT AS i0, j::BIGINT AS i1, CASE WHEN i = j THEN 1.0 ELSE 0.0 END::DOUBLE AS eye, abs(i - j)::DOUBLE AS toeplitz, CASE WHEN i + j < 6 THEN i + j ELSE 0 END::DOUBLE AS hankel FROM range(6) a(i), range(6) b(j)")
+@query(_SERIES_SQL + "SELECT a.i AS i0, b.i AS i1, CASE WHEN a.i = b.i THEN 1.0 ELSE 0.0 END::DOUBLE AS eye, t.k::DOUBLE AS toeplitz, coalesce(h.k, 0)::DOUBLE AS hankel FROM s a CROSS JOIN s b JOIN s t ON t.i = abs(a.i - b.i) LEFT JOIN s h ON h.i = a.i + b.i")
 def structured_matrices(spark, d):
-    k = create.arange(spark, 0, 6)
-    named = {"eye": create.identity(spark, 6), "toeplitz": create.toeplitz(k), "hankel": create.hankel(k)}
+    """As many rows as there are suppliers; diagonals and anti-diagonals hold their nations."""
+    k = _supplier_series(spark, d)
+    named = {"eye": create.identity(spark, k.size), "toeplitz": create.toeplitz(k), "hankel": create.hankel(k)}
     eye, toeplitz, hankel = (t.dense().df.select("i0", "i1", c("v").cast("double").alias(name)) for name, t in named.items())
     return eye.join(toeplitz, ["i0", "i1"]).join(hankel, ["i0", "i1"])
 
@@ -1000,11 +1012,14 @@ def cast_embeddings(spark, d):
     return (vectors(spark, d) * 100.0).cast("bigint").df
 
 
-@query("SELECT 1000::BIGINT AS n, true AS inside, true AS spread")
+@query("SELECT count(*) * 10 AS n, min(p_retailprice) AS low, max(p_retailprice) AS high, true AS inside, true AS level, true AS normal FROM part")
 def random_frame(spark, d):
-    """Counts and bounds of uniform numbers, which differ by partitioning otherwise."""
-    t = create.random_uniform(spark, (100, 10), 2.0, 3.0, seed=7).df
-    return t.agg(F.count("*").alias("n"), F.bool_and((c("v") >= 2) & (c("v") < 3)).alias("inside"), (F.countDistinct("v") > 900).alias("spread"))
+    """Ten numbers for each part between the least and the greatest price: their count, bounds and means within six standard errors."""
+    low, high, n = table(spark, d, "part").agg(F.min("p_retailprice"), F.max("p_retailprice"), F.count("*")).first()
+    u = create.random_uniform(spark, (n, 10), low, high, seed=7).df
+    g = create.random_normal(spark, (n, 10), low, high - low, seed=8).df.agg((F.abs(F.avg("v") - low) < 6 * (high - low) / math.sqrt(10 * n)).alias("normal"))
+    level = F.abs(F.avg("v") - (low + high) / 2) < 6 * (high - low) / math.sqrt(120 * n)
+    return u.agg(F.count("*").alias("n"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.bool_and((c("v") >= low) & (c("v") < high)).alias("inside"), level.alias("level")).crossJoin(g)
 
 
 @query(f"SELECT i0, round(list_reduce(list(v ORDER BY i1), lambda s, x: s * 0.5 + x), 8) AS folded FROM {E_SQL} GROUP BY i0")
@@ -1065,3 +1080,27 @@ def pinv_times_orders(spark, d):
     a = x.select("i", F.explode(F.array(F.lit(0).cast("bigint"), c("k"))).alias("j"), F.lit(1.0).alias("v"))
     found, _ = solvers.least_squares(a, x.select("i", c("y").alias("v")))
     return found.select("j", r(c("v"), 5).alias("v"))
+
+
+@query("SELECT 'price' AS target, round(regr_intercept(l_extendedprice, l_quantity), 2) AS intercept, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem UNION ALL SELECT 'discount', round(regr_intercept(l_discount, l_quantity), 6), round(regr_slope(l_discount, l_quantity), 8), round(regr_r2(l_discount, l_quantity), 6) FROM lineitem")
+def lstsq_two_targets_lineitem(spark, d):
+    """Two right-hand sides against the same matrix, in one pass."""
+    x = table(spark, d, "lineitem").select(F.array(F.lit(1.0), c("l_quantity")).alias("x"), c("l_extendedprice").alias("price"), c("l_discount").alias("discount"))
+    names = ["price", "discount"]
+    found = linalg.least_squares(x, "x", names, 2)
+    total = x.agg(*[(F.var_pop(y) * F.count(y)).alias(y) for y in names]).first()
+    rows = [(y, round(float(found["solution"][0, k]), 6 if k else 2), round(float(found["solution"][1, k]), 8 if k else 4), round(1 - float(found["residual"][k]) / total[y], 6) + 0.0) for k, y in enumerate(names)]
+    return spark.createDataFrame(rows, "target string, intercept double, slope double, r2 double")
+
+
+@query(f"SELECT i0, i1, v FROM {E_SQL}")
+def npy_roundtrip_embeddings(spark, d):
+    """Written as npy parts by all tasks, and read again by ranges."""
+    import uuid
+
+    from tensorloom.plans.tables import shared_dir
+    from tensorloom.sources import npy
+
+    path = f"{shared_dir(spark)}/tensorloom-npy-{uuid.uuid4().hex}"
+    npy.write(vectors(spark, d), path, size=1 << 22)
+    return npy.read(spark, path, size=1 << 20).df

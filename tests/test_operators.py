@@ -57,6 +57,8 @@ def test_least_squares(spark, matrix):
     df = spark.createDataFrame([(row.tolist(), float(t)) for row, t in zip(a, y, strict=True)], "x array<double>, y double")
     got, want = linalg.least_squares(df, "x", "y", 6), np.linalg.lstsq(a, y, rcond=None)
     assert np.allclose(got["solution"], want[0]) and np.isclose(got["residual"], want[1][0]) and got["rank"] == want[2]
+    two, want = linalg.least_squares(df.withColumn("z", F.col("y") ** 2), "x", ["y", "z"], 6), np.linalg.lstsq(a, np.stack([y, y**2], axis=1), rcond=None)
+    assert np.allclose(two["solution"], want[0]) and np.allclose(two["residual"], want[1])
 
 
 def test_wide_covariance(spark):
