@@ -150,3 +150,11 @@ def test_precedes(spark):
     a, b, c = (TensorFrame.from_nested(spark, x) for x in ([1, 2, 3], [1, 3, 0], [1, 2]))
     assert a.precedes(b) and not b.precedes(a) and not a.precedes(a)
     assert c.precedes(a) and not a.precedes(c) and c.precedes(b)
+
+
+def test_masked_axis_select_on_a_long_axis(spark):
+    """More places than one chunk of the numbering holds."""
+    n = 70_000
+    t = TensorFrame.generate(spark, (n, 1), lambda i, j: i)
+    mask = TensorFrame.generate(spark, (n,), lambda i: i % 35_000 == 34_999)
+    assert [(r["i0"], r["v"]) for r in t.masked_axis_select(mask, 0).df.orderBy("i0").collect()] == [(0, 34_999), (1, 69_999)]
