@@ -39,3 +39,13 @@ def test_whole_tensor_queries_leave_no_row_out(spark, sf_dir, name):
     n = spark.read.parquet(f"{sf_dir}/embeddings.parquet").count()
     for query in (f"{name}_embeddings", f"{name}_all_embeddings"):
         assert n > 100 and core.QUERIES[query](spark, sf_dir).count() == n * (128 if name == "upsample" else 64)
+
+
+def test_unwrap_of_jumps_by_half_a_period(spark, tmp_path):
+    """Jumps of half a period that rounding makes a little less: query and SQL decide alike."""
+    import pandas as pd
+
+    jumps = [0.0, 5.65, 20.65, 10.06, 25.06, 63.13, 126.13, 3.13, 0.13]
+    pd.DataFrame({"event_id": range(len(jumps)), "value": jumps}).to_parquet(tmp_path / "events.parquet")
+    want = database(str(tmp_path)).execute(core.ORACLE["unwrap_events"]).df()
+    assert not differences(core.QUERIES["unwrap_events"](spark, str(tmp_path)).toPandas(), want)
