@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.functions import elementwise as fx
+from tensorloom.plans import convolve as long
 from tensorloom.plans import einsum as plan
 from tensorloom.plans import scan, select
-from tensorloom.plans.convolve import convolve as long_convolve
 from tensorloom.plans.tables import numbered, ranked
 
 #: Values of a kernel that is sent to all tasks; a longer one goes by blocks.
@@ -646,12 +646,14 @@ class TensorFrame:
         lo, count = {"full": (0, n + m - 1), "same": ((m - 1) // 2, n), "valid": (m - 1, n - m + 1)}[mode]
         if m > SHORT_KERNEL:
             whole = all(dict(t.df.dtypes)["v"] in ("tinyint", "smallint", "int", "bigint") for t in (self, kernel))
-            terms = long_convolve(self.df, kernel.df, whole).withColumn("i0", F.col("i0") - lo)
+            by_transform = not whole and long.suited(self.df, kernel.df, n, m)
+            out = long.transformed(self.df, kernel.df, n, m) if by_transform else long.convolve(self.df, kernel.df, whole)
+            out = out.withColumn("i0", F.col("i0") - lo)
         else:
             # Each value meets every kernel value once: the smaller side, at most SHORT_KERNEL values, is exploded over.
             small = kernel.df.select(F.col("i0").alias("j"), F.col("v").alias("w"))
-            terms = self.df.crossJoin(F.broadcast(small)).select((F.col("i0") + F.col("j") - lo).alias("i0"), (F.col("v") * F.col("w")).alias("v"))
-        out = terms.where((F.col("i0") >= 0) & (F.col("i0") < count) & (F.col("i0") % down == 0)).groupBy("i0").agg(F.sum("v").alias("v"))
+            out = self.df.crossJoin(F.broadcast(small)).select((F.col("i0") + F.col("j") - lo).alias("i0"), (F.col("v") * F.col("w")).alias("v")).groupBy("i0").agg(F.sum("v").alias("v"))
+        out = out.where((F.col("i0") >= 0) & (F.col("i0") < count) & (F.col("i0") % down == 0))
         return TensorFrame(out.withColumn("i0", F.call_function("div", F.col("i0"), F.lit(down))), (-(-count // down),))
 
     def correlate(self, kernel: TensorFrame, mode: str = "valid", down: int = 1) -> TensorFrame:

@@ -52,3 +52,29 @@ def test_down_and_correlate(spark):
     a, b = rng.normal(size=700), rng.normal(size=290)
     assert np.allclose(values(line(spark, a).convolve(line(spark, b), "full", 7)), np.convolve(a, b)[::7])
     assert np.allclose(values(line(spark, a).correlate(line(spark, b))), np.correlate(a, b, "valid"))
+
+
+@pytest.mark.parametrize("n,m,strip", [(1000, 301, 4), (700, 699, 64), (5, 3, 64), (2049, 2000, 16)])
+def test_transform_of_the_whole(spark, n, m, strip):
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=n), rng.normal(size=m)
+    df = blocks.transformed(line(spark, a).df, line(spark, b).df, n, m, strip=strip)
+    assert np.allclose(values(TensorFrame(df, (n + m - 1,))), np.convolve(a, b))
+
+
+@pytest.mark.parametrize("mode", ["full", "same", "valid"])
+def test_long_series_go_by_the_transform(spark, monkeypatch, mode):
+    """Never by pairs of blocks, and without sending copies of blocks to the driver."""
+    monkeypatch.setattr(blocks, "PAIRS", 0)
+    a, b = np.random.default_rng(5).normal(size=(2, 900))
+    a, b = line(spark, a), line(spark, b[:400])
+    want = np.convolve(values(a), values(b), mode)
+    out = a.convolve(b, mode)
+    assert np.allclose(values(out), want)
+    assert "Join" not in out.df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_not_broadcast(spark):
+    a = line(spark, np.arange(900))
+    plan = a.convolve(a).df._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
