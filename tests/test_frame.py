@@ -158,3 +158,26 @@ def test_masked_axis_select_on_a_long_axis(spark):
     t = TensorFrame.generate(spark, (n, 1), lambda i, j: i)
     mask = TensorFrame.generate(spark, (n,), lambda i: i % 35_000 == 34_999)
     assert [(r["i0"], r["v"]) for r in t.masked_axis_select(mask, 0).df.orderBy("i0").collect()] == [(0, 34_999), (1, 69_999)]
+
+
+def test_special_matrices_side_by_side(spark):
+    """Of one pass over the cells: nothing but the series is sent, and cells are never shuffled."""
+    x = np.array([3, 1, 4, 1, 5])
+    k = TensorFrame.from_nested(spark, x)
+    out = create.beside(spark, eye=create.identity_filling(5), hankel=create.hankel_filling(k), toeplitz=create.toeplitz_filling(k), circulant=create.circulant_filling(k), vander=create.vandermonde_filling(k))
+    i, j = np.indices((5, 5))
+    want = {"eye": np.eye(5), "hankel": np.where(i + j < 5, x[(i + j) % 5], 0), "toeplitz": x[abs(i - j)], "circulant": x[(i - j) % 5], "vander": np.vander(x, increasing=True)}
+    rows = out.collect()
+    assert len(rows) == 25 and all(r[name] == a[r["i0"], r["i1"]] for r in rows for name, a in want.items())
+    with pytest.raises(ValueError):
+        create.beside(spark, a=create.hilbert_filling(4), b=create.identity_filling(5))
+
+
+@pytest.mark.parametrize("name", ["special_matrices", "structured_matrices"])
+def test_cells_of_matrices_are_not_joined(spark, sf_dir, name):
+    from tensorloom import queries as core
+
+    plan = core.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    # What is broadcast has a row per supplier, and comes from its table alone.
+    assert plan.count("BroadcastExchange") == plan.count("BroadcastHashJoin") and plan.count("Range (") == 1
