@@ -18,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -31,8 +32,8 @@ from tensorloom.plans.tables import settle
 LEAF, MOST_CELLS, SAMPLE = 1024, 16_384, 50_000
 #: Numbers in the sample and in all boxes, at most: both are on the driver and in every task.
 NUMBERS = 2_000_000
-#: Points or queries in a packed row.
-PART = 2048
+#: Points or queries in a packed row; rows of an answer handed over at once, about.
+PART, ROWS = 2048, 100_000
 
 
 @dataclass
@@ -99,12 +100,43 @@ class KdIndex:
     high: np.ndarray
     packed: DataFrame  # cell, ids, xs: parts of at most PART points
 
-    def reached(self, x: np.ndarray, radius: np.ndarray, p: float) -> Iterator[np.ndarray]:
-        """For each point the cells whose box is within its radius."""
-        for q, r in zip(x, radius):
-            gaps = np.maximum(np.maximum(self.low - q, q - self.high), 0)
+    def reached(self, x: np.ndarray, radius: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row of ``x``, cell) for each cell whose box is within a point's radius.
+
+        All points go down the splits together; a node's box holds those of its cells,
+        so a branch is left by the points that do not reach it.
+        """
+        rows, cells = [], []
+        todo = [(0 if len(self.splits.dim) else -1, np.arange(len(x)))]
+        while todo:
+            node, at = todo.pop()
+            low, high = (self.low[-1 - node], self.high[-1 - node]) if node < 0 else (self.nodes[0][node], self.nodes[1][node])
+            if np.isinf(low).any() and not (low <= high).all():
+                continue  # no points
+            gaps = np.maximum(np.maximum(low - x[at], x[at] - high), 0)
             # Rounding may make a box seem farther than its points are.
-            yield np.flatnonzero(norm(gaps, p) <= r * (1 + 1e-9))
+            at = at[norm(gaps, p) <= radius[at] * (1 + 1e-9)]
+            if not len(at):
+                continue
+            if node < 0:
+                rows.append(at)
+                cells.append(np.full(len(at), -1 - node))
+            else:
+                todo += [(int(self.splits.low[node]), at), (int(self.splits.high[node]), at)]
+        none = np.zeros(0, int)
+        return np.concatenate([none, *rows]), np.concatenate([none, *cells])
+
+    @cached_property
+    def nodes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Boxes of the inner nodes; children have higher numbers than their node."""
+        n = len(self.splits.dim)
+        low, high = np.full((n, self.low.shape[1]), math.inf), np.full((n, self.low.shape[1]), -math.inf)
+        for k in range(n - 1, -1, -1):
+            for child in (int(self.splits.low[k]), int(self.splits.high[k])):
+                lo, hi = (self.low[-1 - child], self.high[-1 - child]) if child < 0 else (low[child], high[child])
+                np.minimum(low[k], lo, out=low[k])
+                np.maximum(high[k], hi, out=high[k])
+        return low, high
 
 
 def _located(df: DataFrame, id_col: str, vec_col: str, splits: Splits) -> DataFrame:
@@ -166,6 +198,7 @@ def _met(index: KdIndex, asks: DataFrame, p: float, k: int | None, exclude_self:
     met = _packed(asks, sizes, "r").withColumnsRenamed({"ids": "qs", "xs": "qxs"}).join(index.packed, "cell")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found, many = [], 0
         for f in frames:
             for qs, qxs, r, ids, xs in zip(f["qs"], f["qxs"], f["r"], f["ids"], f["xs"]):
                 qs, r, ids = np.frombuffer(qs, np.int64), np.frombuffer(r), np.frombuffer(ids, np.int64)
@@ -184,7 +217,13 @@ def _met(index: KdIndex, asks: DataFrame, p: float, k: int | None, exclude_self:
                         np.put_along_axis(chosen, best, True, 1)
                         near &= chosen
                     i, j = np.nonzero(near)
-                    yield pd.DataFrame({"q": qs[a + i], "id": ids[j], "d": dist[i, j]})
+                    found.append((qs[a + i], ids[j], dist[i, j]))
+                    many += len(i)
+                    if many >= ROWS:
+                        yield pd.DataFrame(dict(zip(("q", "id", "d"), map(np.concatenate, zip(*found)))))
+                        found, many = [], 0
+        if many:
+            yield pd.DataFrame(dict(zip(("q", "id", "d"), map(np.concatenate, zip(*found)))))
 
     return met.select("qs", "qxs", "r", "ids", "xs").mapInPandas(run, "q long, id long, d double")
 
@@ -194,12 +233,13 @@ def _sent(index: KdIndex, queries: DataFrame, p: float, but_own: bool) -> DataFr
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            out = []
             if len(f):
-                cells = index.splits, index.low, index.high
-                for own, i, x, r, to in zip(f["cell"], f["id"], f["x"], f["r"], KdIndex(*cells, None).reached(np.stack(f["x"].to_list()), f["r"].to_numpy(float), p)):
-                    out += [(int(c), i, x, r) for c in to if not (but_own and c == own)]
-            yield pd.DataFrame(out, columns=["cell", "id", "x", "r"])
+                at, cells = index.reached(np.stack(f["x"].to_list()), f["r"].to_numpy(float), p)
+                if but_own:
+                    other = cells != f["cell"].to_numpy()[at]
+                    at, cells = at[other], cells[other]
+                for a in range(0, len(at), ROWS):
+                    yield f.iloc[at[a : a + ROWS]].assign(cell=cells[a : a + ROWS])[["cell", "id", "x", "r"]]
 
     index = KdIndex(index.splits, index.low, index.high, None)
     return queries.mapInPandas(run, "cell long, id long, x array<double>, r double")

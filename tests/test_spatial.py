@@ -75,3 +75,22 @@ def test_splits_cover_the_space():
 def test_empty(spark):
     none = spark.createDataFrame([], "id long, x array<double>")
     assert nearest(build_index(none, "id", "x"), none, "id", "x", 2).count() == 0
+
+
+def test_boxes_are_found_along_the_splits(monkeypatch):
+    """The boxes that are looked at grow with those reached, not with all; the cells are those of a plain search."""
+    rng = np.random.default_rng(3)
+    x = rng.random((20_000, 2))
+    s = split(x, 1024)
+    cell = s.locate(x)
+    low, high = np.full((s.cells, 2), np.inf), np.full((s.cells, 2), -np.inf)
+    np.minimum.at(low, cell, x)
+    np.maximum.at(high, cell, x)
+    low[5], high[5] = np.inf, -np.inf  # a cell without points
+    q, r = rng.random((300, 2)), rng.random(300) * 0.02
+    seen, plain = [], spatial.norm
+    monkeypatch.setattr(spatial, "norm", lambda gaps, p: seen.append(len(gaps)) or plain(gaps, p))
+    at, cells = spatial.KdIndex(s, low, high, None).reached(q, r, 2.0)
+    gaps = plain(np.maximum(np.maximum(low - q[:, None, :], q[:, None, :] - high), 0), 2.0)
+    assert set(zip(at.tolist(), cells.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(gaps <= r[:, None]))))
+    assert sum(seen) < 300 * 60
