@@ -121,3 +121,18 @@ def test_tokens_and_losses(spark):
     x = F.array(F.lit(1.0), F.lit(1000.0))
     assert one(spark, arrays.softmax_cross_entropy(x, F.lit(1))) == 0.0
     assert one(spark, arrays.logsumexp(x)) == 1000.0
+
+
+def test_blocks_of_queries_meet_blocks_of_points(spark, monkeypatch):
+    """Neighbours and distances over several blocks each way; ties by id, no pair ranked or sent that a block rules out."""
+    monkeypatch.setattr(neighbors, "MET", 30)
+    monkeypatch.setattr(neighbors, "LISTED", (7, 30))
+    x = np.random.default_rng(7).integers(0, 4, (120, 3)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    d = np.sqrt(((x[::5, None, :] - x[None, :, :]) ** 2).sum(-1))
+    got = neighbors.knn(df, df.where("id % 5 = 0"), "id", "v", 4, exclude_self=True, block=9)
+    assert "CartesianProduct" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "NestedLoop" not in plan
+    want = {(5 * q, int(i), k + 1) for q, row in enumerate(d) for k, i in enumerate([i for i in np.lexsort((np.arange(120), row)) if i != 5 * q][:4])}
+    assert {(r["q"], r["id"], r["rank"]) for r in got.collect()} == want
+    every = neighbors.distance_matrix(df.where("id % 5 = 0"), df, "id", "v").collect()
+    assert len(every) == 24 * 120 and all(abs(r["d"] - d[r["i"] // 5, r["j"]]) < 1e-12 for r in every)
