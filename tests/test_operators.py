@@ -136,3 +136,16 @@ def test_blocks_of_queries_meet_blocks_of_points(spark, monkeypatch):
     assert {(r["q"], r["id"], r["rank"]) for r in got.collect()} == want
     every = neighbors.distance_matrix(df.where("id % 5 = 0"), df, "id", "v").collect()
     assert len(every) == 24 * 120 and all(abs(r["d"] - d[r["i"] // 5, r["j"]]) < 1e-12 for r in every)
+
+
+def test_radius_join_of_a_crowded_cell(spark, monkeypatch):
+    """All points in a few cells: each cell is met in parts, and by more than one task."""
+    monkeypatch.setattr(neighbors, "PAIRS", 2000)
+    x = np.random.default_rng(11).random((400, 2)) * 1.5
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, x double, y double")
+    out = neighbors.radius_join(df, df, ["x", "y"], "id", 0.9)
+    d = np.sqrt(((x[:, None, :] - x[None, :, :]) ** 2).sum(-1))
+    found = out.withColumn("task", F.spark_partition_id()).collect()
+    assert {(r["a_id"], r["b_id"]) for r in found} == set(zip(*(v.tolist() for v in np.nonzero(d < 0.9)))) and len(found) == (d < 0.9).sum()
+    per_task = np.bincount([r["task"] for r in found])
+    assert per_task.max() < len(found) / 4
