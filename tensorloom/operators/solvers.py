@@ -12,32 +12,64 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tensorloom.plans.tables import Steps
+from tensorloom.plans.tables import Steps, settle
+
+
+#: Entries of one row or column that are kept together; longer ones are cut by their other index.
+HEAVY = 1 << 19
+
+
+@dataclass
+class Dealt:
+    """Entries (i, j, v) spread and sorted by one index; ``heavy`` (_at, _parts) tells which values of it are cut, if any."""
+
+    entries: DataFrame
+    by: str
+    heavy: DataFrame | None
 
 
 @contextmanager
-def _dealt(a: DataFrame, by: str) -> Iterator[DataFrame]:
-    """The entries of ``a``, summed up per cell and spread by one of their indices until the end of the scope."""
+def _dealt(a: DataFrame, by: str) -> Iterator[Dealt]:
+    """The entries of ``a``, summed up per cell and spread by one of their indices until the end of the scope.
+
+    They are sorted once, so that a step merges them with a vector as they lie.
+    """
     parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = a.groupBy("i", "j").agg(F.sum(F.col("v").cast("double")).alias("v"))
-    kept = cells.repartition(parts, by).persist(StorageLevel.DISK_ONLY)
+    longest = a.groupBy(F.col(by).alias("_at")).count().where(F.col("count") > HEAVY)
+    heavy = settle(longest.select("_at", F.ceil(F.col("count") / HEAVY).cast("int").alias("_parts")), "heavy")
+    keys = [by]
+    if heavy.take(1):
+        # At most one row for each HEAVY entries.
+        known, other = F.broadcast(heavy), "j" if by == "i" else "i"
+        cut = F.pmod(F.xxhash64(other), F.coalesce("_parts", F.lit(1))).cast("int")
+        cells, keys = cells.join(known, cells[by] == F.col("_at"), "left").select("i", "j", "v", cut.alias("_s")), [by, "_s"]
+    else:
+        heavy = None
+    kept = cells.repartition(parts, *keys).sortWithinPartitions(*keys).persist(StorageLevel.DISK_ONLY)
     try:
-        yield kept
+        yield Dealt(kept, by, heavy)
     finally:
         kept.unpersist()
 
 
-def _times(a: DataFrame, x: DataFrame, value: str, out: str, by: str = "j") -> DataFrame:
-    """(i, out): matrix times vector; with ``by`` i, its transpose times the vector."""
-    to = "i" if by == "j" else "j"
+def _times(a: Dealt, x: DataFrame, value: str, out: str) -> DataFrame:
+    """(i, out): matrix times vector if ``a`` is dealt by j; by i, its transpose times the vector."""
+    to, m = "i" if a.by == "j" else "j", a.entries
     v = x.select(F.col("i").alias("_at"), F.col(value).alias("_x"))
-    return a.join(v, a[by] == v["_at"]).groupBy(F.col(to).alias("i")).agg(F.sum(F.col("v") * F.col("_x")).alias(out))
+    on = m[a.by] == F.col("_at")
+    if a.heavy is not None:
+        copies = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_c")
+        v = v.join(F.broadcast(a.heavy), "_at", "left").select("_at", "_x", copies)
+        on = on & (m["_s"] == F.col("_c"))
+    return m.join(v, on).groupBy(F.col(to).alias("i")).agg(F.sum(F.col("v") * F.col("_x")).alias(out))
 
 
 def _scalars(df: DataFrame, *terms: Column) -> list[float]:
@@ -52,7 +84,7 @@ def conjugate_gradient(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, max
     the system singular: an error.
     """
     with _dealt(a, "j") as m:
-        diagonal = m.where("i = j").select("i", F.col("v").alias("d"))
+        diagonal = m.entries.where("i = j").select("i", F.col("v").alias("d"))
         right = b.groupBy("i").agg(F.sum(F.col("v").cast("double")).alias("r"))
         steps = Steps(a.sparkSession, "cg")
         start = diagonal.join(right, "i", "full").select("i", "d", F.lit(0.0).alias("x"), F.coalesce("r", F.lit(0.0)).alias("r"))
@@ -91,9 +123,9 @@ def least_squares(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, max_step
     with _dealt(a, "j") as by_column, _dealt(a, "i") as by_row:
         rows, columns = Steps(a.sparkSession, "rows"), Steps(a.sparkSession, "columns")
         right = b.groupBy("i").agg(F.sum(F.col("v").cast("double")).alias("r"))
-        res = rows.put(by_row.select("i").distinct().join(right, "i", "full").fillna(0.0, ["r"]))
-        grad = _times(by_row, res, "r", "s", by="i")
-        now = columns.put(by_row.select(F.col("j").alias("i")).distinct().join(grad, "i", "left").fillna(0.0, ["s"]).select("i", F.lit(0.0).alias("x"), F.col("s").alias("p"), "s"))
+        res = rows.put(by_row.entries.select("i").distinct().join(right, "i", "full").fillna(0.0, ["r"]))
+        grad = _times(by_row, res, "r", "s")
+        now = columns.put(by_row.entries.select(F.col("j").alias("i")).distinct().join(grad, "i", "left").fillna(0.0, ["s"]).select("i", F.lit(0.0).alias("x"), F.col("s").alias("p"), "s"))
         (ss,) = _scalars(now, F.col("s") ** 2)
         first, n = ss, 0
         while ss > first * tolerance**2:
@@ -103,7 +135,7 @@ def least_squares(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, max_step
             (qq,) = _scalars(seen, F.col("q") ** 2)
             alpha = ss / qq
             res = rows.put(seen.select("i", (F.col("r") - alpha * F.col("q")).alias("r")))
-            then = now.drop("s").join(_times(by_row, res, "r", "s", by="i"), "i", "left").fillna(0.0, ["s"])
+            then = now.drop("s").join(_times(by_row, res, "r", "s"), "i", "left").fillna(0.0, ["s"])
             then = columns.put(then.withColumn("x", F.col("x") + alpha * F.col("p")))
             was, (ss,) = ss, _scalars(then, F.col("s") ** 2)
             now = then.withColumn("p", F.col("s") + ss / was * F.col("p"))
@@ -125,7 +157,7 @@ def eigenpairs(a: DataFrame, k: int, width: int = 24, tolerance: float = 1e-8, r
     (by size, ties by index) is positive.  If ``a`` has fewer rows than ``k``, all are given.
     """
     with _dealt(a, "j") as m:
-        nodes = m.select("i").union(m.select(F.col("j").alias("i"))).distinct()
+        nodes = m.entries.select("i").union(m.entries.select(F.col("j").alias("i"))).distinct()
         steps = Steps(a.sparkSession, "lanczos")
         drawn = steps.put(nodes.withColumn("w", F.xxhash64("i", F.lit(seed)) / float(2**63)))
         size, square = drawn.agg(F.count("*"), F.sum(F.col("w") ** 2)).first()

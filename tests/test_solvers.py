@@ -67,3 +67,35 @@ def test_eigenpairs_of_small_matrices(spark):
     assert np.allclose(values, [3.0, 1.0]) and vectors.count() == 2
     none, _ = solvers.eigenpairs(entries(spark, np.zeros((2, 2))), 1)
     assert len(none) == 0
+
+
+def test_long_rows_and_columns_are_cut(spark, monkeypatch):
+    """A column that every row has is spread over tasks, and steps give the same."""
+    monkeypatch.setattr(solvers, "HEAVY", 10)
+    rng = np.random.default_rng(12)
+    a = np.column_stack([np.ones(60), rng.normal(size=(60, 2)) * (rng.random((60, 2)) < 0.3)])
+    b = rng.normal(size=60)
+    found, _ = solvers.least_squares(entries(spark, a), vector(spark, b))
+    got = {r["j"]: r["v"] for r in found.collect()}
+    assert np.allclose([got[j] for j in range(3)], np.linalg.lstsq(a, b, rcond=None)[0])
+    with solvers._dealt(entries(spark, a), "j") as m:
+        assert m.entries.groupBy("j", "_s").count().agg({"count": "max"}).first()[0] < 30
+        assert m.entries.where("j = 0").select("_s").distinct().count() == 6
+    s = a.T @ a + np.eye(3)
+    x, _ = solvers.conjugate_gradient(entries(spark, s), vector(spark, b[:3]))
+    assert np.allclose([r["v"] for r in x.orderBy("i").collect()], np.linalg.solve(s, b[:3]))
+
+
+def test_entries_are_sorted_once(spark):
+    """A step merges the kept entries as they lie: only the vector is sorted."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        a = np.eye(50) + np.eye(50, k=1)
+        with solvers._dealt(entries(spark, a), "j") as m:
+            m.entries.count()
+            out = solvers._times(m, vector(spark, np.ones(50)), "v", "q")
+            plan = out._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+            assert "SortMergeJoin" in plan and plan.split("SortMergeJoin")[1].count("Sort [") == 0
+            assert out.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
