@@ -2,8 +2,9 @@
 
 A matrix is a table (i, j, v) of its entries that are not zero, a vector a table
 (i, v) without rows for zeros.  A step costs one product of matrix and vector; the
-entries are dealt by column once and kept so, hence only vectors are shuffled.  The
-driver sees a few scalars per step.  Each step is written to the shared folder, and
+entries are dealt once and kept so, hence only vectors are shuffled: symmetric ones in
+packed blocks (``plans.symmetric``), of which the lower triangle is read, others by
+column and by row.  The driver sees a few scalars per step.  Each step is written to the shared folder, and
 its table replaces that of two steps before: a lost executor costs one step at most.
 """
 
@@ -19,6 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tensorloom.plans import symmetric
 from tensorloom.plans.tables import Steps, settle
 
 
@@ -103,8 +105,7 @@ def conjugate_gradient(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, max
                 raise ValueError("the matrix is not positive definite")
             alpha = rz / pq
             r = F.col("r") - alpha * F.col("q")
-            rr, was = _scalars(seen, r**2)[0], rz
-            (rz,) = _scalars(seen, r**2 / F.col("d"))
+            was, (rr, rz) = rz, _scalars(seen, r**2, r**2 / F.col("d"))
             now = seen.select("i", "d", (F.col("x") + alpha * F.col("p")).alias("x"), r.alias("r"), (r / F.col("d") + rz / was * F.col("p")).alias("p"))
             n += 1
         out = steps.put(now.select("i", F.col("x").alias("v")))
@@ -147,7 +148,9 @@ def least_squares(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, max_step
         return out, {"steps": n, "gradient": math.sqrt(ss / first) if first else 0.0, "residual": left}
 
 
-def eigenpairs(a: DataFrame, k: int, width: int = 24, tolerance: float = 1e-8, restarts: int = 60, seed: int = 0) -> tuple[np.ndarray, DataFrame]:
+def eigenpairs(
+    a: DataFrame, k: int, width: int = 24, tolerance: float = 1e-8, restarts: int = 60, seed: int = 0, scale: DataFrame | None = None, start: DataFrame | None = None
+) -> tuple[np.ndarray, DataFrame]:
     """The ``k`` greatest eigenvalues of a symmetric ``a``, falling, and (i, e): each row's entries of their vectors.
 
     Lanczos with thick restarts: a basis of up to ``width`` vectors is an array per
@@ -155,27 +158,38 @@ def eigenpairs(a: DataFrame, k: int, width: int = 24, tolerance: float = 1e-8, r
     and a restart keeps the best combinations.  Ends when the residual of each pair is
     at most ``tolerance`` times the greatest value met.  A vector's greatest entry
     (by size, ties by index) is positive.  If ``a`` has fewer rows than ``k``, all are given.
+
+    ``scale`` (i, v), one row for each index, multiplies rows and columns of ``a``.  The
+    first vector is random, or ``start`` (i, v): of a value met more than once, the vector
+    found is the one nearest to it.
     """
-    with _dealt(a, "j") as m:
-        nodes = m.entries.select("i").union(m.entries.select(F.col("j").alias("i"))).distinct()
+    with symmetric.blocks(a) as m:
+        nodes = symmetric.indices(m)
+        nodes = nodes.withColumn("s", F.lit(1.0)) if scale is None else nodes.join(scale.select("i", F.col("v").cast("double").alias("s")), "i")
+        if start is None:
+            drawn = nodes.withColumn("w", F.xxhash64("i", F.lit(seed)) / float(2**63))
+        else:
+            drawn = nodes.join(start.select("i", F.col("v").cast("double").alias("w")), "i", "left").fillna(0.0, ["w"])
         steps = Steps(a.sparkSession, "lanczos")
-        drawn = steps.put(nodes.withColumn("w", F.xxhash64("i", F.lit(seed)) / float(2**63)))
+        drawn = steps.put(drawn)
         size, square = drawn.agg(F.count("*"), F.sum(F.col("w") ** 2)).first()
         if not size:
             return np.zeros(0), drawn.select("i", F.array().cast("array<double>").alias("e"))
         k = min(k, size)
         width = min(max(width, 2 * k + 2), size)
-        basis = steps.put(drawn.select("i", F.array(F.col("w") / math.sqrt(square)).alias("q")))
+        if not square:
+            raise ValueError("the first vector is zero")
+        basis = steps.put(drawn.select("i", "s", F.array(F.col("w") / math.sqrt(square)).alias("q")))
         t, have = np.zeros((width, width)), 1
         for _ in range(restarts * width):
             # Product with the newest vector, and its part along each vector so far.
-            newest = basis.select("i", F.element_at("q", -1).alias("x"))
-            seen = steps.put(basis.join(_times(m, newest, "x", "w"), "i", "left").fillna(0.0, ["w"]))
+            product = symmetric.times(m, basis, F.element_at("q", -1) * F.col("s"), "w")
+            seen = steps.put(basis.join(product, "i", "left").fillna(0.0, ["w"]).withColumn("w", F.col("w") * F.col("s")))
             h = np.zeros(have)
             for _ in range(2):
                 part = np.array(_scalars(seen, *[F.get("q", z) * F.col("w") for z in range(have)]))
                 h += part
-                seen = steps.put(seen.withColumn("w", F.col("w") - F.aggregate(F.zip_with("q", F.array(*map(F.lit, part.tolist())), lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y)))
+                seen = seen.withColumn("w", F.col("w") - F.aggregate(F.zip_with("q", F.array(*map(F.lit, part.tolist())), lambda x, y: x * y), F.lit(0.0), lambda x, y: x + y))
             t[have - 1, :have] = t[:have, have - 1] = h
             beta = math.sqrt(_scalars(seen, F.col("w") ** 2)[0])
             values, vectors = np.linalg.eigh(t[:have, :have])
@@ -187,10 +201,10 @@ def eigenpairs(a: DataFrame, k: int, width: int = 24, tolerance: float = 1e-8, r
                 return values[:k], _signed(steps, seen, vectors[:, :k])
             if have == width:
                 have = k + (width - k) // 2
-                seen = steps.put(seen.select("i", _mixed(vectors[:, :have]).alias("q"), "w"))
+                seen = seen.select("i", "s", _mixed(vectors[:, :have]).alias("q"), "w")
                 t = np.zeros((width, width))
                 t[range(have), range(have)] = values[:have]
-            basis = steps.put(seen.select("i", F.concat("q", F.array(F.col("w") / beta)).alias("q")))
+            basis = steps.put(seen.select("i", "s", F.concat("q", F.array(F.col("w") / beta)).alias("q")))
             have += 1
         raise RuntimeError(f"no convergence in {restarts} restarts")
 
