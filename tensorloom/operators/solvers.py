@@ -85,8 +85,8 @@ def conjugate_gradient(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, max
     second result holds the steps and that ratio.  Indices that only ``b`` knows make
     the system singular: an error.
     """
-    with _dealt(a, "j") as m:
-        diagonal = m.entries.where("i = j").select("i", F.col("v").alias("d"))
+    with symmetric.blocks(a) as m:
+        diagonal = symmetric.diagonal(m)
         right = b.groupBy("i").agg(F.sum(F.col("v").cast("double")).alias("r"))
         steps = Steps(a.sparkSession, "cg")
         start = diagonal.join(right, "i", "full").select("i", "d", F.lit(0.0).alias("x"), F.coalesce("r", F.lit(0.0)).alias("r"))
@@ -99,7 +99,7 @@ def conjugate_gradient(a: DataFrame, b: DataFrame, tolerance: float = 1e-10, max
         while rr > target:
             if n == max_steps:
                 raise RuntimeError(f"no convergence in {n} steps: residual {math.sqrt(rr / first):.1e}")
-            seen = steps.put(now.join(_times(m, now, "p", "q"), "i", "left").fillna(0.0, ["q"]))
+            seen = steps.put(now.join(symmetric.times(m, now, F.col("p"), "q"), "i", "left").fillna(0.0, ["q"]))
             (pq,) = _scalars(seen, F.col("p") * F.col("q"))
             if pq <= 0:
                 raise ValueError("the matrix is not positive definite")

@@ -59,6 +59,26 @@ def test_solvers_in_several_chunks(spark, matrix, small):
     assert np.allclose(want @ found, found * values, atol=1e-2)
 
 
+def _shuffled(spark) -> int:
+    """Rows written to shuffles by the session so far."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+
+def test_entries_are_shuffled_once(spark):
+    """All steps of a solution shuffle fewer rows than the matrix has entries."""
+    rng = np.random.default_rng(8)
+    w = np.triu(rng.random((150, 150)), 1)
+    a = np.diag((w + w.T).sum(axis=1) * 4) - w - w.T
+    given, b = entries(spark, a).persist(), vector(spark, rng.normal(size=150))
+    assert given.count() == 150 * 150
+    before = _shuffled(spark)
+    x, how = solvers.conjugate_gradient(given, b, tolerance=1e-4)
+    assert 0 < _shuffled(spark) - before < 150 * 150 and how["steps"] > 2
+    assert np.allclose(dense(x, 150), np.linalg.solve(a, b.toPandas().v), atol=1e-3)
+
+
 def test_the_first_vector_decides_among_equal_values(spark):
     values, vectors = solvers.eigenpairs(entries(spark, np.diag([2.0, 2.0, 1.0])), 1, start=vector(spark, [3.0, 4.0, 5.0]))
     assert np.allclose(values, [2.0]) and np.allclose([r["e"][0] for r in vectors.orderBy("i").collect()], [0.6, 0.8, 0.0], atol=1e-6)
