@@ -1,8 +1,8 @@
 """Products of a sparse symmetric matrix and vectors, in packed blocks.
 
 Indices are dealt to chunks by their hash, and the entries of the lower triangle to the
-block of their two chunks: one shuffle of the entries, after which they lie packed and
-serve for both triangles.  A product sends each chunk of the vector to the blocks of its
+block of their two chunks: one shuffle of the entries and one of their packed rows, after
+which they lie still and serve for both triangles.  A product sends each chunk of the vector to the blocks of its
 row and column and their sums back, so it shuffles the vector once for each chunk, not
 one row for each entry.  A chunk has about ``4 * n**2 / entries`` indices within bounds:
 what is shuffled stays below the entries, and a task holds two chunks and one piece.
