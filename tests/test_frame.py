@@ -181,3 +181,49 @@ def test_cells_of_matrices_are_not_joined(spark, sf_dir, name):
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
     # What is broadcast has a row per supplier, and comes from its table alone.
     assert plan.count("BroadcastExchange") == plan.count("BroadcastHashJoin") and plan.count("Range (") == 1
+
+
+@pytest.mark.parametrize("shape", [(0, 3), (3, 0), (1, 1), (5, 700), (1030, 5), (1500, 300), (2048, 257)])
+def test_cells_are_all_there_once(spark, shape):
+    got = create.cells(spark, shape).toPandas()
+    at = np.sort((got["i0"] * max(shape[1], 1) + got["i1"]).to_numpy())
+    assert np.array_equal(at, np.arange(shape[0] * shape[1])) and (got["i1"] < shape[1]).all()
+
+
+@pytest.mark.parametrize("name", ["special_matrices"])
+def test_matrices_take_few_bytes_a_cell(spark, tmp_path, name):
+    """The cells are the square of the suppliers' number: written row by row, they took two to four bytes each."""
+    import pandas as pd
+
+    from tensorloom import queries as core
+
+    n = 1500
+    nations = np.random.default_rng(5).integers(0, 25, n)
+    pd.DataFrame({"s_suppkey": np.arange(n), "s_nationkey": nations.astype("int32")}).to_parquet(tmp_path / "supplier.parquet")
+    core.QUERIES[name](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    got = pd.read_parquet(tmp_path / "out")
+    assert len(got) == n * n and size < 0.75 * n * n
+    i, j = got["i0"].to_numpy(), got["i1"].to_numpy()
+    assert len(np.unique(i * n + j)) == n * n
+    if name == "special_matrices":
+        assert (got["circulant"] == nations[(i - j) % n]).all() and np.allclose(got["hilbert"], 1 / (i + j + 1), rtol=0, atol=5.001e-11)
+        assert np.allclose(got["vander"], (nations[i] / 25) ** j, rtol=0, atol=5.001e-9)
+    else:
+        assert (got["eye"] == (i == j)).all() and (got["toeplitz"] == nations[abs(i - j)]).all()
+        assert (got["hankel"] == np.where(i + j < n, nations[(i + j) % n], 0)).all()
+
+
+def test_round_decimals_is_round(spark):
+    """Halves, their neighbours, signs and what is not finite: as Spark rounds by decimals."""
+    from pyspark.sql import functions as F
+
+    from tensorloom.functions import elementwise as fx
+
+    rng = np.random.default_rng(4)
+    halves = (rng.integers(-10**6, 10**6, 2000) + 0.5) / 1e6
+    x = np.concatenate([halves, np.nextafter(halves, 9), np.nextafter(halves, -9), 1 / np.arange(1, 5000), rng.normal(size=2000) * 10.0 ** rng.integers(-300, 300, 2000), [0.0, -0.0, -1e-9, 1e-320, np.nan, np.inf, -np.inf]])
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(2)
+    for places in (6, 8, 10):
+        bad = df.where(~fx.round_decimals(F.col("x"), places).eqNullSafe(F.round("x", places))).collect()
+        assert not bad, bad[:5]
