@@ -34,6 +34,8 @@ LEAF, MOST_CELLS, SAMPLE = 1024, 16_384, 50_000
 NUMBERS = 2_000_000
 #: Points or queries in a packed row; rows of an answer handed over at once, about.
 PART, ROWS = 2048, 100_000
+#: Pairs that a task compares, about, if that does not take more than ``MOST_TASKS``; pairs of a cell under one key.
+PAIRS, MOST_TASKS, CROWD = 1 << 24, 20_000, 1 << 26
 
 
 @dataclass
@@ -99,6 +101,7 @@ class KdIndex:
     low: np.ndarray  # of each cell's box; cells without points have none
     high: np.ndarray
     packed: DataFrame  # cell, ids, xs: parts of at most PART points
+    counts: np.ndarray | None = None  # points of each cell
 
     def reached(self, x: np.ndarray, radius: np.ndarray, p: float) -> tuple[np.ndarray, np.ndarray]:
         """(row of ``x``, cell) for each cell whose box is within a point's radius.
@@ -126,6 +129,41 @@ class KdIndex:
         none = np.zeros(0, int)
         return np.concatenate([none, *rows]), np.concatenate([none, *cells])
 
+    def coarser(self, side: float) -> KdIndex:
+        """Cells of a branch whose box is no wider than ``side`` are made one.
+
+        A search within that radius gains little by narrower cells, and sends a query to
+        as many more of them as there are more points.
+        """
+        dim, at, low, high, boxes = [], [], [], [], []
+        new = np.zeros(self.splits.cells, int)
+
+        def cells(node: int) -> list[int]:
+            return [-1 - node] if node < 0 else cells(int(self.splits.low[node])) + cells(int(self.splits.high[node]))
+
+        def copy(node: int) -> int:
+            lo, hi = (self.low[-1 - node], self.high[-1 - node]) if node < 0 else (self.nodes[0][node], self.nodes[1][node])
+            if node < 0 or (lo > hi).any() or (hi - lo <= side).all():
+                new[cells(node)] = len(boxes)
+                boxes.append((lo, hi))
+                return -len(boxes)
+            own = len(dim)
+            dim.append(self.splits.dim[node])
+            at.append(self.splits.at[node])
+            low.append(0)
+            high.append(0)
+            low[own], high[own] = copy(int(self.splits.low[node])), copy(int(self.splits.high[node]))
+            return own
+
+        copy(0 if len(self.splits.dim) else -1)
+        if len(boxes) == self.splits.cells:
+            return self
+        splits = Splits(np.array(dim, int), np.array(at, float), np.array(low, int), np.array(high, int), len(boxes))
+        # MOST_CELLS rows at most.
+        names = self.packed.sparkSession.createDataFrame([(k, int(c)) for k, c in enumerate(new)], "cell long, _cell long")
+        packed = self.packed.join(F.broadcast(names), "cell").select(F.col("_cell").alias("cell"), "ids", "xs")
+        return KdIndex(splits, np.array([b[0] for b in boxes]), np.array([b[1] for b in boxes]), packed, np.bincount(new, self.counts, len(boxes)).astype(int))
+
     @cached_property
     def nodes(self) -> tuple[np.ndarray, np.ndarray]:
         """Boxes of the inner nodes; children have higher numbers than their node."""
@@ -155,7 +193,8 @@ def _located(df: DataFrame, id_col: str, vec_col: str, splits: Splits) -> DataFr
 def _packed(df: DataFrame, sizes: DataFrame, more: str = "") -> DataFrame:
     """Rows (cell, id, x) packed by cell, in parts of about ``PART`` by the hash of their id."""
     part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / PART)).alias("part")
-    dealt = df.join(sizes, "cell").select("cell", part, "id", "x", *([more] if more else []))
+    # The sizes have MOST_CELLS rows at most: rows are dealt once, by cell and part.
+    dealt = df.join(F.broadcast(sizes), "cell").select("cell", part, "id", "x", *([more] if more else []))
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
         row = [int(f["cell"].iloc[0]), f["id"].to_numpy(np.int64).tobytes(), np.stack(f["x"].to_list()).astype(float).tobytes()]
@@ -177,9 +216,10 @@ def build_index(points: DataFrame, id_col: str, vec_col: str, leaf: int | None =
 
     def boxes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for cell, own in f.groupby("cell"):
-                x = np.stack(own["x"].to_list())
-                yield pd.DataFrame([(cell, x.min(0), x.max(0), len(x))], columns=["cell", "lo", "hi", "n"])
+            if len(f):
+                f = f.sort_values("cell")
+                x, (cell, first, n) = np.stack(f["x"].to_list()), np.unique(f["cell"], return_index=True, return_counts=True)
+                yield pd.DataFrame({"cell": cell, "lo": list(np.minimum.reduceat(x, first)), "hi": list(np.maximum.reduceat(x, first)), "n": n})
 
     def joined(f: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame([(f["cell"].iloc[0], np.stack(f["lo"].to_list()).min(0), np.stack(f["hi"].to_list()).max(0), f["n"].sum())], columns=["cell", "lo", "hi", "n"])
@@ -187,15 +227,43 @@ def build_index(points: DataFrame, id_col: str, vec_col: str, leaf: int | None =
     kind = "cell long, lo array<double>, hi array<double>, n long"
     box = settle(rows.mapInPandas(boxes, kind).groupBy("cell").applyInPandas(joined, kind), "boxes")
     low, high = np.full((splits.cells, d), math.inf), np.full((splits.cells, d), -math.inf)
+    counts = np.zeros(splits.cells, int)
     for r in box.collect():  # MOST_CELLS rows at most
-        low[r["cell"]], high[r["cell"]] = r["lo"], r["hi"]
-    return KdIndex(splits, low, high, settle(_packed(rows, box.select("cell", "n")), "packed"))
+        low[r["cell"]], high[r["cell"]], counts[r["cell"]] = r["lo"], r["hi"], r["n"]
+    return KdIndex(splits, low, high, settle(_packed(rows, box.select("cell", "n")), "packed"), counts)
+
+
+def _alike(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """An order in which neighbours along the widest side follow each other, and equal points by id."""
+    return np.lexsort((ids, *x.T[np.argsort(np.ptp(x, axis=0), kind="stable")]))
+
+
+def _dealt(index: KdIndex, asks: DataFrame) -> DataFrame:
+    """(qs, qxs, r, ids, xs): packed queries with the packed points of their cell.
+
+    Tasks are as many as the pairs ask for; the queries of a crowded cell are cut into
+    slices, and its points sent to each.
+    """
+    spark = asks.sparkSession
+    asked = {r["cell"]: r["n"] for r in asks.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MOST_CELLS rows at most
+    pairs = {c: n * int(index.counts[c]) for c, n in asked.items()}
+    known = [(c, n, max(1, min(-(-pairs[c] // CROWD), -(-n // PART)))) for c, n in asked.items()]
+    known = spark.createDataFrame(known, "cell long, n long, slices int")
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(sum(pairs.values()) // PAIRS, MOST_TASKS))
+    slices = F.broadcast(known.select("cell", "slices"))
+    queries = _packed(asks, known.select("cell", "n"), "r").withColumnsRenamed({"ids": "qs", "xs": "qxs"}).join(slices, "cell")
+    queries = queries.withColumn("slice", F.pmod(F.xxhash64("qs"), F.col("slices")).cast("int")).drop("slices")
+    points = index.packed.join(slices, "cell").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).drop("slices")
+    return queries.repartition(tasks, "cell", "slice").join(points.repartition(tasks, "cell", "slice"), ["cell", "slice"])
 
 
 def _met(index: KdIndex, asks: DataFrame, p: float, k: int | None, exclude_self: bool, strict: bool = False) -> DataFrame:
-    """Queries (cell, id, x, r) with the points of their cell: (q, id, d) within r, the k nearest of each part."""
-    sizes = asks.groupBy("cell").agg(F.count("*").alias("n"))
-    met = _packed(asks, sizes, "r").withColumnsRenamed({"ids": "qs", "xs": "qxs"}).join(index.packed, "cell")
+    """Queries (cell, id, x, r) with the points of their cell: (q, id, d) within r, the k nearest of each part.
+
+    Without a ``k``, queries and points come in the order of their places: an answer is then
+    the same stretch of points from query to query, which a columnar file holds in few bytes.
+    """
+    met = _dealt(index, asks)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found, many = [], 0
@@ -203,8 +271,11 @@ def _met(index: KdIndex, asks: DataFrame, p: float, k: int | None, exclude_self:
             for qs, qxs, r, ids, xs in zip(f["qs"], f["qxs"], f["r"], f["ids"], f["xs"]):
                 qs, r, ids = np.frombuffer(qs, np.int64), np.frombuffer(r), np.frombuffer(ids, np.int64)
                 x, y = np.frombuffer(qxs).reshape(len(qs), -1), np.frombuffer(xs).reshape(len(ids), -1)
-                order = np.argsort(ids, kind="stable")
+                order = np.argsort(ids, kind="stable") if k is not None else _alike(y, ids)
                 ids, y = ids[order], y[order]
+                if k is None:
+                    order = _alike(x, qs)
+                    qs, x, r = qs[order], x[order], r[order]
                 for a in range(0, len(qs), 64):
                     dist = norm(x[a : a + 64, None, :] - y[None, :, :], p)
                     near = dist < r[a : a + 64, None] if strict else dist <= r[a : a + 64, None]
@@ -259,6 +330,11 @@ def nearest(index: KdIndex, queries: DataFrame, id_col: str, vec_col: str, k: in
 
 
 def within(index: KdIndex, queries: DataFrame, id_col: str, vec_col: str, radius: float, p: float = 2.0, exclude_self: bool = False) -> DataFrame:
-    """(q, id, d) of all points strictly within the radius of every query."""
+    """(q, id, d) of all points strictly within the radius of every query.
+
+    Cells are as wide as the radius at most if they can be, so the number of cells that a
+    query is sent to does not grow with the points.
+    """
+    index = index.coarser(radius)
     asks = _located(queries, id_col, vec_col, index.splits).withColumn("r", F.lit(float(radius)))
     return _met(index, settle(_sent(index, asks, p, False), "sent"), p, None, exclude_self, strict=True)

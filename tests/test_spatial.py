@@ -94,3 +94,43 @@ def test_boxes_are_found_along_the_splits(monkeypatch):
     gaps = plain(np.maximum(np.maximum(low - q[:, None, :], q[:, None, :] - high), 0), 2.0)
     assert set(zip(at.tolist(), cells.tolist())) == set(zip(*(v.tolist() for v in np.nonzero(gaps <= r[:, None]))))
     assert sum(seen) < 300 * 60
+
+
+@pytest.mark.parametrize("kind", ["even", "one point", "apart"])
+def test_within_sends_a_query_to_few_cells(spark, monkeypatch, kind):
+    """Cells much narrower than the radius are met as one: what is sent grows with the queries alone."""
+    monkeypatch.setattr(spatial, "PART", 100)
+    monkeypatch.setattr(spatial, "CROWD", 50_000)
+    sent = []
+    keep = spatial.settle
+    monkeypatch.setattr(spatial, "settle", lambda df, name: sent.append((name, keep(df, name))) or sent[-1][1])
+    rng = np.random.default_rng(12)
+    x = np.stack([rng.random(3000) * 10, rng.integers(0, 3, 3000) * 5.0], axis=1)
+    if kind == "one point":
+        x[:1500] = 2.5
+    if kind == "apart":
+        x[:, 1] += rng.random(3000) * 4
+    ids = rng.permutation(3000) * 7
+    points = frame(spark, ids, x)
+    index = build_index(points, "id", "x", leaf=4)
+    assert index.splits.cells > 300 and index.counts.sum() == 3000
+    found = within(index, points, "id", "x", 1.0, exclude_self=True).toPandas()
+    d = spatial.norm(x[:, None, :] - x[None, :, :], 2)
+    i, j = np.nonzero((d < 1) & (ids[:, None] != ids[None, :]))
+    want = dict(zip(zip(ids[i].tolist(), ids[j].tolist()), d[i, j].tolist()))
+    assert len(found) == len(want) and all(want[q, k] == v for q, k, v in zip(found["q"], found["id"], found["d"]))
+    assert next(df for name, df in sent if name == "sent").count() < 3000 * (20 if kind == "apart" else 6)
+
+
+def test_coarser_cells_hold_the_same_points(spark):
+    rng = np.random.default_rng(13)
+    x = rng.random((500, 2))
+    index = build_index(frame(spark, np.arange(500), x), "id", "x", leaf=4)
+    wide = index.coarser(0.3)
+    cell = wide.splits.locate(x)
+    assert 4 <= wide.splits.cells < index.splits.cells and np.array_equal(np.bincount(cell, minlength=wide.splits.cells), wide.counts)
+    assert (wide.low[cell] <= x).all() and (x <= wide.high[cell]).all() and (wide.high - wide.low).max() <= 0.3
+    rows = wide.packed.collect()
+    assert all((cell[np.frombuffer(r["ids"], np.int64)] == r["cell"]).all() for r in rows) and sum(len(r["ids"]) for r in rows) == 8 * 500
+    assert index.coarser(0.0) is index or index.coarser(0.0).splits.cells <= index.splits.cells
+    assert index.coarser(9.0).splits.cells == 1
