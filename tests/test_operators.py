@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +150,41 @@ def test_radius_join_of_a_crowded_cell(spark, monkeypatch):
     assert {(r["a_id"], r["b_id"]) for r in found} == set(zip(*(v.tolist() for v in np.nonzero(d < 0.9)))) and len(found) == (d < 0.9).sum()
     per_task = np.bincount([r["task"] for r in found])
     assert per_task.max() < len(found) / 4
+
+
+@pytest.mark.parametrize("kind", ["array<double>", "array<float>"])
+def test_distance_matrix_deals_every_row_once(spark, monkeypatch, kind):
+    """Blocks hold each row once, whatever number of blocks it meets; missing vectors are far from all."""
+    monkeypatch.setattr(neighbors, "LISTED", (8, 64))
+    monkeypatch.setattr(neighbors, "LISTING", 16)
+    monkeypatch.setattr(neighbors, "MEETINGS", 2)
+    monkeypatch.setattr(neighbors, "AT_ONCE", 80)
+    kept, keep = [], neighbors.settle
+    monkeypatch.setattr(neighbors, "settle", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    x = np.random.default_rng(14).normal(size=(150, 3)).astype("float32" if kind == "array<float>" else "float64")
+    rows = [(f"v{i}", None if i in (4, 77) else [float(v) for v in x[i]]) for i in range(150)]
+    df = spark.createDataFrame(rows, f"id string, v {kind}").repartition(3)
+    got = neighbors.distance_matrix(df.where("substring(id, 2, 9) % 2 = 0"), df, "id", "v").collect()
+    blocks = [[r["ids"] for r in k.collect()] for k in kept]
+    assert [sorted(i for b in bs for i in b) for bs in blocks] == [sorted(f"v{i}" for i in range(0, 150, 2)), sorted(f"v{i}" for i in range(150))]
+    assert len(blocks[0]) == 10 and len(blocks[1]) > 2 and all(len(b) <= 64 for b in blocks[1])
+    want = np.sqrt(((x[::2, None, :].astype(float) - x[None, :, :].astype(float)) ** 2).sum(-1))
+    want[[2], :] = want[:, [4, 77]] = np.nan
+    assert len(got) == len({(r["i"], r["j"]) for r in got}) == 75 * 150
+    assert np.allclose([r["d"] for r in got], [want[int(r["i"][1:]) // 2, int(r["j"][1:])] for r in got], rtol=0, atol=1e-12, equal_nan=True)
+
+
+def test_distances_of_copies_take_few_bytes(spark, tmp_path):
+    """Equal vectors lie together, so their distances do."""
+    x = np.random.default_rng(15).normal(size=(40, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in x[i % 40]]) for i in range(4000)], "id long, v array<double>")
+    neighbors.distance_matrix(df.where("id % 50 = 0"), df, "id", "v").write.parquet(str(tmp_path / "out"))
+    got = pd.read_parquet(tmp_path / "out")
+    assert len(got) == 80 * 4000 and sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.6 * len(got)
+    assert np.allclose(got["d"], np.sqrt(((x[got["i"] % 40] - x[got["j"] % 40]) ** 2).sum(1)), rtol=0, atol=1e-12)
+
+
+def test_distance_matrix_of_none(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>")
+    assert neighbors.distance_matrix(df.where("id > 1"), df, "id", "v").count() == 0
+    assert neighbors.distance_matrix(df, df.where("id > 1"), "id", "v").count() == 0
